@@ -127,3 +127,12 @@ def evaluate(gold: DataFrame, pred: DataFrame, iou: float = 0.5) -> DataFrame:
         F.count_if(F.col("iou") < iou).alias("drifted"), F.avg("iou").alias("mean_iou")).select(
         "*", _rate(F.col("bound"), F.col("expected")).alias("binding_rate"),
         _rate(F.col("drifted"), F.col("bound")).alias("drift_rate"))
+
+
+def sections_without_clauses(nodes: DataFrame, clauses: DataFrame) -> DataFrame:
+    return nodes.join(clauses.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
+
+
+def tasks_without_file(tasks: DataFrame, files: DataFrame) -> DataFrame:
+    """Tasks whose file is not among the scanned files."""
+    return tasks.join(files.select("file_name"), "file_name", "left_anti")
