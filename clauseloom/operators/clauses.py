@@ -77,20 +77,20 @@ def extract_with(sections: DataFrame, fn: Callable, schema) -> DataFrame:
     return sections.mapInPandas(fn, schema)
 
 
-def responses_to_clauses(responses: DataFrame) -> DataFrame:
-    """Clauses from model answers (doc_id, node_id, title, start_index, img_path, ordinal, response) with defaults."""
+def responses_to_clauses(responses: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
+    """Clauses from model answers (doc_id, node_id, title, start_index, img_path, ordinal, response) with defaults.
+
+    Only what the answer lacks is filled in; the image path of the request always wins.
+    """
     body = tx.json_array_text("response")
     items = F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, CLAUSE_ITEM_DDL))
     rows = responses.select("*", F.posexplode(items).alias("item_ord", "c"))
     return rows.select(
-        "doc_id", "ordinal", "item_ord",
-        F.coalesce("c.section_id", "node_id", F.lit(UNKNOWN_NODE)).alias("section_id"),
+        "doc_id", "ordinal", *extra, "item_ord", F.coalesce("c.section_id", "node_id", F.lit(UNKNOWN_NODE)).alias("section_id"),
         F.coalesce("c.section_title", "title").alias("section_title"),
         F.coalesce("c.page_number", "start_index").alias("page_number"),
-        F.coalesce("c.type", F.lit(DEFAULT_CLAUSE_TYPE)).alias("type"), "c.actor", "c.action", "c.object",
-        "c.condition", "c.deadline", "c.metric", "c.original_text", "c.image_caption", "c.table_caption",
-        F.coalesce(F.col("responses_img") if "responses_img" in responses.columns else F.col("img_path"),
-                   F.col("c.img_path")).alias("img_path"))
+        F.coalesce("c.type", F.lit(DEFAULT_CLAUSE_TYPE)).alias("type"), "c.actor", "c.action", "c.object", "c.condition",
+        "c.deadline", "c.metric", "c.original_text", "c.image_caption", "c.table_caption", F.col("img_path"))
 
 
 def stamp_clauses(clauses: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import text as tx
 from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, ordinal, scan
 from clauseloom.operators.tree import parents_by_level, thin_tree
+from clauseloom.session import materialize
 
 # Heading and fence patterns.
 HEADING = r"^(#{1,6})\s+(.+)$"
@@ -36,6 +37,7 @@ def section_text(lines: DataFrame, rows: int | None = None) -> DataFrame:
     marked = marked_lines(lines, rows)
     owned = scan(marked, ["doc_id"], ["line_num"], [Run("_head", "last", F.when(F.col("is_head"), F.col("line_num")))],
                  dense_chunk("line_num", rows)).filter(F.col("_head").isNotNull())
+    owned = materialize(owned, "markdown-sections")
     texts = ordered_concat(owned, ["doc_id", "_head"], ["line_num"], F.col("line"), "\n", "_t", dense_chunk("line_num", rows))
     heads = owned.filter("is_head").select("doc_id", "line_num", "level", "title")
     return heads.join(texts.withColumnRenamed("_head", "line_num"), ["doc_id", "line_num"]).withColumn(
@@ -45,8 +47,8 @@ def section_text(lines: DataFrame, rows: int | None = None) -> DataFrame:
 def markdown_nodes(lines: DataFrame, rows: int | None = None) -> DataFrame:
     """Sections as preorder nodes with their token counts."""
     numbered = ordinal(section_text(lines, rows), ["doc_id"], ["line_num"], "_n", dense_chunk("line_num", rows))
-    return (numbered.withColumn("node_idx", F.col("_n") - 1).drop("_n")
-            .withColumn("token_count", tx.token_count("text")))
+    nodes = numbered.withColumn("node_idx", F.col("_n") - 1).drop("_n").withColumn("token_count", tx.token_count("text"))
+    return materialize(nodes, "markdown-nodes")
 
 
 def markdown_tree(lines: DataFrame, min_tokens: int | None = None, summaries: bool = False, keep_text: bool = True,

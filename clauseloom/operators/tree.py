@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import text as tx
 from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, ordinal, scan, with_adaptive_chunk
+from clauseloom.session import materialize
 
 MAX_DEPTH = 12
 
@@ -128,7 +129,7 @@ def leaf_nodes(nodes: DataFrame, max_depth: int = MAX_DEPTH, rows: int | None =
 def hierarchy_labels(nodes: DataFrame, max_depth: int = MAX_DEPTH, rows: int | None = None) -> DataFrame:
     """``label``: the ranks among siblings from the root down, such as 1.2.3."""
     keyed = nodes.withColumn("_up", F.coalesce("parent_idx", F.lit(-1))).withColumn("level", _checked_level(max_depth))
-    ranked = ordinal(keyed, ["doc_id", "_up"], ["node_idx"], "_rank", dense_chunk("node_idx", rows))
+    ranked = materialize(ordinal(keyed, ["doc_id", "_up"], ["node_idx"], "_rank", dense_chunk("node_idx", rows)), "ranks")
     runs = [Run(f"_r{lv}", "last", F.when(F.col("level") == lv, F.col("_rank"))) for lv in range(1, max_depth + 1)]
     seen = scan(ranked, ["doc_id"], ["node_idx"], runs, dense_chunk("node_idx", rows))
     steps = F.slice(F.array(*[F.col(r.name).cast("string") for r in runs]), F.lit(1), F.col("level"))
@@ -151,7 +152,8 @@ def subtree_ends(nodes: DataFrame, carry: dict[str, Column] | None = None, max_d
 def subtree_sums(nodes: DataFrame, value: Column, name: str, max_depth: int = MAX_DEPTH, order: str = "node_idx",
                  rows: int | None = None) -> DataFrame:
     """Sum of ``value`` over each node and its descendants, as a difference of two suffix sums."""
-    tail = scan(nodes, ["doc_id"], [order], [Run("_tail", "suffix_sum", value)], dense_chunk(order, rows))
+    tail = materialize(scan(nodes, ["doc_id"], [order], [Run("_tail", "suffix_sum", value)], dense_chunk(order, rows)),
+                       "subtree-tail")
     ends = subtree_ends(tail, {"tail": F.col("_tail")}, max_depth, order, rows)
     return ends.withColumn(name, F.col("_tail") - F.coalesce(F.col("_stop.tail"), F.lit(0))).drop("_tail", "_stop")
 
@@ -175,7 +177,7 @@ def thin_tree(nodes: DataFrame, min_tokens: int, max_depth: int = 6, rows: int |
     Survivors are the nodes without such an ancestor; the node that absorbs a
     lost one is the last survivor before it, so the text is one grouped concat.
     """
-    sized = subtree_tokens(nodes, max_depth, rows=rows)
+    sized = materialize(subtree_tokens(nodes, max_depth, rows=rows), "thin-sized")
     ends = subtree_ends(sized, None, max_depth, rows=rows)
     size = F.coalesce(F.col("_stop.at"), F.lit(1 << 62))
     thin = F.col("subtree_tokens") < min_tokens
@@ -183,7 +185,8 @@ def thin_tree(nodes: DataFrame, min_tokens: int, max_depth: int = 6, rows: int |
                   [Run("_cover", "max", F.when(F.col("_thin"), F.col("_size")), inclusive=False)],
                   dense_chunk("node_idx", rows))
     alive = F.coalesce(F.col("_cover") <= F.col("node_idx"), F.lit(True))
-    owned = scan(marked.withColumn("_alive", alive), ["doc_id"], ["node_idx"],
+    marked = materialize(marked.withColumn("_alive", alive), "thin-marked")
+    owned = scan(marked, ["doc_id"], ["node_idx"],
                  [Run("_owner", "last", F.when(F.col("_alive"), F.col("node_idx")))], dense_chunk("node_idx", rows))
     part = F.when(F.col("_alive") | ~tx.is_blank("text"), F.col("text"))
     merged = ordered_concat(owned.select("doc_id", "_owner", "node_idx", "text", "_alive"), ["doc_id", "_owner"],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("tasks", "corpus", "blocks", "tree")
+_AREAS = ("tasks", "corpus", "blocks", "tree", "evidence")
 
 
 def load_catalog():

@@ -77,8 +77,7 @@ CORPORA: dict[str, tuple[str, str]] = {
         FROM (SELECT doc_id, max(page_idx) AS last_page FROM blocks GROUP BY 1)"""),
     "nodes": ("", """
         SELECT doc_id, node_idx, printf('%04d', node_idx) AS node_id,
-          CASE WHEN level > 1 THEN
-            max(CASE WHEN c = 0 THEN node_idx END) OVER (PARTITION BY doc_id, CASE WHEN level = 2 THEN 0 ELSE k END) END
+          CASE level WHEN 2 THEN 0 WHEN 3 THEN max(CASE WHEN c = 0 THEN node_idx END) OVER (PARTITION BY doc_id, k) END
             AS parent_idx,
           level, structure, title, node_idx // 5 + 1 AS start_index,
           node_idx // 5 + 1 + CASE level WHEN 1 THEN 60 WHEN 2 THEN 10 ELSE 1 END AS end_index,
@@ -143,6 +142,21 @@ CORPORA: dict[str, tuple[str, str]] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
                 l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS seq
               FROM lineitem)"""),
+    "evidence_blocks": ("layout", rf"""
+        SELECT doc_id, printf('%04d', page_idx) AS node_id, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY block_idx) - 1 AS ord,
+          type, list_items, page_idx, bbox[2] AS y0,
+          CASE WHEN type = 'text' THEN {evidence('text')} ELSE {evidence('list_items[1]')} || {evidence('list_items[2]')} END AS norm,
+          list_distinct(list_filter(regexp_extract_all(CASE WHEN type = 'text' THEN text ELSE list_items[1] || list_items[2] END, '[\p{{L}}\p{{N}}_]+'),
+            lambda w: length(w) > 1)) AS words
+        FROM layout WHERE len(bbox) = 4 AND page_idx IS NOT NULL"""),
+    "page_clauses": ("", rf"""
+        SELECT *, {evidence('original_text')} AS norm, list_distinct(list_filter(regexp_extract_all(original_text, '[\p{{L}}\p{{N}}_]+'),
+            lambda w: length(w) > 1)) AS words FROM (
+        SELECT o_orderkey // 40 AS doc_id, printf('%04d', (o_orderkey % 40) // 8) AS node_id, printf('%08d', o_orderkey) AS matrix_id,
+          o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '(1) ' || whole WHEN 1 THEN whole[1:4] || 'x' || whole[5:]
+            WHEN 2 THEN whole[2:9] WHEN 3 THEN o_custkey || ' customer ' || o_orderpriority ELSE 'nothing of this kind' END AS original_text,
+          CASE WHEN o_orderkey % 6 = 3 THEN 'images/p' || (o_custkey % 50) || '.jpg' END AS img_path
+        FROM (SELECT *, o_orderpriority || ' ' || o_orderstatus || ' ' || o_custkey AS whole FROM orders))"""),
     "task_logs": ("", """
         SELECT event_id AS id, user_id::VARCHAR AS task_id,
                CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS log_level,

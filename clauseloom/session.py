@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -35,17 +34,27 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A fresh folder under ``spark.checkpoint.dir``; under a temporary one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = _own_dirs[app]
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder, so that a lost executor costs a re-read."""
+    """Cut lineage through a Parquet table in the shared folder.
+
+    Operators that scan a result of a scan again do this in between: both
+    branches of the next scan then read a table instead of repeating the plan,
+    and a lost executor costs a re-read.
+    """
     path = shared_dir(df.sparkSession, purpose)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -263,3 +263,42 @@ class Tables:
             F.concat(F.lit("Order "), k.cast("string")).alias("original_text"))
         place = self.nodes.filter(F.col("level") == 3).select("doc_id", "node_idx", "node_id", "title", "start_index")
         return rows.join(place, "title").withColumnRenamed("title", "section_title")
+
+    # -- evidence --------------------------------------------------------------------------------
+
+    @cached_property
+    def page_nodes(self) -> DataFrame:
+        """Every page of the layout as a node whose positions are those of its valid blocks."""
+        from clauseloom.operators.blocks import positions_of
+        return positions_of(self.layout, ["doc_id", "page_idx"]).select(
+            "doc_id", F.format_string("%04d", "page_idx").alias("node_id"), "positions")
+
+    @cached_property
+    def page_clauses(self) -> DataFrame:
+        """A clause per order on its page: quoted, misspelt, shortened, reordered or foreign text; some are visual."""
+        k = F.col("o_orderkey")
+        cust = F.col("o_custkey").cast("string")
+        idx = k % BLOCKS_PER_DOC
+        whole = F.concat_ws(" ", "o_orderpriority", "o_orderstatus", cust)
+        text = (F.when(k % 5 == 0, F.concat(F.lit("(1) "), whole))
+                .when(k % 5 == 1, F.concat(F.substring(whole, 1, 4), F.lit("x"), F.substring(whole, 5, 100)))
+                .when(k % 5 == 2, F.substring(whole, 2, 8))
+                .when(k % 5 == 3, F.concat_ws(" ", cust, F.lit("customer"), "o_orderpriority"))
+                .otherwise("nothing of this kind"))
+        image = F.when(k % 6 == 3, F.concat(F.lit("images/p"), (F.col("o_custkey") % 50).cast("string"), F.lit(".jpg")))
+        return self.read("orders").select(
+            F.floor(k / BLOCKS_PER_DOC).cast("long").alias("doc_id"),
+            F.format_string("%04d", F.floor(idx / BLOCKS_PER_PAGE)).alias("node_id"),
+            F.format_string("%08d", k).alias("matrix_id"), text.alias("original_text"),
+            F.when(k % 6 == 3, "Figure").alias("image_caption"), F.when(k % 6 == 4, "Table").alias("table_caption"),
+            image.alias("img_path"))
+
+    @cached_property
+    def header_nodes(self) -> DataFrame:
+        """The header blocks of the layout as a flat tree with page ranges."""
+        from clauseloom.operators.toc import headers_to_toc
+        from clauseloom.operators.tree import page_ranges
+        items = headers_to_toc(self.layout).withColumn("appear_start", F.lit("no"))
+        ranged = page_ranges(items, F.lit(BLOCKS_PER_DOC // BLOCKS_PER_PAGE))
+        return ranged.select("doc_id", F.col("item_idx").alias("node_idx"), F.lit(None).cast("long").alias("parent_idx"),
+                             F.lit(1).alias("level"), "structure", "title", "start_index", "end_index")
