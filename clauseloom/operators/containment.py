@@ -28,10 +28,13 @@ def containing_pairs(needles: DataFrame, texts: DataFrame, scope: list[str]) ->
     # One row with at most as many numbers as there are sizes: always small enough to broadcast.
     in_use = sized.agg(F.collect_set("_size").alias("_sizes")).withColumn("_one", F.lit(1))
     hay = texts.withColumn("_one", F.lit(1)).join(F.broadcast(in_use), "_one").withColumn("_size", F.explode("_sizes"))
-    starts = F.sequence(F.lit(1), F.length("hay") - F.col("_size") + 1)
-    grams = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("hay"), i, F.col("_size")))))
-    spread = (hay.filter(F.length("hay") >= F.col("_size")).withColumn("_anchor", F.explode(grams))
-              .drop("_one", "_sizes"))
+    # A look-ahead matches at every position, so one linear pass lists all overlapping substrings.
+    grams = F.lit(None).cast("array<string>")
+    for size in ANCHOR_SIZES:
+        grams = F.when(F.col("_size") == size, F.regexp_extract_all(
+            "hay", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))).otherwise(grams)
+    spread = (hay.withColumn("_gram", F.explode(F.array_distinct(grams))).withColumn("_anchor", F.xxhash64("_gram"))
+              .drop("_one", "_sizes", "_gram"))
     return spread.join(keyed, [*scope, "_size", "_anchor"]).filter(F.col("hay").contains(F.col("needle"))).drop("_size", "_anchor")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("tasks", "corpus", "blocks", "tree", "evidence")
+_AREAS = ("tasks", "corpus", "blocks", "tree", "toc", "evidence", "streaming")
 
 
 def load_catalog():

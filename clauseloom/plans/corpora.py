@@ -157,6 +157,15 @@ CORPORA: dict[str, tuple[str, str]] = {
             WHEN 2 THEN whole[2:9] WHEN 3 THEN o_custkey || ' customer ' || o_orderpriority ELSE 'nothing of this kind' END AS original_text,
           CASE WHEN o_orderkey % 6 = 3 THEN 'images/p' || (o_custkey % 50) || '.jpg' END AS img_path
         FROM (SELECT *, o_orderpriority || ' ' || o_orderstatus || ' ' || o_custkey AS whole FROM orders))"""),
+    "toc_entries": ("", """
+        SELECT c_nationkey::BIGINT AS doc_id, c - 1 AS item_idx, '1.' || c AS structure, c_name AS title, (c - 1) // 3 + 1 AS page,
+               (c - 1) // 30 + 1 AS toc_page, ceil(n / 30)::INT AS toc_size, c_mktsegment
+        FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS c, count(*) OVER (PARTITION BY c_nationkey) AS n
+              FROM customer)"""),
+    "toc_doc_pages": ("toc_entries", f"""
+        SELECT *, {tokens('text')} AS token_count FROM (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY item_idx) AS text FROM (
+          SELECT doc_id, toc_page AS page_no, item_idx, structure || ' ' || title || ' ........ ' || page AS line FROM toc_entries UNION ALL
+          SELECT doc_id, toc_size + page, item_idx, title || chr(10) || 'sells ' || c_mktsegment FROM toc_entries) GROUP BY 1, 2)"""),
     "task_logs": ("", """
         SELECT event_id AS id, user_id::VARCHAR AS task_id,
                CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS log_level,

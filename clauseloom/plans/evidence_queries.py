@@ -222,16 +222,17 @@ def _(t):
 
 # -- clause rules ---------------------------------------------------------------------------------
 
-TEST_CUES = [("prohibition", r"\b(not|nicht|pas|no)\b", 1), ("deadline", r"\b(by|bis|pour|por)\b", 2),
-             ("obligation", r"\b(that|und|les|que)\b", 3)]
+TEST_CUES = [("prohibition", r"(^|[^\p{L}])(not|nicht|pas|no)([^\p{L}]|$)", 1),
+             ("deadline", r"(^|[^\p{L}])(by|bis|pour|por)([^\p{L}]|$)", 2),
+             ("obligation", r"(^|[^\p{L}])(that|und|les|que)([^\p{L}]|$)", 3)]
 
 
 @query("c1_extract_clauses", r"""
-    SELECT doc_id, i - 1 AS item_ord, s AS sentence, CASE WHEN regexp_matches(s, '\b(not|nicht|pas|no)\b') THEN 'prohibition'
-      WHEN regexp_matches(s, '\b(by|bis|pour|por)\b') THEN 'deadline' ELSE 'obligation' END AS type
+    SELECT doc_id, i - 1 AS item_ord, s AS sentence, CASE WHEN regexp_matches(s, '(^|[^\p{L}])(not|nicht|pas|no)([^\p{L}]|$)') THEN 'prohibition'
+      WHEN regexp_matches(s, '(^|[^\p{L}])(by|bis|pour|por)([^\p{L}]|$)') THEN 'deadline' ELSE 'obligation' END AS type
     FROM (SELECT doc_id, i, """ + corpora.strip("l[i]") + r""" AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
       SELECT doc_id, string_split(regexp_replace(text, '([.!?;])\s+|\n+', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents)))
-    WHERE s <> '' AND regexp_matches(s, '\b(not|nicht|pas|no|by|bis|pour|por|that|und|les|que)\b')""")
+    WHERE s <> '' AND regexp_matches(s, '(^|[^\p{L}])(not|nicht|pas|no|by|bis|pour|por|that|und|les|que)([^\p{L}]|$)')""")
 def _(t):
     sections = t.read("documents").select("doc_id", F.col("text").alias("original_text"))
     return cl.extract_clauses(sections, TEST_CUES).select("doc_id", F.col("item_ord").cast("long").alias("item_ord"), "sentence", "type")

@@ -437,12 +437,12 @@ def _(t):
 @query("q2_toc_checks", """
     WITH n AS (SELECT *, 70 AS pages FROM nodes),
     pg AS (SELECT DISTINCT doc_id, unnest(range(greatest(start_index, 1), least(end_index, pages) + 1)) AS p FROM n WHERE level = 2),
-    o AS (SELECT doc_id, count(*) FILTER (start_index < b) AS overlaps, count(*) FILTER (start_index > b + 1) AS gaps FROM
+    o AS (SELECT doc_id, count(*) FILTER (start_index < b) AS n_over, count(*) FILTER (start_index > b + 1) AS gaps FROM
       (SELECT *, lag(end_index) OVER (PARTITION BY doc_id ORDER BY start_index, node_idx) AS b FROM n WHERE level = 2) GROUP BY 1)
     SELECT doc_id, max(level)::BIGINT AS depth, sum(CASE WHEN start_index >= 1 AND end_index >= start_index AND end_index <= pages THEN 0 ELSE 1 END)::BIGINT AS illegal_ranges,
-      max(overlaps) AS overlaps, max(gaps) AS gaps, round(max(c) / 70.0, 6)::DOUBLE AS coverage
+      max(n_over) AS n_overlaps, max(gaps) AS gaps, round(max(c) / 70.0, 6)::DOUBLE AS coverage
     FROM n JOIN o USING (doc_id) JOIN (SELECT doc_id, count(*) AS c FROM pg GROUP BY 1) USING (doc_id) GROUP BY doc_id""", "nodes")
 def _(t):
     pages = t.read("region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.lit(70).alias("pages"))
     out = tree.toc_checks(t.nodes, pages, level=2)
-    return out.select("doc_id", *_long("depth"), "illegal_ranges", "overlaps", "gaps", F.round("coverage", 6).alias("coverage"))
+    return out.select("doc_id", *_long("depth"), "illegal_ranges", F.col("overlaps").alias("n_overlaps"), "gaps", F.round("coverage", 6).alias("coverage"))

@@ -302,3 +302,30 @@ class Tables:
         ranged = page_ranges(items, F.lit(BLOCKS_PER_DOC // BLOCKS_PER_PAGE))
         return ranged.select("doc_id", F.col("item_idx").alias("node_idx"), F.lit(None).cast("long").alias("parent_idx"),
                              F.lit(1).alias("level"), "structure", "title", "start_index", "end_index")
+
+    # -- contents pages --------------------------------------------------------------------------
+
+    @cached_property
+    def toc_entries(self) -> DataFrame:
+        """Customers of a nation as sections: three to a body page, thirty to a contents page."""
+        customers = ordinal(self.read("customer"), ["c_nationkey"], ["c_custkey"], "c", dense_chunk("c_custkey"))
+        sizes = self.read("customer").groupBy("c_nationkey").agg(F.ceil(F.count(F.lit(1)) / 30).cast("int").alias("toc_size"))
+        place = F.col("c") - 1
+        return customers.join(sizes, "c_nationkey").select(
+            F.col("c_nationkey").cast("long").alias("doc_id"), place.alias("item_idx"),
+            F.concat(F.lit("1."), F.col("c").cast("string")).alias("structure"), F.col("c_name").alias("title"),
+            (F.floor(place / 3) + 1).cast("int").alias("page"), (F.floor(place / 30) + 1).cast("int").alias("toc_page"),
+            "toc_size", "c_mktsegment")
+
+    @cached_property
+    def toc_doc_pages(self) -> DataFrame:
+        """Contents pages with dot leaders followed by the body pages of each nation's document."""
+        line = F.concat("structure", F.lit(" "), "title", F.lit(" ........ "), F.col("page").cast("string"))
+        listed = self.toc_entries.select("doc_id", F.col("toc_page").alias("page_no"), "item_idx", line.alias("line"))
+        body = self.toc_entries.select("doc_id", (F.col("toc_size") + F.col("page")).alias("page_no"), "item_idx",
+                                       F.concat("title", F.lit("\nsells "), "c_mktsegment").alias("line"))
+        rows = listed.unionByName(body).groupBy("doc_id", "page_no").agg(
+            F.array_sort(F.collect_list(F.struct("item_idx", "line"))).alias("l"))
+        from clauseloom.functions.text import token_count
+        return rows.select("doc_id", "page_no", F.array_join(F.transform("l", lambda r: r["line"]), "\n").alias("text")
+                           ).withColumn("token_count", token_count("text"))
