@@ -47,6 +47,7 @@ def find_title(titles: DataFrame, blocks: DataFrame, keys: list[str], threshold:
     inside = sim.contains(F.col("_title"), F.col("norm"))
     exact = (_pairs(t, body, F.col("first_page"), F.col("last_page")).filter(inside)
              .groupBy(*keys).agg(F.min("block_idx").alias("_exact")))
+    exact = materialize(exact, "titles-exact")
     open_titles = t.join(exact, keys, "left")
     close = (_pairs(open_titles, body, F.col("first_page"), F.col("last_page"))
              .filter((F.col("_exact").isNull() | (F.col("block_idx") < F.col("_exact"))) & ~inside
@@ -68,7 +69,7 @@ def find_title_anywhere(titles: DataFrame, blocks: DataFrame, keys: list[str], t
     t = _with_norm(titles).filter(F.col("_title") != "")
     wanted = t.select("doc_id", "_title").distinct()
     hits = containing_pairs(wanted.withColumn("needle", F.col("_title")), body.withColumn("hay", F.col("norm")), ["doc_id"])
-    exact = hits.groupBy("doc_id", "_title").agg(F.min("block_idx").alias("_exact"))
+    exact = materialize(hits.groupBy("doc_id", "_title").agg(F.min("block_idx").alias("_exact")), "titles-exact")
     open_titles = wanted.join(exact, ["doc_id", "_title"], "left")
 
     before = F.col("_exact").isNull() | (F.col("block_idx") < F.col("_exact"))
@@ -117,6 +118,7 @@ def find_title_robust(titles: DataFrame, blocks: DataFrame, keys: list[str]) ->
     place = F.struct("step", "block_idx")
     exact = (_pairs(t, body, *widest).withColumn("step", steps(inside, inside)).filter(F.col("step").isNotNull())
              .groupBy(*keys).agg(F.min(place).alias("_exact")))
+    exact = materialize(exact, "titles-exact")
     open_titles = t.join(exact, keys, "left")
     loose_able = sim.window_bound(F.col("_title"), F.col("norm")) >= sim.LOOSE_THRESHOLD
     # A similar pair takes step 1, 3 or 4, or 5: it can win only with the smaller (step, block).

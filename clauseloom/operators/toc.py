@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import text as tx
 from clauseloom.functions.similarity import TITLE_THRESHOLD, title_contained
 from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, ordinal, scan
+from clauseloom.session import materialize
 
 # Line patterns of contents pages, page marks, and the size limits.
 LEADER_LINE = r"(?m)(\.{3,}|(\. ){3,}|[ ]{3,}|\t+)\s*\d+\s*$"
@@ -336,34 +337,39 @@ def resolve_toc(pages: DataFrame, blocks: DataFrame, check_pages: int = 20, min_
     60 %, otherwise the next one is tried. Contents without page numbers go to
     the headers directly. Documents that fail keep one row without a title.
     """
-    counts = pages.groupBy("doc_id").agg(F.max("page_no").alias("pages"))
+    counts = materialize(pages.groupBy("doc_id").agg(F.max("page_no").alias("pages")), "toc-counts")
     flags = pages.select("doc_id", "page_no", is_toc_page("text", min_lines).alias("is_toc"))
-    found = toc_pages(flags, check_pages)
+    found = materialize(toc_pages(flags, check_pages), "toc-pages")
     toc_last = found.groupBy("doc_id").agg(F.max("page_no").alias("toc_last"))
-    items = toc_items(pages.join(found, ["doc_id", "page_no"], "left_semi"))
+    items = materialize(toc_items(pages.join(found, ["doc_id", "page_no"], "left_semi")), "toc-items")
     numbered = has_page_numbers(items).filter("has_pages").select("doc_id")
     items = items.join(numbered, "doc_id", "left_semi")
 
-    searched = toc_physical_index(items, pages, toc_last, check_pages, threshold)
-    offsets = page_offset(items, searched, 1)
-    by_offset = apply_offset(searched, offsets)
-    everywhere = toc_physical_index(items, pages, toc_last, 1 << 20, threshold) if check_pages is None else searched
-    by_header = headers_to_toc(blocks).withColumn("page", F.lit(None).cast("int"))
+    near = materialize(toc_physical_index(items, pages, toc_last, check_pages, threshold), "toc-near")
+    ends = near.join(counts, "doc_id").join(toc_last, "doc_id")
+    anywhere = _first_page_with(ends, pages, F.col("toc_last") + 1, F.col("pages"), ["doc_id", "item_idx"], threshold)
+
+    def by_offset() -> DataFrame:
+        return apply_offset(near, page_offset(items, near, 1))
+
+    def by_title() -> DataFrame:
+        return near.drop("physical_index").join(anywhere.withColumnRenamed("found", "physical_index"), ["doc_id", "item_idx"], "left")
 
     cols = ["doc_id", "item_idx", "structure", "title", "physical_index"]
     done, open_docs = None, counts.select("doc_id")
-    for name, candidate in (("page_numbers", by_offset), ("titles", everywhere), ("headers", by_header)):
-        rows = candidate.select(*cols).join(open_docs, "doc_id", "left_semi")
-        rows = valid_toc(truncate_physical_index(valid_toc(rows), counts))
-        checked = title_on_page(rows, pages, threshold)
-        rate = toc_accuracy(checked, counts).select("doc_id", "accuracy")
+    for name, candidate in (("page_numbers", by_offset), ("titles", by_title), ("headers", lambda: headers_to_toc(blocks))):
+        rows = valid_toc(candidate().select(*cols).join(open_docs, "doc_id", "left_semi"))
+        rows = materialize(valid_toc(truncate_physical_index(rows, counts)), f"toc-{name}")
+        checked = materialize(title_on_page(rows, pages, threshold), f"toc-{name}-checked")
+        rate = materialize(toc_accuracy(checked, counts).select("doc_id", "accuracy"), f"toc-{name}-rate")
         graded = checked.join(rate, "doc_id")
         ok = graded.filter(F.col("accuracy") >= ACCEPT).withColumn("repaired", F.lit(False))
         fix = repair_toc(graded.filter((F.col("accuracy") > REPAIR) & (F.col("accuracy") < ACCEPT)), pages, counts,
                          threshold=threshold)
-        got = ok.unionByName(fix).withColumn("strategy", F.lit(name))
+        got = materialize(ok.unionByName(fix).withColumn("strategy", F.lit(name)), f"toc-{name}-done")
         done = got if done is None else done.unionByName(got)
-        open_docs = open_docs.join(rate.filter(F.col("accuracy") > REPAIR), "doc_id", "left_anti")
+        solved = rate.filter(F.col("accuracy") > REPAIR)
+        open_docs = materialize(open_docs.join(solved, "doc_id", "left_anti"), f"toc-{name}-open")
     failed = open_docs.withColumn("strategy", F.lit("failed"))
     return done.unionByName(failed, allowMissingColumns=True)
 
@@ -382,8 +388,7 @@ def split_large_nodes(nodes: DataFrame, pages: DataFrame, items: DataFrame, max_
     hits = spread.join(items.select("doc_id", "item_idx", "title", "structure", "physical_index"), ["doc_id", "physical_index"])
     ranked = ordinal(hits, ["doc_id", "node_idx"], ["item_idx"], "_n", dense_chunk("item_idx", rows))
     same = (F.col("_n") == 1) & (tx.strip("title") == tx.strip("_own"))
-    marked = ranked.withColumn("_drop", same)
-    kept = marked.filter(~F.col("_drop"))
+    kept = materialize(ranked.filter(~same), "split-items")
     ahead = scan(kept, ["doc_id", "node_idx"], ["item_idx"], [Run("_next", "lead", F.col("physical_index")),
                                                               Run("_k", "sum", F.lit(1).cast("long"))],
                  dense_chunk("item_idx", rows))

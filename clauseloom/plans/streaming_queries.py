@@ -41,7 +41,7 @@ def _(t):
 def _(t):
     rows = event_stream(t).withColumn("progress", F.round("progress", 6)).withColumn(
         "status", F.when(F.col("id") % 211 == 0, "completed").otherwise("running"))
-    return _run(t, st.stream_changes(rows), "r2").select("id", "task_id", "progress")
+    return _run(t, st.stream_changes(rows, None), "r2").select("id", "task_id", "progress")
 
 
 @query("r3_stream_recent_logs", """

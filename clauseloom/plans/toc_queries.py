@@ -86,7 +86,7 @@ def _(t):
 def _(t):
     blocks = t.toc_doc_pages.select("doc_id", F.explode(F.array(F.lit(0))).alias("block_idx"), F.lit("text").alias("type"), "text",
                                     (F.col("page_no") - 1).alias("page_idx"))
-    out = toc.resolve_toc(t.toc_doc_pages, blocks, 400)
+    out = toc.resolve_toc(t.toc_doc_pages, blocks, 400, min_lines=1)
     return out.select("doc_id", "item_idx", "title", F.col("physical_index").cast("long").alias("physical_index"), "strategy")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.operators.scan import Run, dense_chunk, ordinal, scan, with_adaptive_chunk
 from clauseloom.schemas import POSITIONS_DDL
+from clauseloom.session import materialize
 
 LINES_PER_PAGE = 10
 BLOCKS_PER_DOC = 40
@@ -33,6 +34,14 @@ def one_position(page: Column, x0: Column, y0: Column, x1: Column, y1: Column) -
                             y1.cast("double").alias("y1")))
 
 
+def stored(build):
+    """A corpus that many operators read several times: built once per run, then read as a table."""
+    name = build.__name__
+    prop = cached_property(lambda self: materialize(build(self), name))
+    prop.attrname, prop.__doc__ = name, build.__doc__
+    return prop
+
+
 class Tables:
     """The input tables of one folder, each read once, and the corpora built from them."""
 
@@ -123,7 +132,7 @@ class Tables:
                 .select("n_nationkey", "n_name", F.col("n_regionkey").cast("long").alias("doc_id"),
                         F.row_number().over(rank).cast("string").alias("k"), (F.coalesce(before, F.lit(0)) + 1).alias("at")))
 
-    @cached_property
+    @stored
     def nodes(self) -> DataFrame:
         """Three-level trees: a region with its nations and their customers, in preorder."""
         customers = ordinal(self.read("customer"), ["c_nationkey"], ["c_custkey"], "c", dense_chunk("c_custkey"))
@@ -266,7 +275,7 @@ class Tables:
 
     # -- evidence --------------------------------------------------------------------------------
 
-    @cached_property
+    @stored
     def page_nodes(self) -> DataFrame:
         """Every page of the layout as a node whose positions are those of its valid blocks."""
         from clauseloom.operators.blocks import positions_of
@@ -293,7 +302,7 @@ class Tables:
             F.when(k % 6 == 3, "Figure").alias("image_caption"), F.when(k % 6 == 4, "Table").alias("table_caption"),
             image.alias("img_path"))
 
-    @cached_property
+    @stored
     def header_nodes(self) -> DataFrame:
         """The header blocks of the layout as a flat tree with page ranges."""
         from clauseloom.operators.toc import headers_to_toc
@@ -305,7 +314,7 @@ class Tables:
 
     # -- contents pages --------------------------------------------------------------------------
 
-    @cached_property
+    @stored
     def toc_entries(self) -> DataFrame:
         """Customers of a nation as sections: three to a body page, thirty to a contents page."""
         customers = ordinal(self.read("customer"), ["c_nationkey"], ["c_custkey"], "c", dense_chunk("c_custkey"))
@@ -317,7 +326,7 @@ class Tables:
             (F.floor(place / 3) + 1).cast("int").alias("page"), (F.floor(place / 30) + 1).cast("int").alias("toc_page"),
             "toc_size", "c_mktsegment")
 
-    @cached_property
+    @stored
     def toc_doc_pages(self) -> DataFrame:
         """Contents pages with dot leaders followed by the body pages of each nation's document."""
         line = F.concat("structure", F.lit(" "), "title", F.lit(" ........ "), F.col("page").cast("string"))

@@ -44,7 +44,7 @@ def stream_progress(logs: DataFrame) -> DataFrame:
                                                             GroupStateTimeout.NoTimeout)
 
 
-def _feed(seconds: int):
+def _feed(seconds: int | None):
     def changes(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -63,23 +63,25 @@ def _feed(seconds: int):
             yield rows.loc[~same, ["task_id", "id", "created_at", "progress", "message"]]
         fresh = not state.exists
         state.update((last, done))
-        if fresh or done:
+        if seconds and (fresh or done):
             state.setTimeoutDuration(seconds * 1000)
 
     return changes
 
 
-def stream_changes(logs: DataFrame, seconds: int = FEED_SECONDS) -> DataFrame:
+def stream_changes(logs: DataFrame, seconds: int | None = FEED_SECONDS) -> DataFrame:
     """Entries whose progress changed, up to the task's end.
 
     Entries after the end are dropped while the closed feed is remembered; a
-    processing-time timer removes the state of every feed.
+    processing-time timer removes the state of every feed. A run that shall end
+    with its input (``availableNow``) passes ``None``: a timer keeps it alive.
     """
     status = F.col("status") if "status" in logs.columns else F.lit(None).cast("string")
     narrow = logs.select("task_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), "progress", "message",
                          status.alias("status"))
     return narrow.groupBy("task_id").applyInPandasWithState(_feed(seconds), _OUT, "last double, done boolean", "append",
-                                                            GroupStateTimeout.ProcessingTimeTimeout)
+                                                            GroupStateTimeout.ProcessingTimeTimeout if seconds
+                                                            else GroupStateTimeout.NoTimeout)
 
 
 def _recent(n: int):
