@@ -23,7 +23,7 @@ BINDING = f"""d AS (SELECT doc_id, {corpora.evidence('text')} AS hay FROM docume
     WITH {BINDING} SELECT b.item_id, count(doc_id) AS documents, (count(doc_id) > 0)::BIGINT AS bound,
       min(doc_id) AS first_doc FROM b LEFT JOIN hit USING (item_id) GROUP BY 1""")
 def _(t):
-    hits = passage_binding(t.read("documents"), t.read("benchmark"))
+    hits = passage_binding(t.spread("documents"), t.read("benchmark"))
     per = hits.groupBy("item_id").agg(F.count("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
     return t.read("benchmark").select("item_id").join(per, "item_id", "left").select(
         "item_id", F.coalesce("documents", F.lit(0)).alias("documents"),
@@ -34,7 +34,7 @@ def _(t):
     WITH {BINDING} SELECT count(*) AS passages, count(h) AS bound, round(count(h) / count(*), 6)::DOUBLE AS binding_rate,
       max((SELECT count(*) FROM hit)) AS pairs FROM b LEFT JOIN (SELECT DISTINCT item_id, 1 AS h FROM hit) USING (item_id)""")
 def _(t):
-    per = passage_binding(t.read("documents"), t.read("benchmark")).groupBy("item_id").agg(F.count("doc_id").alias("n"))
+    per = passage_binding(t.spread("documents"), t.read("benchmark")).groupBy("item_id").agg(F.count("doc_id").alias("n"))
     all_items = t.read("benchmark").select("item_id").join(per, "item_id", "left")
     return all_items.agg(F.count(F.lit(1)).alias("passages"), F.count("n").alias("bound"),
                          F.round(F.count("n") / F.count(F.lit(1)), 6).alias("binding_rate"), F.sum("n").alias("pairs"))
@@ -234,7 +234,7 @@ TEST_CUES = [("prohibition", r"(^|[^\p{L}])(not|nicht|pas|no)([^\p{L}]|$)", 1),
       SELECT doc_id, string_split(regexp_replace(text, '([.!?;])\s+|\n+', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents)))
     WHERE s <> '' AND regexp_matches(s, '(^|[^\p{L}])(not|nicht|pas|no|by|bis|pour|por|that|und|les|que)([^\p{L}]|$)')""")
 def _(t):
-    sections = t.read("documents").select("doc_id", F.col("text").alias("original_text"))
+    sections = t.spread("documents").select("doc_id", F.col("text").alias("original_text"))
     return cl.extract_clauses(sections, TEST_CUES).select("doc_id", F.col("item_ord").cast("long").alias("item_ord"), "sentence", "type")
 
 

@@ -52,12 +52,21 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows cost much to process, over all cores when it comes in fewer files than cores.
+
+        Large tables come in many files and are read as they are, without a shuffle.
+        """
+        df = self.read(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     # -- layout blocks ---------------------------------------------------------------------------
 
     @cached_property
     def blocks(self) -> DataFrame:
         """One text block per line of a document, ten lines to a page."""
-        lines = self.read("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_idx", "text"))
+        lines = self.spread("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_idx", "text"))
         row = F.col("block_idx") % LINES_PER_PAGE
         return lines.select(
             "doc_id", "block_idx", F.lit("text").alias("type"), "text",
@@ -78,7 +87,7 @@ class Tables:
         row = idx % BLOCKS_PER_PAGE
         cust = F.col("o_custkey").cast("string")
         no_strings = F.array().cast("array<string>")
-        return self.read("orders").select(
+        return self.spread("orders").select(
             F.floor(k / BLOCKS_PER_DOC).cast("long").alias("doc_id"), idx.alias("block_idx"), kind.alias("type"),
             F.when(kind.isin("text", "header", "equation"),
                    F.concat_ws(" ", "o_orderpriority", "o_orderstatus", cust)).alias("text"),
