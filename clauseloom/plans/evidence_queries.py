@@ -160,21 +160,22 @@ def _(t):
     return c.join(first, ["doc_id", "node_id"]).select("doc_id", "matrix_id", F.round(sim.ratio(F.col("norm"), F.col("body")), 6).alias("score"))
 
 
+def _title_pairs(t):
+    """Titles of the header nodes beside every block with text on their start page."""
+    wanted = t.header_nodes.select("doc_id", "node_idx", tx.normalize_title("title").alias("w"), (F.col("start_index") - 1).alias("page_key"))
+    return wanted.join(slicing.searchable(t.layout), ["doc_id", "page_key"])
+
+
 @query("x4_window_ratio")
 def _(t):
-    pages = t.page_texts.select("doc_id", "page_no", tx.normalize_title("text").alias("body"))
-    names = t.read("documents").select("doc_id", tx.normalize_title(F.element_at(F.split("text", "\n"), 1)).alias("head"))
-    short = names.withColumn("head", F.substring("head", 1, 40))
-    return pages.filter(F.col("page_no") == 1).join(short, "doc_id").select(
-        "doc_id", F.round(sim.window_ratio(F.col("head"), F.substring("body", 5, 200)), 6).alias("score"))
+    return _title_pairs(t).select("doc_id", "node_idx", "block_idx",
+                                  F.round(sim.window_ratio(F.col("w"), F.col("norm")), 6).alias("score"))
 
 
 @query("x5_title_contained")
 def _(t):
-    c, b = t.header_nodes, slicing.searchable(t.layout)
-    pairs = c.select("doc_id", "node_idx", tx.normalize_title("title").alias("w"), (F.col("start_index") - 1).alias("page_key")).join(
-        b, ["doc_id", "page_key"])
-    return pairs.select("doc_id", "node_idx", "block_idx", sim.title_contained(F.col("w"), F.col("norm")).cast("int").alias("hit"))
+    return _title_pairs(t).select("doc_id", "node_idx", "block_idx",
+                                  sim.title_contained(F.col("w"), F.col("norm")).cast("int").alias("hit"))
 
 
 @query("x6_find_title")
