@@ -150,9 +150,10 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order: Sequence[str], tex
                    name: str, chunk: Column | str) -> DataFrame:
     """One string per key: the non-null texts in order, built per chunk first and then over the chunks."""
     chunk_col = F.col(chunk) if isinstance(chunk, str) else chunk
-    parts = (df.withColumn("_t", text).filter(F.col("_t").isNotNull()).withColumn("_chunk", chunk_col)
-             .groupBy(*keys, "_chunk")
-             .agg(F.array_sort(F.collect_list(F.struct(*order, "_t"))).alias("_p"))
+    # Nulls are left out while collecting: a filter on the text would be pushed down and compute it twice.
+    row = F.when(F.col("_t").isNotNull(), F.struct(*order, "_t"))
+    parts = (df.withColumn("_t", text).withColumn("_chunk", chunk_col)
+             .groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(row)).alias("_p")).filter(F.size("_p") > 0)
              .withColumn("_p", F.array_join(F.transform("_p", lambda p: p["_t"]), sep)))
     return (parts.groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct("_chunk", "_p"))).alias("_p"))
