@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, chunkdedup, mixing, simhash
+from clauseloom.llm import bpe, chunkdedup, mixing, ngramlm, simhash
 from clauseloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def in_fold(folds: int, fold: int) -> Column:
+    """Whether crc32 of the doc_id as text leaves ``fold``; a null doc_id is in no fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
+
+
 @query("op1_mix_sources", r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -70,3 +76,8 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM n WINDOW same AS (PARTITION BY norm)""")
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return chunkdedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op10_lm_score")
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return ngramlm.score(table(spark, folder, "documents").withColumn("held_out", in_fold(5, 1)))
