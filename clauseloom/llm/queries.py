@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, chunkdedup, mixing, ngramlm, simhash, toxicity
+from clauseloom.llm import bpe, chunkdedup, linededup, mixing, ngramlm, simhash, toxicity
 from clauseloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", in_fold(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic")
 
 
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.deduplicated_lines(table(spark, folder, "documents"))
+
+
 @query("op8_bpe_round_trip")
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")))
