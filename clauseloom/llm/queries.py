@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, chunkdedup, linededup, mixing, ngramlm, simhash, toxicity
+from clauseloom.llm import bpe, chunkdedup, licenses, linededup, mixing, ngramlm, simhash, topk, toxicity
 from clauseloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,11 +59,57 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query("op3_top_k", """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0)
+SELECT query_id, r::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scores) WHERE r <= 10""")
+def op3_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(topk.whole_vectors(table(spark, folder, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 @query("op4_simhash_near_dedup")
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def _license_sql() -> str:
+    rows = ", ".join(f"({i}, '{name}', '{' '.join(licenses.template_words(text))}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    return rf"""
+WITH templates(t, name, words) AS (VALUES {rows}),
+normal AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS n FROM documents),
+units AS (
+  SELECT doc_id, trim(u) AS u FROM (SELECT doc_id, unnest(string_split(n, chr(10))) AS u FROM normal) UNION ALL
+  SELECT doc_id, replace(p, chr(10), ' ') FROM (SELECT doc_id, trim(unnest(string_split_regex(n, '\n{{2,}}')), chr(10)) AS p FROM normal)
+  WHERE contains(trim(p), chr(10))),
+numbered AS (SELECT row_number() OVER () AS k, doc_id, string_split(u, ' ') AS w FROM units),
+sized AS (SELECT * FROM numbered WHERE len(w) BETWEEN 2 AND 300),
+pairs AS (SELECT k, doc_id, p, count(*) AS c FROM (SELECT k, doc_id, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS p FROM sized) GROUP BY ALL),
+template_pairs AS (SELECT t, name, p, count(*) AS c FROM (
+  SELECT t, name, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS p FROM (SELECT t, name, string_split(words, ' ') AS w FROM templates))
+  GROUP BY ALL),
+common AS (SELECT k, t, sum(least(a.c, b.c)) AS shared FROM pairs a JOIN template_pairs b USING (p) GROUP BY k, t),
+sizes AS (SELECT k, doc_id, len(w) - 1 AS size FROM sized),
+found AS (
+  SELECT k, doc_id, name, 2 * shared::DOUBLE / (size + len(string_split(words, ' ')) - 1) AS dice
+  FROM common JOIN sizes USING (k) JOIN templates USING (t) WHERE 2 * shared::DOUBLE / (size + len(string_split(words, ' ')) - 1) >= {licenses.LEAST}),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dice DESC, name) AS r FROM found) WHERE r = 1),
+grouped AS (SELECT doc_id, list_sort(list(DISTINCT name)) AS licenses, count(*) AS n_matches, first(name ORDER BY dice DESC, name) AS best_license,
+  max(dice) AS best_dice FROM best GROUP BY doc_id)
+SELECT doc_id, coalesce(licenses, []) AS licenses, coalesce(n_matches, 0) AS n_matches, best_license, best_dice
+FROM documents LEFT JOIN grouped USING (doc_id)"""
+
+
+@query("op5_license_scan", _license_sql())
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
