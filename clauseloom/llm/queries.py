@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, chunkdedup, licenses, linededup, mixing, ngramlm, simhash, topk, toxicity
+from clauseloom.llm import bpe, chunkdedup, cotrain, licenses, linededup, mixing, ngramlm, simhash, topk, toxicity
 from clauseloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,13 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query("op2_quality_cotrain")
+def op2_quality_cotrain(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scores = cotrain.score(docs, cotrain.fit(docs, table(spark, folder, "labels")))
+    return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query("op3_top_k", """
 WITH v AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
