@@ -195,20 +195,20 @@ def deduplicated_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def without_duplicate_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with the lines taken out that ``kept_lines`` doesn't keep; all rows stay, and n_chars, if any, counts anew."""
-    kept = materialize(kept_lines(docs, least), "line-kept").select(F.col("doc_id").alias("_id"), "kept")
+    kept = materialize(kept_lines(docs, least), "line-kept").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = []
-                for text, places in zip(part.column("text"), part.column("kept").to_pylist()):
+                for text, places in zip(part.column("text"), part.column("_kept").to_pylist()):
                     stay = set(places or ())
                     own = text.as_py()
                     texts.append(None if own is None else "\n".join(
                         x for i, x in enumerate(own.split("\n")) if i in stay or not x.strip(" \t\n\v\f\r")))
-                yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["kept"])
+                yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["_kept"])
 
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "kept")
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_kept")
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
