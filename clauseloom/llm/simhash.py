@@ -19,7 +19,7 @@ _LANES = np.uint64(0x0101010101010101)
 #: Segments of two bits: their counts (0 to 2) lie side by side in a 32-bit number, one number for each half of a fingerprint.
 _FIELDS, _LOW_BITS = 16, 0x55555555
 #: Pairs of fingerprints are compared one by one in a cell of up to so many; larger cells are linked without pairs.
-CROWD = 4096
+CROWD = 2048
 
 
 def shingle_hashes(text: str, words: int) -> list[int]:
@@ -90,10 +90,6 @@ def _cells(fp: Column, reach: int) -> Column:
     return F.concat(around(0), around(1))
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def _crowd_links(prints: DataFrame, bits: int) -> DataFrame:
     """Links among ``prints`` (fp) that need no pairs: fingerprints within ``bits`` meet in a number half that far from both.
 
@@ -118,45 +114,89 @@ def _crowd_links(prints: DataFrame, bits: int) -> DataFrame:
     return met.join(least, "near").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
+def _least_labels(linked: np.ndarray) -> np.ndarray:
+    """Per row of a symmetric link matrix the smallest row that links reach."""
+    label = np.arange(len(linked))
+    while True:
+        near = np.where(linked, label[None, :], len(label)).min(1)
+        near = np.minimum(near, label)
+        near = near[near]
+        if (near == label).all():
+            return label
+        label = near
+
+
+def _cell_links(entries: DataFrame, bits: int, crowd: int) -> DataFrame:
+    """(a, b) links of the fingerprints that share a cell of ``entries`` (cell, fp), and (a, null) members of crowded cells.
+
+    The members of a cell arrive one behind the other. All are compared, but only as many links come out as connect them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        cells, prints = none, none
+
+        def link(cells, prints, crowded):
+            starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+            sizes = np.diff(np.append(starts, len(cells)))
+            left, right, lone = [], [], []
+            few = np.flatnonzero((sizes > 1) & (sizes <= 8))
+            for step in range(1, 8):  # small cells side by side: each member with the one ``step`` behind it
+                at = np.flatnonzero(np.append(cells[:-step] == cells[step:], np.zeros(min(step, len(cells)), bool))) if len(few) else none
+                near = np.bitwise_count((prints[at] ^ prints[at + step]).view(np.uint64)) <= bits
+                left.append(prints[at[near]])
+                right.append(prints[at[near] + step])
+            for i in np.flatnonzero((sizes > min(8, crowd)) | (cells[starts] == crowded)):
+                own = prints[starts[i]:starts[i] + sizes[i]]
+                if len(own) > crowd or cells[starts[i]] == crowded:
+                    lone.append(own)
+                    continue
+                near = np.bitwise_count((own[:, None] ^ own[None, :]).view(np.uint64)) <= bits
+                label = _least_labels(near)
+                left.append(own[label != np.arange(len(own))])
+                right.append(own[label[label != np.arange(len(own))]])
+            a, b, c = (np.concatenate(x or [none]) for x in (left, right, lone))
+            return pa.record_batch([pa.array(np.concatenate([a, c])), pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(c), pa.int64())])],
+                                   ["a", "b"])
+
+        crowded = None  # the cell whose members pass through, once they are too many to hold
+        for batch in batches:
+            cells = np.concatenate([cells, batch.column(0).to_numpy()])
+            prints = np.concatenate([prints, batch.column(1).to_numpy()])
+            last = int(np.searchsorted(cells, cells[-1]))
+            if last:
+                yield link(cells[:last], prints[:last], crowded)
+                cells, prints = cells[last:], prints[last:]
+            if crowded == cells[0] or len(cells) > crowd:
+                crowded = cells[0]
+                yield pa.record_batch([pa.array(prints[:-1]), pa.nulls(len(prints) - 1, pa.int64())], ["a", "b"])
+                cells, prints = cells[-1:], prints[-1:]
+        if len(cells):
+            yield link(cells, prints, crowded)
+
+    return entries.select("cell", "fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
 def fingerprint_groups(prints: DataFrame, bits: int = 4, crowd: int = CROWD) -> DataFrame:
     """(fp, label): distinct fingerprints of ``prints`` (fp) that links of up to ``bits`` differing bits connect with others.
 
     A fingerprint is mapped to the bit counts of its 32 two-bit segments. The Manhattan distance of two such points is at most
     the number of differing bits, so of two linked fingerprints one half of 16 segments differs by ``bits // 2`` = 2 at most, and
-    both lie within 1 of a common point: each fingerprint enters the grid cells within 1 of it, and linked ones meet in a cell.
-    What meets is verified on the full fingerprints. ``bits`` may be 0 to 5.
+    both lie within 1 of a common point: each fingerprint enters the grid cells within 1 of it, and linked ones meet in a cell,
+    where they are verified on all bits. ``bits`` may be 0 to 5.
 
-    Dense clumps of near copies would give pairs without number. So first each member of a cell is compared with the smallest
-    member only; then, in cells that still hold different groups, members of different groups are compared, and links need be
-    emitted between groups only. Cells beyond ``crowd`` members are linked through common neighbours instead, again exactly.
+    A dense clump of near copies has links without number; a cell gives only as many as connect its members. The members of a
+    cell beyond ``crowd`` pass through, and are linked through common neighbours instead, again exactly.
     """
     if not 0 <= bits <= 5:
         raise ValueError("the grid finds up to 5 differing bits")
-    prints = materialize(prints.select("fp").distinct(), "simhash-prints")
-    entries = materialize(prints.select("fp", F.explode(_cells(F.col("fp"), 1)).alias("cell")), "simhash-cells")
-    least = materialize(entries.groupBy("cell").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1"),
-                        "simhash-least")
-    shared = materialize(entries.join(least, "cell"), "simhash-shared")
-    links = shared.where((F.col("fp") != F.col("least")) & (_distance("fp", "least") <= bits)).select(
-        F.col("fp").alias("a"), F.col("least").alias("b"))
-    crowded = shared.where(F.col("members") > crowd).select("fp").distinct()
+    prints = prints.select("fp").distinct()
+    entries = prints.select("fp", F.explode(_cells(F.col("fp"), 1)).alias("cell"))
+    found = materialize(_cell_links(entries, bits, crowd).distinct(), "simhash-links")
+    links, crowded = found.where("b IS NOT NULL"), found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     if not crowded.isEmpty():
         links = links.union(_crowd_links(crowded, bits))
-    first = components(links)
-    fits = shared.where((F.col("members") > 2) & (F.col("members") <= crowd)).select("cell", "fp")
-    known = materialize(fits.join(first, F.col("fp") == F.col("node"), "left").select(
-        "cell", "fp", F.coalesce("label", "fp").alias("label")), "simhash-known")
-    mixed = materialize(known.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cell"),
-                        "simhash-mixed")
-    left = materialize(known.join(mixed, "cell", "left_semi"), "simhash-left")
-    right = left.select("cell", F.col("fp").alias("other"), F.col("label").alias("other_label"))
-    more = left.join(right, "cell").where((F.col("label") < F.col("other_label")) & (_distance("fp", "other") <= bits)).select(
-        F.col("label").alias("a"), F.col("other_label").alias("b"))
-    second = components(more)
-    total = first.withColumnRenamed("node", "fp").join(
-        second.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("fp", F.coalesce("to", "label").alias("label"))
-    fresh = second.select(F.col("node").alias("fp"), "label").join(first.select(F.col("node").alias("fp")), "fp", "left_anti")
-    return total.unionByName(fresh)
+    return components(links).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, crowd: int = CROWD) -> DataFrame:

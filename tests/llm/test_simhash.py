@@ -34,7 +34,7 @@ def signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-@pytest.mark.parametrize("crowd", [4096, 3])
+@pytest.mark.parametrize("crowd", [2048, 12, 3])
 def test_groups_equal_brute_force(spark, crowd):
     rng = random.Random(5)
     prints = set()
@@ -48,8 +48,13 @@ def test_groups_equal_brute_force(spark, crowd):
             prints.add(x)
     clump = rng.getrandbits(64)
     prints |= {clump ^ (1 << i) ^ (1 << j) for i in range(10) for j in range(10)}
-    got = {r.fp: r.label for r in fingerprint_groups(
-        spark.createDataFrame([(signed(p),) for p in prints], "fp long"), 4, crowd).collect()}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.fp: r.label for r in fingerprint_groups(
+            spark.createDataFrame([(signed(p),) for p in prints], "fp long"), 4, crowd).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     want = brute_components(prints)
     sizes = {}
     for p, r in want.items():
