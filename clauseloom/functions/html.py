@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,23 +15,32 @@ TABLE_OPEN, TABLE_CLOSE = r"(?i)<table\b[^>]*>", r"(?i)</table\s*>"
 ROW_OPEN, ROW_CLOSE = r"(?i)<tr\b[^>]*>", r"(?i)</tr\s*>"
 CELL_OPEN, CELL_CLOSE = r"(?i)<t[dh]\b[^>]*>", r"(?i)</t[dh]\s*>"
 ANY_TAG = r"(?s)<!--.*?-->|<[^>]*>"
-NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+REFERENCE = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _names() -> Column:
+    """The standard's named references as one map, built from Python's table."""
+    return F.from_json(F.lit(json.dumps({name[:-1]: char for name, char in html.entities.html5.items() if name.endswith(";")})), "map<string,string>")
 
 
 def unescape(text: Column) -> Column:
-    """Decimal and the common named character references."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7});"), F.lit(1)))
-
-    def one(acc: Column, code: Column) -> Column:
-        number = code.try_cast("int")
-        char = F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")
-        return F.when(number.between(1, 0x10FFFF), F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char)
-                      ).otherwise(acc)
-
-    out = F.aggregate(codes, text, one)
-    for name, char in NAMED.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Decimal, hexadecimal and named character references, each decoded once; unknown ones stay as they are.
+
+    The text is cut at its references, so what a reference decodes to is never read again as a part of another.
+    """
+    plain = F.split(text, REFERENCE, -1)
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+
+    def one(name: Column) -> Column:
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+        number = digits.try_cast("long")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32")
+        known = F.when(name.startswith("#"), char).otherwise(F.try_element_at(_names(), name))
+        return F.coalesce(known, F.concat(F.lit("&"), name, F.lit(";")))
+
+    pieces = F.zip_with(plain, found, lambda p, r: F.concat(p, F.coalesce(one(r), F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def _opened(text: Column, opening: str) -> Column:

@@ -104,9 +104,10 @@ def slice_blocks(blocks: DataFrame, spans: DataFrame, span_keys: list[str]) -> D
     """Blocks strictly between ``start_idx`` and ``end_idx`` on pages ``first_page``..``last_page`` of each span.
 
     The page range is spread to pages, so the join is on document and page. A
-    span without a range (null pages) joins on the document alone.
+    span without a range (null pages) joins on the document alone. A range that
+    ends before it starts has no page.
     """
-    paged = spans.filter(F.col("first_page").isNotNull()).withColumn(
+    paged = spans.filter("last_page >= greatest(first_page, -1)").withColumn(
         "page_idx", F.explode(F.sequence(F.greatest(F.col("first_page"), F.lit(-1)), "last_page")))
     keyed = blocks.withColumn("page_key", F.coalesce("page_idx", F.lit(-1)))
     inside = (F.col("block_idx") > F.col("start_idx")) & (F.col("block_idx") < F.col("end_idx"))

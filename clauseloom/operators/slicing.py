@@ -140,7 +140,7 @@ def resolve_end(spans: DataFrame, blocks: DataFrame, keys: list[str], threshold:
         (F.col("last_page") + END_BUFFER).alias("last_page"), (F.col("start_idx") + 1).alias("start_from"))
     hit = find_title(searched, blocks, keys, threshold).withColumnRenamed("found", "_hit")
     per_page = blocks.groupBy("doc_id", F.coalesce("page_idx", F.lit(-1)).alias("page_key")).agg(F.max("block_idx").alias("_m"))
-    in_range = (spans.select(*dict.fromkeys([*keys, "doc_id"]), F.explode(F.sequence("first_page", "last_page")).alias("page_key"))
+    in_range = (spans.filter("last_page >= first_page").select(*dict.fromkeys([*keys, "doc_id"]), F.explode(F.sequence("first_page", "last_page")).alias("page_key"))
                 .join(per_page, ["doc_id", "page_key"]).groupBy(*keys).agg((F.max("_m") + 1).alias("_last")))
     length = per_page.groupBy("doc_id").agg((F.max("_m") + 1).alias("_length"))
     return (spans.join(hit, keys, "left").join(in_range, keys, "left").join(length, "doc_id", "left")

@@ -173,8 +173,9 @@ def clauses_flat(clauses: DataFrame) -> DataFrame:
 
 
 def search_clauses(clauses: DataFrame, keyword: str, task_id: str | None = None, limit: int | None = 50) -> DataFrame:
-    """Case-insensitive substring search; ``%`` and ``_`` in the keyword are wildcards; text cut to 200."""
-    rows = clauses.filter(F.col("original_text").ilike(f"%{keyword}%"))
+    """Case-insensitive substring search; ``%`` and ``_`` in the keyword are wildcards, a backslash is itself; text cut to 200."""
+    escaped = keyword.replace("\\", "\\\\")
+    rows = clauses.filter(F.col("original_text").ilike(f"%{escaped}%"))
     if task_id is not None:
         rows = rows.filter(F.col("task_id") == task_id)
     rows = rows.withColumn("original_text", F.substring("original_text", 1, 200)).orderBy("page_number", "id")

@@ -196,19 +196,21 @@ def is_toc_page(text: Column | str, k: int = 3) -> Column:
 def toc_pages(flags: DataFrame, n: int = 20, after: DataFrame | None = None) -> DataFrame:
     """First run of consecutive contents pages that starts within the first ``n`` pages; it may run past them.
 
-    ``flags`` are (doc_id, page_no from 1, is_toc); ``after`` (doc_id, page_no)
+    ``flags`` are (doc_id, page_no from 1, is_toc) and, where a page needs less
+    to continue a run than to start one, ``continues``; ``after`` (doc_id, page_no)
     restarts the search behind a page. Two aggregates instead of a window: the
     first hit, then the first miss behind it.
     """
-    rows = flags
+    rows = flags if "continues" in flags.columns else flags.withColumn("continues", F.col("is_toc"))
+    rows = rows.withColumn("continues", F.col("continues") | F.col("is_toc"))
     if after is not None:
-        rows = flags.join(after.select("doc_id", F.col("page_no").alias("_after")), "doc_id").filter(
+        rows = rows.join(after.select("doc_id", F.col("page_no").alias("_after")), "doc_id").filter(
             F.col("page_no") > F.col("_after")).drop("_after")
     first = rows.filter("is_toc").groupBy("doc_id").agg(F.min("page_no").alias("_first")).filter(F.col("_first") <= n)
-    miss = (rows.filter(~F.col("is_toc")).join(first, "doc_id").filter(F.col("page_no") > F.col("_first"))
+    miss = (rows.filter(~F.col("continues")).join(first, "doc_id").filter(F.col("page_no") > F.col("_first"))
             .groupBy("doc_id").agg(F.min("page_no").alias("_miss")))
     span = first.join(miss, "doc_id", "left")
-    return (rows.filter("is_toc").join(span, "doc_id")
+    return (rows.filter("continues").join(span, "doc_id")
             .filter((F.col("page_no") >= F.col("_first")) & (F.col("_miss").isNull() | (F.col("page_no") < F.col("_miss"))))
             .select("doc_id", "page_no"))
 
@@ -241,8 +243,7 @@ def headers_to_toc(blocks: DataFrame, rows: int | None = None) -> DataFrame:
     """Header blocks and numbered lines as items; the code comes from the numbering, the index from the page."""
     text = tx.strip(F.coalesce("text", F.lit("")))
     heads = (blocks.withColumn("_t", text).filter((F.col("_t") != "") & F.col("page_idx").isNotNull())
-             .filter((F.col("type") == "header") | ((F.col("type") == "text") & F.col("_t").rlike(NUMBERED)
-                                                   & (F.length("_t") <= 120))))
+             .filter((F.col("type") == "header") | ((F.col("type") == "text") & F.col("_t").rlike(NUMBERED))))
     numbered = F.col("_t").rlike(NUMBERED)
     items = heads.select("doc_id", "block_idx", F.nullif(F.regexp_extract("_t", NUMBERED, 1), F.lit("")).alias("structure"),
                          F.when(numbered, F.regexp_extract("_t", NUMBERED, 2)).otherwise(F.col("_t")).alias("title"),
@@ -338,7 +339,8 @@ def resolve_toc(pages: DataFrame, blocks: DataFrame, check_pages: int = 20, min_
     the headers directly. Documents that fail keep one row without a title.
     """
     counts = materialize(pages.groupBy("doc_id").agg(F.max("page_no").alias("pages")), "toc-counts")
-    flags = pages.select("doc_id", "page_no", is_toc_page("text", min_lines).alias("is_toc"))
+    # The last page of a long list is often short: one line is enough to continue a run.
+    flags = pages.select("doc_id", "page_no", is_toc_page("text", min_lines).alias("is_toc"), is_toc_page("text", 1).alias("continues"))
     found = materialize(toc_pages(flags, check_pages), "toc-pages")
     toc_last = found.groupBy("doc_id").agg(F.max("page_no").alias("toc_last"))
     items = materialize(toc_items(pages.join(found, ["doc_id", "page_no"], "left_semi")), "toc-items")

@@ -13,11 +13,13 @@ from clauseloom.functions import text as tx
 from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, ordinal, scan, with_adaptive_chunk
 from clauseloom.session import materialize
 
-MAX_DEPTH = 12
+def _depth(nodes: DataFrame, limit: int | None) -> int:
+    """How many levels to scan for: ``limit`` where the caller knows one, else the deepest level that occurs (one aggregate)."""
+    return limit if limit is not None else int(nodes.agg(F.max("level")).first()[0] or 1)
 
 
 def _checked_level(limit: int) -> Column:
-    """The level, or an error for a tree deeper than the scan covers: never a silent loss."""
+    """The level, or an error for a tree deeper than the given limit: never a silent loss."""
     return F.when(F.col("level") > limit, F.raise_error(F.lit(f"tree deeper than max_depth={limit}"))
                   ).otherwise(F.col("level"))
 
@@ -57,8 +59,9 @@ def fill_ranges(nodes: DataFrame, rows: int | None = None) -> DataFrame:
             .withColumn("fill_end", F.greatest(end, F.col("start_index"))).drop("_up", "_n", "_sib"))
 
 
-def parents_by_level(nodes: DataFrame, order: str = "node_idx", max_level: int = 6, rows: int | None = None) -> DataFrame:
+def parents_by_level(nodes: DataFrame, order: str = "node_idx", max_level: int | None = None, rows: int | None = None) -> DataFrame:
     """``parent_idx``: the nearest earlier node of a smaller level."""
+    max_level = _depth(nodes, max_level)
     runs = [Run(f"_p{lv}", "last", F.when(F.col("level") < lv, F.col(order)), inclusive=False)
             for lv in range(2, max_level + 1)]
     found = scan(nodes.withColumn("level", _checked_level(max_level)), ["doc_id"], [order], runs, dense_chunk(order, rows))
@@ -94,11 +97,12 @@ def add_preface(toc: DataFrame) -> DataFrame:
 
 
 def default_root(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A whole-document node, pages 1 to 999, for documents without any node."""
-    return docs.select("doc_id").join(nodes.select("doc_id"), "doc_id", "left_anti").select(
+    """A whole-document node for documents without any node, up to the page ``pages`` where ``docs`` has it, else up to page 999."""
+    known = F.col("pages") if "pages" in docs.columns else F.lit(None)
+    return docs.select("doc_id", known.cast("int").alias("_pages")).join(nodes.select("doc_id"), "doc_id", "left_anti").select(
         "doc_id", F.lit(0).cast("long").alias("node_idx"), F.lit("0000").alias("node_id"),
         F.lit(None).cast("long").alias("parent_idx"), F.lit(1).alias("level"), F.lit("1").alias("structure"),
-        F.lit("Full Document").alias("title"), F.lit(1).alias("start_index"), F.lit(999).alias("end_index"))
+        F.lit("Full Document").alias("title"), F.lit(1).alias("start_index"), F.coalesce("_pages", F.lit(999)).alias("end_index"))
 
 
 # -- leaves, paths, labels ------------------------------------------------------------------------
@@ -109,8 +113,9 @@ def with_is_leaf(nodes: DataFrame, rows: int | None = None) -> DataFrame:
     return ahead.withColumn("is_leaf", ~F.coalesce(F.col("_up") == F.col("node_idx"), F.lit(False))).drop("_up")
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int = MAX_DEPTH, rows: int | None = None) -> DataFrame:
+def flatten_tree(nodes: DataFrame, max_depth: int | None = None, rows: int | None = None) -> DataFrame:
     """Nodes with their title path ``a/b/c`` and ``has_children``. Levels count from 1 without gaps."""
+    max_depth = _depth(nodes, max_depth)
     named = nodes.withColumn("title", F.when(F.coalesce("title", F.lit("")) == "", "Unknown").otherwise(F.col("title")))
     runs = [Run(f"_t{lv}", "last", F.when(F.col("level") == lv, F.col("title"))) for lv in range(1, max_depth + 1)]
     runs.append(Run("_up", "lead", F.col("parent_idx")))
@@ -122,12 +127,13 @@ def flatten_tree(nodes: DataFrame, max_depth: int = MAX_DEPTH, rows: int | None
             .drop(*[r.name for r in runs]))
 
 
-def leaf_nodes(nodes: DataFrame, max_depth: int = MAX_DEPTH, rows: int | None = None) -> DataFrame:
+def leaf_nodes(nodes: DataFrame, max_depth: int | None = None, rows: int | None = None) -> DataFrame:
     return flatten_tree(nodes, max_depth, rows).filter(~F.col("has_children")).drop("has_children")
 
 
-def hierarchy_labels(nodes: DataFrame, max_depth: int = MAX_DEPTH, rows: int | None = None) -> DataFrame:
+def hierarchy_labels(nodes: DataFrame, max_depth: int | None = None, rows: int | None = None) -> DataFrame:
     """``label``: the ranks among siblings from the root down, such as 1.2.3."""
+    max_depth = _depth(nodes, max_depth)
     keyed = nodes.withColumn("_up", F.coalesce("parent_idx", F.lit(-1))).withColumn("level", _checked_level(max_depth))
     ranked = materialize(ordinal(keyed, ["doc_id", "_up"], ["node_idx"], "_rank", dense_chunk("node_idx", rows)), "ranks")
     runs = [Run(f"_r{lv}", "last", F.when(F.col("level") == lv, F.col("_rank"))) for lv in range(1, max_depth + 1)]
@@ -138,9 +144,10 @@ def hierarchy_labels(nodes: DataFrame, max_depth: int = MAX_DEPTH, rows: int | N
 
 # -- subtrees -------------------------------------------------------------------------------------
 
-def subtree_ends(nodes: DataFrame, carry: dict[str, Column] | None = None, max_depth: int = MAX_DEPTH,
+def subtree_ends(nodes: DataFrame, carry: dict[str, Column] | None = None, max_depth: int | None = None,
                  order: str = "node_idx", rows: int | None = None) -> DataFrame:
     """``_stop``: the first later node that leaves the subtree (index ``at`` and the ``carry`` values); null at the end."""
+    max_depth = _depth(nodes, max_depth)
     values = F.struct(F.col(order).alias("at"), *[v.alias(k) for k, v in (carry or {}).items()])
     runs = [Run(f"_f{lv}", "first", F.when(F.col("level") <= lv, values), inclusive=False)
             for lv in range(1, max_depth + 1)]
@@ -149,7 +156,7 @@ def subtree_ends(nodes: DataFrame, carry: dict[str, Column] | None = None, max_d
     return found.withColumn("_stop", stop).drop(*[r.name for r in runs])
 
 
-def subtree_sums(nodes: DataFrame, value: Column, name: str, max_depth: int = MAX_DEPTH, order: str = "node_idx",
+def subtree_sums(nodes: DataFrame, value: Column, name: str, max_depth: int | None = None, order: str = "node_idx",
                  rows: int | None = None) -> DataFrame:
     """Sum of ``value`` over each node and its descendants, as a difference of two suffix sums."""
     tail = materialize(scan(nodes, ["doc_id"], [order], [Run("_tail", "suffix_sum", value)], dense_chunk(order, rows)),
@@ -158,11 +165,11 @@ def subtree_sums(nodes: DataFrame, value: Column, name: str, max_depth: int = MA
     return ends.withColumn(name, F.col("_tail") - F.coalesce(F.col("_stop.tail"), F.lit(0))).drop("_tail", "_stop")
 
 
-def subtree_tokens(nodes: DataFrame, max_depth: int = 6, order: str = "node_idx", rows: int | None = None) -> DataFrame:
+def subtree_tokens(nodes: DataFrame, max_depth: int | None = None, order: str = "node_idx", rows: int | None = None) -> DataFrame:
     return subtree_sums(nodes, F.col("token_count"), "subtree_tokens", max_depth, order, rows)
 
 
-def subtree_clause_counts(nodes: DataFrame, clauses: DataFrame, max_depth: int = MAX_DEPTH, rows: int | None = None
+def subtree_clause_counts(nodes: DataFrame, clauses: DataFrame, max_depth: int | None = None, rows: int | None = None
                           ) -> DataFrame:
     """Clauses in the subtree of each node."""
     own = clauses.groupBy("doc_id", "node_id").agg(F.count(F.lit(1)).alias("_own"))
@@ -170,7 +177,7 @@ def subtree_clause_counts(nodes: DataFrame, clauses: DataFrame, max_depth: int =
     return subtree_sums(joined, F.col("_own"), "clause_count", max_depth, rows=rows).drop("_own")
 
 
-def thin_tree(nodes: DataFrame, min_tokens: int, max_depth: int = 6, rows: int | None = None) -> DataFrame:
+def thin_tree(nodes: DataFrame, min_tokens: int, max_depth: int | None = None, rows: int | None = None) -> DataFrame:
     """Fold small subtrees into one node each.
 
     A node below ``min_tokens`` (its subtree counted) takes in all descendants.

@@ -106,7 +106,7 @@ CORPORA: dict[str, tuple[str, str]] = {
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn, i) AS line_num, l[i] AS line
         FROM (SELECT doc_id, turn, l, unnest(range(1, len(l) + 1)) AS i FROM (
           SELECT conv_id AS doc_id, turn, string_split(CASE role
-            WHEN 'user' THEN repeat('#', (turn % 4 + 1)::INT) || ' ' || replace(text[1:40], chr(10), ' ')
+            WHEN 'user' THEN repeat('#', (turn % 4 + 1)::INT) || ' ' || replace(text, chr(10), ' ')
             WHEN 'system' THEN '```' || chr(10) || '# ' || text || chr(10) || '```' ELSE text END, chr(10)) AS l
           FROM conversations))"""),
     "tasks": ("", """

@@ -149,7 +149,7 @@ def _(t):
 
 def _titles(t):
     return t.header_nodes.select("doc_id", "node_idx", "title", (F.col("start_index") - 1).alias("first_page"),
-                                 F.greatest("start_index", "end_index").alias("last_page"))
+                                 F.col("end_index").alias("last_page"))
 
 
 @query("x3_ratio")

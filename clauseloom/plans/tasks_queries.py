@@ -76,9 +76,9 @@ def _(t):
     FROM ({SECTIONS_SQL}) WHERE task_id = '77'""")
 def _(t):
     from pyspark.sql import Window
-    rows = ops.task_sections(sections(t), "77")
+    rows = ops.task_sections(sections(t), "77").withColumn("task", F.lit("77"))
     return rows.select("id", "priority", F.row_number().over(
-        Window.orderBy(F.asc_nulls_first("priority"), "id")).cast("long").alias("pos"))
+        Window.partitionBy("task").orderBy(F.asc_nulls_first("priority"), "id")).cast("long").alias("pos"))
 
 
 @query("o5_task_clauses", """

@@ -37,17 +37,37 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 _own_dirs: dict[str, str] = {}
+_stored: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; under a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder under ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    Where neither is set, a local session gets a temporary folder; on a cluster that is an error, as executors would not see
+    each other's files.
+    """
+    context = spark.sparkContext
+    app = context.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        app = spark.sparkContext.applicationId
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         base = _own_dirs[app]
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _stored.setdefault(app, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that operators have stored for this application so far; results that read them must be done with."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _stored.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

@@ -53,13 +53,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table whose rows cost much to process, over all cores when it comes in fewer files than cores.
+        """A table whose rows cost much to process, over all cores when its scan has fewer pieces than cores.
 
-        Large tables come in many files and are read as they are, without a shuffle.
+        Large tables have many pieces and are read as they are, without a shuffle; only their number is asked for.
         """
         df = self.read(name)
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     # -- layout blocks ---------------------------------------------------------------------------
 
@@ -185,7 +185,7 @@ class Tables:
         """Lines of one Markdown text per conversation: user turns are headings, system turns are fenced."""
         turns = self.read("conversations")
         head = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 4 + 1).cast("int")), F.lit(" "),
-                        F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")))
+                        F.replace("text", F.lit("\n"), F.lit(" ")))
         body = (F.when(F.col("role") == "user", head)
                 .when(F.col("role") == "system", F.concat(F.lit("```\n# "), F.col("text"), F.lit("\n```")))
                 .otherwise(F.col("text")))
@@ -299,7 +299,7 @@ class Tables:
         idx = k % BLOCKS_PER_DOC
         whole = F.concat_ws(" ", "o_orderpriority", "o_orderstatus", cust)
         text = (F.when(k % 5 == 0, F.concat(F.lit("(1) "), whole))
-                .when(k % 5 == 1, F.concat(F.substring(whole, 1, 4), F.lit("x"), F.substring(whole, 5, 100)))
+                .when(k % 5 == 1, F.concat(F.substring(whole, 1, 4), F.lit("x"), F.substr(whole, F.lit(5))))
                 .when(k % 5 == 2, F.substring(whole, 2, 8))
                 .when(k % 5 == 3, F.concat_ws(" ", cust, F.lit("customer"), "o_orderpriority"))
                 .otherwise("nothing of this kind"))

@@ -46,10 +46,17 @@ def stream_progress(logs: DataFrame) -> DataFrame:
 
 def _feed(seconds: int | None):
     def changes(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs() if seconds else 0
         if state.hasTimedOut:
-            state.remove()
+            last, done, opened = state.get
+            if now >= opened + 2 * seconds * 1000:
+                state.remove()
+            else:  # the feed closes; the mark that it is closed lives as long again, so late rows don't reopen it
+                state.update((last, True, opened))
+                state.setTimeoutDuration(max(1, opened + 2 * seconds * 1000 - now))
             return
-        last, done = state.get if state.exists else (None, False)
+        seen = state.exists
+        last, done, opened = state.get if seen else (None, False, now)
         if not done:
             rows = _ordered(frames)
             ends = rows["status"].isin(["completed", "failed"]).to_numpy()
@@ -58,13 +65,13 @@ def _feed(seconds: int | None):
             before = rows["progress"].shift(1)
             same = rows["progress"].eq(before) | (rows["progress"].isna() & before.isna())
             first = rows["progress"].iloc[0]
-            same.iloc[0] = last is not None and (first == last)
+            unknown = last is None or np.isnan(last)
+            same.iloc[0] = seen and ((unknown and pd.isna(first)) or (not unknown and first == last))
             last = float(rows["progress"].iloc[-1])
             yield rows.loc[~same, ["task_id", "id", "created_at", "progress", "message"]]
-        fresh = not state.exists
-        state.update((last, done))
-        if seconds and (fresh or done):
-            state.setTimeoutDuration(seconds * 1000)
+        state.update((last, done, opened))
+        if seconds:  # a timer lapses with every call, so what is left of it is set again
+            state.setTimeoutDuration(max(1, opened + (2 if done else 1) * seconds * 1000 - now))
 
     return changes
 
@@ -72,14 +79,15 @@ def _feed(seconds: int | None):
 def stream_changes(logs: DataFrame, seconds: int | None = FEED_SECONDS) -> DataFrame:
     """Entries whose progress changed, up to the task's end.
 
-    Entries after the end are dropped while the closed feed is remembered; a
-    processing-time timer removes the state of every feed. A run that shall end
+    A feed closes ``seconds`` after its first entry or with the task's end, and is
+    remembered as closed until twice that time: entries meanwhile are dropped.
+    Then a processing-time timer removes its state. A run that shall end
     with its input (``availableNow``) passes ``None``: a timer keeps it alive.
     """
     status = F.col("status") if "status" in logs.columns else F.lit(None).cast("string")
     narrow = logs.select("task_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), "progress", "message",
                          status.alias("status"))
-    return narrow.groupBy("task_id").applyInPandasWithState(_feed(seconds), _OUT, "last double, done boolean", "append",
+    return narrow.groupBy("task_id").applyInPandasWithState(_feed(seconds), _OUT, "last double, done boolean, opened long", "append",
                                                             GroupStateTimeout.ProcessingTimeTimeout if seconds
                                                             else GroupStateTimeout.NoTimeout)
 
