@@ -38,6 +38,10 @@ class Run:
     inclusive: bool = True
 
 
+#: Most chunks of a key that ``with_adaptive_chunk`` splits.
+PIECES = 256
+
+
 def dense_chunk(ordinal: str | Column, rows: int | None = None) -> Column:
     """Chunk number of a dense 0-based ordinal such as a block or node index."""
     col = F.col(ordinal) if isinstance(ordinal, str) else ordinal
@@ -48,19 +52,20 @@ def with_adaptive_chunk(df: DataFrame, keys: Sequence[str], position: Column, na
                         rows: int | None = None) -> DataFrame:
     """Add a chunk number that never decreases with a numeric ``position`` of any spread.
 
-    Only keys above ``rows`` rows are split, evenly over their own value range.
-    Their statistics come from one map-side combined aggregate.
+    Only keys above ``rows`` rows are split, at quantiles of their own positions, so that outliers don't leave all other rows in
+    one chunk. Rows of one position stay together.
     """
     rows = rows or CHUNK_ROWS
+    keys = list(keys)
     with_pos = df.withColumn("_pos", position.cast("long"))
-    hot = (with_pos.groupBy(*keys)
-           .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-           .filter(F.col("_n") > rows))
-    pieces = F.ceil(F.col("_n") / F.lit(float(rows)))
-    share = (F.col("_pos") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")
-    return (with_pos.join(hot, list(keys), "left")
-            .withColumn(name, F.coalesce(F.floor(share * pieces), F.lit(0)).cast("long"))
-            .drop("_pos", "_n", "_lo", "_hi"))
+    hot = with_pos.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    shares = [i / PIECES for i in range(1, PIECES)]
+    cuts = with_pos.join(hot, keys).groupBy(*keys).agg(F.percentile_approx("_pos", shares, 20 * PIECES).alias("_cuts"), F.max("_n").alias("_n"))
+    stride = F.ceil(PIECES / F.least(F.lit(PIECES), F.ceil(F.col("_n") / F.lit(float(rows)))))
+    place = F.size(F.filter("_cuts", lambda c: c < F.col("_pos")))
+    return (with_pos.join(cuts, keys, "left")
+            .withColumn(name, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.floor(place / stride)).cast("long"))
+            .drop("_pos", "_n", "_cuts"))
 
 
 def _neighbour(kind: str) -> bool:

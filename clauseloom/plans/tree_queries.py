@@ -257,7 +257,8 @@ def _(t):
       ORDER BY (image_caption IS NOT NULL OR table_caption IS NOT NULL), seq)) AS matrix_id FROM node_clauses""", "node_clauses")
 def _(t):
     rows = t.node_clauses.withColumn("is_visual", cl.is_visual())
-    out = cl.number_clauses(rows, ["doc_id", "node_id"], "node_id", ["is_visual", "seq"], F.col("is_visual").cast("int"))
+    out = cl.number_clauses(rows, ["doc_id", "node_id"], "node_id", ["is_visual", "seq"],
+                            F.col("is_visual").cast("long") * (1 << 40) + F.col("seq"))
     return out.select("doc_id", "seq", "matrix_id")
 
 

@@ -1,5 +1,7 @@
 """Inputs at which earlier versions lost rows, stopped or answered wrongly."""
 
+from collections import Counter
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from clauseloom import session
 from clauseloom.functions.html import unescape
 from clauseloom.operators import blocks as bl
 from clauseloom.operators import tasks, toc, tree
+from clauseloom.operators.scan import with_adaptive_chunk
 from clauseloom.streaming.progress import _feed
 
 
@@ -58,6 +61,15 @@ def test_default_root_ends_with_the_document(spark):
     assert {r.doc_id: r.end_index for r in tree.default_root(docs, none).collect()} == {1: 1500, 2: 999}
 
 
+def test_one_outlier_leaves_even_chunks(spark):
+    rows = [("hot", i) for i in range(2000)] + [("hot", 10**12)] + [("cold", i) for i in range(5)]
+    cut = with_adaptive_chunk(spark.createDataFrame(rows, "k string, v long"), ["k"], F.col("v"), "c", 100).collect()
+    sizes = Counter(r.c for r in cut if r.k == "hot")
+    assert max(sizes.values()) <= 250 and {r.c for r in cut if r.k == "cold"} == {0}
+    ordered = [r.c for r in sorted(cut, key=lambda r: r.v) if r.k == "hot"]
+    assert ordered == sorted(ordered)
+
+
 class _State:
     """A group's state with a clock of its own."""
 
