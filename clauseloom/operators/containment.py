@@ -16,26 +16,38 @@ def _anchor_size(text: Column) -> Column:
     return out
 
 
+def _anchors(sized: DataFrame, scope: list[str]) -> DataFrame:
+    """One anchor per needle: of the substrings at its start, thirds and end the one that fewest needles offer."""
+    room = F.length("needle") - F.col("_size")
+    places = F.array(F.lit(1), (F.floor(room / 3) + 1).cast("int"), (F.floor(2 * room / 3) + 1).cast("int"), room + 1)
+    options = sized.select(*scope, "_needle", "_size", "needle").dropDuplicates([*scope, "_needle"]).select(
+        *scope, "_needle", "_size", F.explode(F.array_distinct(F.transform(places, lambda p: F.xxhash64(
+            F.substr("needle", p, F.col("_size")))))).alias("_anchor"))
+    offered = options.groupBy(*scope, "_size", "_anchor").agg(F.count(F.lit(1)).alias("_n"))
+    return options.join(offered, [*scope, "_size", "_anchor"]).groupBy(*scope, "_needle", "_size").agg(
+        F.min_by("_anchor", F.struct("_n", "_anchor")).alias("_anchor"))
+
+
 def containing_pairs(needles: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
     """Rows of ``needles`` (column ``needle``) beside the rows of ``texts`` (column ``hay``) that contain them.
 
-    Every text yields its distinct substrings of the anchor sizes in use, they
-    meet the needles' anchors in an equi join within ``scope``, and only these
-    candidates are compared in full. Empty needles match nothing.
+    Every text yields hashes of its distinct substrings of the anchor sizes in use; they meet one anchor of each needle in an
+    equi join within ``scope``. Only digests and hashes travel to that join: a text moves once, to be compared in full with the
+    needles whose anchor it has. Empty needles match nothing. Asks for the sizes in use (at most a handful) when called.
     """
-    sized = needles.filter(F.length("needle") > 0).withColumn("_size", _anchor_size(F.col("needle")))
-    keyed = sized.withColumn("_anchor", F.xxhash64(F.substring(F.col("needle"), F.lit(1), F.col("_size"))))
-    # One row with at most as many numbers as there are sizes: always small enough to broadcast.
-    in_use = sized.agg(F.collect_set("_size").alias("_sizes")).withColumn("_one", F.lit(1))
-    hay = texts.withColumn("_one", F.lit(1)).join(F.broadcast(in_use), "_one").withColumn("_size", F.explode("_sizes"))
+    sized = needles.filter(F.length("needle") > 0).withColumn("_size", _anchor_size(F.col("needle"))).withColumn("_needle", F.md5("needle"))
+    in_use = sorted(r[0] for r in sized.select("_size").distinct().collect())
+    keyed = texts.withColumn("_hay", F.md5("hay"))
     # A look-ahead matches at every position, so one linear pass lists all overlapping substrings.
-    grams = F.lit(None).cast("array<string>")
-    for size in ANCHOR_SIZES:
-        grams = F.when(F.col("_size") == size, F.regexp_extract_all(
-            "hay", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))).otherwise(grams)
-    spread = (hay.withColumn("_gram", F.explode(F.array_distinct(grams))).withColumn("_anchor", F.xxhash64("_gram"))
-              .drop("_one", "_sizes", "_gram"))
-    return spread.join(keyed, [*scope, "_size", "_anchor"]).filter(F.col("hay").contains(F.col("needle"))).drop("_size", "_anchor")
+    def grams_of(size: int) -> Column:
+        found = F.array_distinct(F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+        return F.transform(found, lambda g: F.struct(F.lit(size).alias("_size"), F.xxhash64(g).alias("_anchor")))
+
+    none = F.array().cast("array<struct<_size:int,_anchor:bigint>>")
+    spread = keyed.select(*scope, "_hay", F.inline(F.concat(none, *map(grams_of, in_use))))
+    found = spread.join(_anchors(sized, scope), [*scope, "_size", "_anchor"]).select(*scope, "_hay", "_needle").distinct()
+    return (keyed.join(found, [*scope, "_hay"]).join(sized.drop("_size"), [*scope, "_needle"])
+            .filter(F.col("hay").contains(F.col("needle"))).drop("_hay", "_needle"))
 
 
 def passage_binding(documents: DataFrame, passages: DataFrame) -> DataFrame:
