@@ -71,6 +71,14 @@ def keywords(col: str | Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 1))
 
 
+def character_pairs(col: str | Column) -> Column:
+    """Distinct pairs of neighbouring Han characters besides the word tokens: a tokeniser for text without spaces."""
+    text = F.coalesce(_c(col), F.lit(""))
+    pairs = F.regexp_extract_all(text, F.lit(r"(?=(\p{IsHan}{2}))"), F.lit(1))
+    words = F.filter(keywords(text), lambda w: ~w.rlike(r"\p{IsHan}"))
+    return F.array_distinct(F.concat(pairs, words))
+
+
 def keyword_overlap(clause: Column, block: Column) -> Column:
     """Share of the clause keywords found in the block; null for a clause without keywords."""
     return F.when(F.size(clause) > 0, F.size(F.array_intersect(clause, block)) / F.size(clause))

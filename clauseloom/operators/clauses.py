@@ -28,6 +28,10 @@ DEADLINE = (r"(?i)(within \d+ \w+(?: \w+)?|no later than [^,.;]+|before [^,.;]+|
             r"|(\d+\s*(?:个)?(?:工作日|日|天|月)内)|(\d{4}年\d{1,2}月\d{1,2}日)")
 METRIC = (r"(?i)((?:at least|at most|not less than|not more than|up to)?\s*\d+(?:\.\d+)?\s*"
           r"(?:%|percent|units|hours|days|ms|seconds))|((?:不低于|不少于|不超过|至少)\s*\d+(?:\.\d+)?\s*[%\p{L}]*)")
+# Who does what: what stands before a word of duty, the word after it, and the rest up to a condition, deadline or mark.
+DUTY = r"(?i)^(?:the\s+|an?\s+)?([\p{L}][\p{L}\s-]*?)\s+(?:shall|must|should|will|may|is obliged to|is required to)(?:\s+not)?\s+([\p{L}-]+)\s*([^,.;!?]*)"
+DUTY_HAN = r"^(?:如果|如|当|若)?[^，]*?，?(\p{IsHan}{1,12}?)(?:应当|应该|必须|不得|禁止|应|须)(\p{IsHan}{2})(\p{IsHan}*)"
+OBJECT_END = r"(?i)\s+\b(?:if|when|unless|provided that|in case|within|no later than|before|by)\b.*$"
 NEEDS = {"obligation": ("action", "object")}
 
 
@@ -57,7 +61,9 @@ def extract_clauses(sections: DataFrame, cues: Iterable[tuple[str, str, int]] =
     """Sentences that carry a cue, one clause each, typed by the strongest cue.
 
     The cue table is a parameter of a handful of rules, so the type is one CASE
-    expression: no join, no shuffle, one pass over the text.
+    expression: no join, no shuffle, one pass over the text. The other fields
+    (actor, action, object, condition, deadline, metric) are null where no rule
+    finds them.
     """
     ranked = sorted(cues, key=lambda c: c[2])
     sentence = F.col("sentence")
@@ -67,6 +73,13 @@ def extract_clauses(sections: DataFrame, cues: Iterable[tuple[str, str, int]] =
     rows = (sections.select("*", F.posexplode(F.split("original_text", SENTENCE_END)).alias("item_ord", "_raw"))
             .withColumn("sentence", tx.strip("_raw")).filter(sentence != "")
             .withColumn("type", kind).filter(F.col("type").isNotNull()))
+    duty, han = sentence.rlike(DUTY), sentence.rlike(DUTY_HAN)
+
+    def who_what(group: int) -> Column:
+        return F.when(duty, F.regexp_extract(sentence, DUTY, group)).when(han, F.regexp_extract(sentence, DUTY_HAN, group))
+
+    rows = (rows.withColumn("actor", F.nullif(tx.strip(who_what(1)), F.lit(""))).withColumn("action", F.nullif(who_what(2), F.lit("")))
+            .withColumn("object", F.nullif(tx.strip(F.regexp_replace(who_what(3), OBJECT_END, "")), F.lit(""))))
     return (rows.withColumn("condition", _field(sentence, CONDITION, 2))
             .withColumn("deadline", _field(sentence, DEADLINE, 3)).withColumn("metric", _field(sentence, METRIC, 2))
             .drop("_raw"))

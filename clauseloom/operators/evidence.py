@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +45,23 @@ def node_blocks(nodes: DataFrame, blocks: DataFrame, tolerance: float = BOX_TOLE
     return first.select(*NODE, "ord", "b.*")
 
 
-def prepare_blocks(of_nodes: DataFrame) -> DataFrame:
-    """Node blocks with their position and normalised text; only text and list blocks take part."""
+def _words(text: Column, tokenizer: Callable[[Column], Column], stop_words: Sequence[str]) -> Column:
+    words = tokenizer(text)
+    return F.array_except(words, F.array(*map(F.lit, stop_words))) if stop_words else words
+
+
+def prepare_blocks(of_nodes: DataFrame, tokenizer: Callable[[Column], Column] = tx.keywords, stop_words: Sequence[str] = ()) -> DataFrame:
+    """Node blocks with their position and normalised text; only text and list blocks take part.
+
+    ``tokenizer`` maps a text column to an array of distinct words, such as a Pandas UDF of one's own; ``stop_words`` don't count.
+    """
     items = F.coalesce("list_items", F.array().cast("array<string>"))
     return of_nodes.filter(F.col("type").isin("text", "list")).select(
         *NODE, "ord", "type", bl.block_position().alias("position"),
         F.when(F.col("type") == "text", tx.normalize_evidence("text")).otherwise(
             F.array_join(F.transform(items, tx.normalize_evidence), "")).alias("norm"),
         F.when(F.col("type") == "list", F.transform(items, tx.normalize_evidence)).alias("norm_items"),
-        tx.keywords(F.when(F.col("type") == "text", F.col("text")).otherwise(F.array_join(items, ""))).alias("words"))
+        _words(F.when(F.col("type") == "text", F.col("text")).otherwise(F.array_join(items, "")), tokenizer, stop_words).alias("words"))
 
 
 def _placed(hits: DataFrame, blocks: DataFrame, strategy: str) -> DataFrame:
@@ -153,14 +163,15 @@ def match_keywords(clauses: DataFrame, blocks: DataFrame, threshold: float = sim
     return _placed(best, blocks, "keyword")
 
 
-def locate_text(clauses: DataFrame, of_nodes: DataFrame, rows: int | None = None) -> DataFrame:
+def locate_text(clauses: DataFrame, of_nodes: DataFrame, rows: int | None = None, tokenizer: Callable[[Column], Column] = tx.keywords,
+                stop_words: Sequence[str] = ()) -> DataFrame:
     """(doc_id, node_id, matrix_id, strategy, positions) by the first strategy that succeeds.
 
     Every strategy sees only the clauses the ones before left open.
     """
-    blocks = materialize(prepare_blocks(of_nodes), "evidence-blocks")
+    blocks = materialize(prepare_blocks(of_nodes, tokenizer, stop_words), "evidence-blocks")
     left = materialize(clauses.filter(F.coalesce("original_text", F.lit("")) != "").select(
-        *CLAUSE, tx.normalize_evidence("original_text").alias("norm"), tx.keywords("original_text").alias("words")),
+        *CLAUSE, tx.normalize_evidence("original_text").alias("norm"), _words(F.col("original_text"), tokenizer, stop_words).alias("words")),
         "evidence-clauses")
     done = None
     for match in (match_exact, match_similarity, lambda c, b: match_substring(c, b, rows=rows), match_keywords):
@@ -204,11 +215,12 @@ def locate_visual(clauses: DataFrame, nodes: DataFrame, blocks: DataFrame, of_no
         .alias("strategy"), F.coalesce(image, table, own_used, F.array().cast(POSITIONS_DDL)).alias("positions"))
 
 
-def locate_clauses(clauses: DataFrame, nodes: DataFrame, blocks: DataFrame, rows: int | None = None) -> DataFrame:
+def locate_clauses(clauses: DataFrame, nodes: DataFrame, blocks: DataFrame, rows: int | None = None,
+                   tokenizer: Callable[[Column], Column] = tx.keywords, stop_words: Sequence[str] = ()) -> DataFrame:
     """``strategy`` and ``positions`` for all clauses, visual and text ones; unlocated clauses keep an empty list."""
     of_nodes = materialize(node_blocks(nodes, blocks), "node-blocks")
     visual = clauses.filter(is_visual())
     found = locate_visual(visual, nodes, blocks, of_nodes).unionByName(
-        locate_text(clauses.filter(~is_visual()), of_nodes, rows))
+        locate_text(clauses.filter(~is_visual()), of_nodes, rows, tokenizer, stop_words))
     return (clauses.drop("positions", "strategy").join(found, CLAUSE, "left")
             .withColumn("positions", F.coalesce("positions", F.array().cast(POSITIONS_DDL))))

@@ -8,6 +8,7 @@ from clauseloom.operators import clauses as cl
 from clauseloom.operators import tree
 from clauseloom.plans.catalog import query
 from clauseloom.plans.tasks_queries import sections
+from clauseloom.session import shared_dir
 from clauseloom.sources import readers, tables
 
 
@@ -83,14 +84,18 @@ def _(t):
 
 @query("s6_task_store", "SELECT status, count(*) AS n, round(sum(file_size), 2)::BIGINT AS bytes FROM tasks GROUP BY 1", "tasks")
 def _(t):
-    return t.tasks.withColumn("bucket", tables.task_bucket()).groupBy("status").agg(
+    path = shared_dir(t.spark, "task-store")
+    tables.append_rows(t.tasks, path)
+    return t.spark.read.parquet(path).groupBy("status").agg(
         F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("bytes"))
 
 
 @query("s7_section_rows", """
     SELECT doc_id, node_id, title, CASE WHEN has_pos THEN start_index - 1 END::BIGINT AS first_page FROM nodes""", "nodes")
 def _(t):
-    rows = tables.section_rows(t.nodes)
+    path = shared_dir(t.spark, "section-store")
+    tables.append_sections(t.nodes.withColumn("task_id", F.col("doc_id").cast("string")), path)
+    rows = t.spark.read.parquet(path)
     page = F.get_json_object("positions_json", "$[0][0]").cast("double").cast("long")
     return rows.select("doc_id", "node_id", "title", page.alias("first_page"))
 
@@ -99,7 +104,9 @@ def _(t):
     SELECT matrix_id, coalesce(type, 'requirement') AS type, CASE WHEN has_pos THEN pos_page END::BIGINT AS first_page
     FROM clauses""", "clauses")
 def _(t):
-    rows = tables.clause_rows(t.clauses)
+    path = shared_dir(t.spark, "clause-store")
+    tables.append_clauses(t.clauses, path)
+    rows = t.spark.read.parquet(path)
     page = F.get_json_object("positions_json", "$[0][0]").cast("double").cast("long")
     return rows.select("matrix_id", "type", page.alias("first_page"))
 

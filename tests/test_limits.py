@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from clauseloom import session
 from clauseloom.functions.html import unescape
+from clauseloom.functions.text import character_pairs, keywords
 from clauseloom.operators import blocks as bl
-from clauseloom.operators import tasks, toc, tree
+from clauseloom.operators import clauses, evidence, tasks, toc, tree
 from clauseloom.operators.scan import with_adaptive_chunk
 from clauseloom.streaming.progress import _feed
 
@@ -141,3 +142,23 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session, "x")
+
+
+def test_extracted_clauses_name_actor_action_and_object(spark):
+    text = "The supplier shall deliver the spare parts within 30 days. If delayed, the buyer must notify the carrier in writing. 乙方应当提交验收报告。"
+    got = clauses.extract_clauses(spark.createDataFrame([(1, text)], "doc_id long, original_text string")).orderBy("item_ord").collect()
+    assert [(r.actor, r.action, r.object) for r in got][0] == ("supplier", "deliver", "the spare parts")
+    assert [(r.actor, r.action, r.object) for r in got][2] == ("乙方", "提交", "验收报告")
+    assert got[0].deadline == "within 30 days" and got[1].condition == "If delayed"
+
+
+def test_a_tokeniser_finds_chinese_clauses(spark):
+    nodes = spark.createDataFrame([(1, "n", 0, "text", "第三条 乙方在验收合格以后应当向甲方提交完整的竣工报告和图纸", None, 0, [0.0, 0.0, 1.0, 1.0])],
+                                  "doc_id long, node_id string, ord long, type string, text string, list_items array<string>, page_idx int, bbox array<double>")
+    wanted = spark.createDataFrame([(1, "n", "m", "竣工报告和图纸 验收合格")], "doc_id long, node_id string, matrix_id string, original_text string")
+    blocks = evidence.prepare_blocks(nodes, character_pairs, ["的竣"])
+    words = wanted.withColumn("words", character_pairs("original_text"))
+    assert evidence.match_keywords(words, blocks).count() == 1
+    plain = wanted.withColumn("words", keywords("original_text"))
+    assert evidence.match_keywords(plain, evidence.prepare_blocks(nodes)).count() == 0
+    assert "的竣" not in blocks.first().words
