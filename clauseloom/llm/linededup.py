@@ -7,15 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.llm.components import components
 from clauseloom.session import materialize
 
-#: Characters to a shingle; bands and rows of the signature: lines of similarity 0.8 share a band with probability 0.997.
-SHINGLE, BANDS, BAND_ROWS = 5, 8, 3
+#: Characters to a shingle; bands and rows of the signature: lines of similarity 0.8 share a band with probability 0.995.
+SHINGLE, BANDS, BAND_ROWS = 5, 10, 4
 SIMILARITY = 0.8
+#: Of the 40 signature values so many agree, or a pair is not compared as text. At similarity 0.8 the chance to agree less is below 1e-5.
+AGREE = 20
+#: The most bits of the map that tells a pass over the documents which lines are wanted. It may err on the side of too many.
+MAP_BITS = 27
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 2**32, BANDS * BAND_ROWS, dtype=np.uint32) | np.uint32(1)
 _ADDENDS = _RNG.integers(0, 2**32, BANDS * BAND_ROWS, dtype=np.uint32)
@@ -38,8 +42,8 @@ def similar(a: set[str], b: set[str], least: float) -> bool:
     return common >= least * (len(a) + len(b) - common)
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """One row of band keys per line in normal form; all lines are hashed side by side."""
+def signatures(lines: list[str]) -> np.ndarray:
+    """One row per line in normal form: a number per band, which holds the low 16 bits of four minima. Lines are hashed side by side."""
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
@@ -53,67 +57,95 @@ def band_keys(lines: list[str]) -> np.ndarray:
         # Shingles that reach over the end of a line are put out of the way.
         across = (ends[:-1, None] - np.arange(1, SHINGLE)[None, :]).ravel()
         starts = ends - sizes
-        keys = np.zeros((len(lines), BANDS), np.uint64)
+        out = np.zeros((len(lines), BANDS), np.uint64)
         for i in range(BANDS * BAND_ROWS):
             values = hashes * _FACTORS[i] + _ADDENDS[i]
             values[across] = 0xFFFFFFFF
             least = np.minimum.reduceat(values, starts).astype(np.uint64)
-            band = i // BAND_ROWS
-            keys[:, band] = (keys[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15)
-            keys[:, band] ^= keys[:, band] >> np.uint64(29)
-        keys ^= np.arange(BANDS, dtype=np.uint64) << np.uint64(59)
-    return keys.view(np.int64)
+            out[:, i // BAND_ROWS] |= (least & np.uint64(0xFFFF)) << np.uint64(16 * (i % BAND_ROWS))
+    return out.view(np.int64)
+
+
+def agreement(a: str, b: str) -> Column:
+    """In how many of their values two signatures agree."""
+    total = F.lit(0)
+    for band in range(BANDS):
+        differ = F.col(a)[band].bitwiseXOR(F.col(b)[band])
+        for row in range(BAND_ROWS):
+            total = total + (F.shiftrightunsigned(differ, 16 * row).bitwiseAND(F.lit(0xFFFF)) == 0).cast("int")
+    return total
+
+
+def digest(line: str) -> bytes:
+    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _lines(text: str) -> Iterator[tuple[int, str]]:
+    """Position and normal form of the lines that have anything but ASCII white space."""
+    for i, line in enumerate(text.split("\n")):
+        if line.strip(" \t\n\v\f\r"):
+            yield i, normal_form(line) or line
 
 
 def _document_lines(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, pos, bands) of every line that has anything but ASCII white space; ``id`` is a digest of its normal form."""
+    """(id, doc_id, pos, sig) of every line; ``id`` is a digest of its normal form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(keys, places, lines):
             known = {x: i for i, x in enumerate(dict.fromkeys(lines))}
-            bands = band_keys(list(known))[[known[x] for x in lines]]
-            ids = {x: hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in known}
-            lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
+            sigs = signatures(list(known))[[known[x] for x in lines]]
+            ids = {x: digest(x) for x in known}
+            lists = pa.ListArray.from_arrays(np.arange(0, sigs.size + 1, BANDS, dtype=np.int32), pa.array(sigs.ravel()))
             return pa.record_batch([pa.array([ids[x] for x in lines]), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), lists],
-                                   ["id", "doc_id", "pos", "bands"])
+                                   ["id", "doc_id", "pos", "sig"])
 
         for batch in batches:
             keys, places, lines, held = [], [], [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for i, line in enumerate((text.as_py() or "").split("\n")):
-                    if line.strip(" \t\n\v\f\r"):
-                        lines.append(normal_form(line) or line)
-                        keys.append(key)
-                        places.append(i)
-                        held += len(line)
-                        if held > 1_000_000:
-                            yield flush(keys, places, lines)
-                            keys, places, lines, held = [], [], [], 0
+                for i, line in _lines(text.as_py() or ""):
+                    lines.append(line)
+                    keys.append(key)
+                    places.append(i)
+                    held += len(line)
+                    if held > 500_000:
+                        yield flush(keys, places, lines)
+                        keys, places, lines, held = [], [], [], 0
             if lines:
                 yield flush(keys, places, lines)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id binary, doc_id long, pos int, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id binary, doc_id long, pos int, sig array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(nid, line) in normal form for ``wanted`` (nid, doc_id, pos)."""
+    """(nid, line) in normal form for ``wanted`` (nid, id).
+
+    Instead of moving the documents to the lines that are asked for, a bit map of their digests goes to the documents: its size is
+    bounded, and lines that pass by chance are left out by the join.
+    """
+    bits = min(MAP_BITS, max(16, (16 * wanted.count()).bit_length()))
+    place = lambda c: F.conv(F.substring(F.hex(c), 1, 8), 16, 10).cast("long") % (1 << bits)
+    words = wanted.select(place(F.col("id")).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(p & 31))")).alias("m")).toArrow()
+    marks = np.zeros(1 << (bits - 5), np.uint32)
+    marks[words["w"].to_numpy()] = words["m"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                nids, lines = [], []
-                for text, places in zip(batch.column(0)[at:at + 256], batch.column(1)[at:at + 256].to_pylist()):
-                    own = (text.as_py() or "").split("\n")
-                    for p in places:
-                        if p["pos"] < len(own):
-                            nids.append(p["nid"])
-                            lines.append(normal_form(own[p["pos"]]) or own[p["pos"]])
-                yield pa.record_batch([pa.array(nids, pa.int64()), pa.array(lines, pa.string())], ["nid", "line"])
+                ids, lines = [], []
+                for text in batch.column(0)[at:at + 256]:
+                    for _, line in _lines(text.as_py() or ""):
+                        own = digest(line)
+                        p = int.from_bytes(own[:4], "big") % (1 << bits)
+                        if int(marks[p >> 5]) >> (p & 31) & 1:
+                            ids.append(own)
+                            lines.append(line)
+                yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(lines, pa.string())], ["id", "line"])
 
-    asked = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("pos", "nid")).alias("places"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_id")))
-    # Rows that repeat a doc_id repeat its lines.
-    return found.select("text", "places").mapInArrow(run, "nid long, line string").dropDuplicates(["nid"])
+    return docs.select("text").mapInArrow(run, "id binary, line string").join(wanted.select("nid", "id"), "id").select(
+        "nid", "line").dropDuplicates(["nid"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -141,28 +173,39 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Lines are grouped if links connect them; a link is a shared band and a verified similarity of ``least``. In each bucket every
     line is compared with the bucket's smallest one first. What these links leave in different groups is then compared pair by
-    pair, so large buckets of copies give as many pairs as lines, not as pairs of lines.
+    pair, so large buckets of copies give as many pairs as lines, not as pairs of lines. Most lines that share a band by chance are
+    told apart by their signatures, without their texts.
     """
-    lines = _document_lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first("bands").alias("bands"))
-    lines = materialize(lines.select(F.monotonically_increasing_id().alias("nid"), "at.doc_id", "at.pos", "bands"), "line-ids")
-    entries = lines.select("nid", F.explode("bands").alias("band"))
-    buckets = materialize(entries.groupBy("band").agg(F.min("nid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        "band", "least"), "line-buckets")
-    shared = materialize(entries.join(buckets, "band"), "line-shared")
-    wanted = lines.select("nid", "doc_id", "pos").join(shared.select("nid").distinct(), "nid", "left_semi")
-    texts = materialize(_texts(docs, wanted), "line-texts")
+    lines = _document_lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first("sig").alias("sig"))
+    lines = materialize(lines.select(F.monotonically_increasing_id().alias("nid"), "id", "at.doc_id", "at.pos", "sig"), "line-ids")
+    entries = lines.select("nid", F.posexplode("sig").alias("i", "v")).select("nid", F.xxhash64("i", "v").alias("band"))
+    bucket = Window.partitionBy("band")
+    shared = materialize(entries.select("band", "nid", F.min("nid").over(bucket).alias("least"), F.count(F.lit(1)).over(bucket).alias("n")).where(
+        "n > 1"), "line-shared")
+    members = materialize(lines.join(shared.select("nid").distinct(), "nid", "left_semi").select("nid", "id", "sig"), "line-members")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        one = members.select(F.col("nid").alias("a"), F.col("sig").alias("sig_a"))
+        two = members.select(F.col("nid").alias("b"), F.col("sig").alias("sig_b"))
+        return pairs.join(one, "a").join(two, "b").where(agreement("sig_a", "sig_b") >= AGREE).select("a", "b")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "line-near")
+        ends = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
+        texts = materialize(_texts(docs, materialize(members.join(ends, "nid", "left_semi").select("nid", "id"), "line-wanted")), "line-texts")
+        return materialize(_verified(pairs, texts, least), "line-links")
+
     stars = shared.where("nid <> least").select(F.col("nid").alias("a"), F.col("least").alias("b")).distinct()
-    first = components(materialize(_verified(stars, texts, least), "line-links"))
-    known = materialize(shared.join(first, F.col("nid") == F.col("node"), "left").select(
-        "band", "nid", F.coalesce("label", "nid").alias("label")), "line-labels")
+    first = components(linked(near(stars)))
     # Members of one group need no comparing; a bucket is looked at again only if it holds several groups besides the smallest line's.
-    mixed = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where(
-        "lo < hi AND n > 2").select("band")
-    left = materialize(known.join(mixed, "band", "left_semi"), "line-mixed")
-    right = left.select("band", F.col("nid").alias("other"), F.col("label").alias("other_label"))
-    # A pair of equal groups in several buckets is one candidate; all lines of the groups are compared, as any may link them.
-    rest = left.join(right, "band").where("label < other_label").select(F.col("nid").alias("a"), F.col("other").alias("b")).distinct()
-    links = materialize(_verified(rest.join(stars, (stars.a == rest.a) & (stars.b == rest.b), "left_anti"), texts, least), "line-more")
+    known = materialize(shared.where("n > 2").join(first, F.col("nid") == F.col("node"), "left").select(
+        "band", "nid", F.coalesce("label", "nid").alias("label")), "line-labels")
+    mixed = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    left = materialize(known.join(mixed, "band", "left_semi").join(members.select("nid", "sig"), "nid"), "line-mixed")
+    right = left.select("band", F.col("nid").alias("other"), F.col("label").alias("other_label"), F.col("sig").alias("other_sig"))
+    rest = left.join(right, "band").where((F.col("label") < F.col("other_label")) & (agreement("sig", "other_sig") >= AGREE)).select(
+        F.col("nid").alias("a"), F.col("other").alias("b")).distinct()
+    links = linked(rest)
     labels = links.join(first.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
         first.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     second = components(labels.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
