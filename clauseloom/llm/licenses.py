@@ -77,28 +77,36 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     """
     known = []
     for name, text in templates:
-        pairs = tagged(template_words(text))
-        if pairs:
-            known.append((name, pairs, *_bounds(len(pairs), least)))
-    fixed = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, pairs)).alias("pairs"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-                      for name, pairs, lo, hi in known))
-    shortest, longest = min(x[2] for x in known), max(x[3] for x in known)
-
-    normal = normal_lines(F.coalesce("text", F.lit("")))
-    paragraphs = F.transform(F.filter(F.split(normal, "\n{2,}"), lambda p: F.contains(F.trim(F.btrim(p, F.lit("\n"))), F.lit("\n"))),
-                             lambda p: F.translate(F.btrim(p, F.lit("\n")), "\n", " "))
-    units = F.transform(F.concat(F.split(normal, "\n"), paragraphs), lambda u: F.split(F.trim(u), " "))
-    sized = F.filter(units, lambda w: (F.size(w) - 1).between(shortest, longest))
+        words = template_words(text)
+        plain = [" ".join(x) for x in zip(words, words[1:])]
+        if plain:
+            known.append((name, plain, tagged(words), max(Counter(plain).values()), *_bounds(len(plain), least)))
+    fixed = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, sorted(set(plain)))).alias("plain"), F.array(*map(F.lit, pairs)).alias("pairs"),
+                               F.lit(most).alias("most"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for name, plain, pairs, most, lo, hi in known))
+    sizes = F.array(*map(F.lit, sorted({n for *_, lo, hi in known for n in range(lo, hi + 1)})))
+
+    def units_of(normal: Column) -> Column:
+        paragraphs = F.transform(F.filter(F.split(normal, "\n{2,}"), lambda p: F.contains(F.trim(F.btrim(p, F.lit("\n"))), F.lit("\n"))),
+                                 lambda p: F.translate(F.btrim(p, F.lit("\n")), "\n", " "))
+        return F.transform(F.concat(F.split(normal, "\n"), paragraphs), lambda u: F.split(F.trim(u), " "))
+
+    # Through an array of one, the normal form is worked out once.
+    units = F.transform(F.array(normal_lines(F.coalesce("text", F.lit("")))), units_of)[0]
+    sized = F.filter(units, lambda w: F.array_contains(sizes, F.size(w) - 1))
 
     def pairs_of(words: Column) -> Column:
-        plain = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
-        return F.transform(plain, lambda p, i: F.concat(p, F.lit("#"), F.size(F.filter(F.slice(plain, 1, i), lambda q: q == p)).cast("string")))
+        return F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
 
-    def matches(unit: Column) -> Column:
-        size = F.size(unit)
-        near = F.filter(fixed, lambda t: (t["lo"] <= size) & (t["hi"] >= size))
+    def tags(pairs: Column) -> Column:
+        return F.transform(pairs, lambda p, i: F.concat(p, F.lit("#"), F.size(F.filter(F.slice(pairs, 1, i), lambda q: q == p)).cast("string")))
+
+    def matches(pairs: Column) -> Column:
+        size = F.size(pairs)
+        # Before occurrences are counted: shared pairs, each as often as it can count, have to reach the coefficient.
+        near = F.filter(fixed, lambda t: (t["lo"] <= size) & (t["hi"] >= size) & (
+            2 * t["most"] * F.size(F.array_intersect(pairs, t["plain"])) >= least * (size + F.size(t["pairs"])) - 1e-9))
         scored = F.transform(near, lambda t: F.struct(
-            (F.size(F.array_intersect(unit, t["pairs"])) * 2 / (size + F.size(t["pairs"]))).alias("dice"), t["name"].alias("name")))
+            (F.size(F.array_intersect(tags(pairs), t["pairs"])) * 2 / (size + F.size(t["pairs"]))).alias("dice"), t["name"].alias("name")))
         ranked = F.array_sort(F.transform(F.filter(scored, lambda m: m["dice"] >= least), lambda m: F.struct(
             (-m["dice"]).alias("less"), m["name"].alias("name"))))
         return F.slice(ranked, 1, 1)
