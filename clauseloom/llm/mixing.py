@@ -66,9 +66,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[int,
     Null texts have size 0, a null source is a source of its own. Repeated rows count one by one. Empty tables give empty tables.
     Runs Spark jobs when called. Rows are ordered by range over (source, size, doc_id), so a hot source is spread over tasks.
     """
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    return _dealt(docs, weights, budget, max_repeat, seed).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def _dealt(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[int, int] = (3, 2), max_repeat: int = 2, seed: int = 7,
+           row: tuple[str, ...] = ()) -> DataFrame:
+    """``mix`` with the columns ``row``, which tell rows of equal doc_id apart and order them."""
+    sizes = materialize(docs.select(*row, "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = materialize(source_targets(sizes, weights, budget, max_repeat), "mix-targets")
-    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc()]
+    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc(), *(F.col(c).asc() for c in row)]
     placed = running_sums(sizes, order, {"place": F.lit(1)}, "mix-order")
     share = sources.withColumn("_step", F.when(F.col("source_size") > 0, F.floor(
         F.col("target") / F.col("source_size") * 2**BITS + 0.5)).otherwise(F.lit(0)).cast("long")).withColumn(
@@ -76,12 +82,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[int,
     upto = lambda place: F.shiftright(place * F.col("_step") + F.col("_offset"), BITS)
     at = F.col("place") - F.col("first")
     return placed.join(share, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", upto(at + 1) - upto(at)).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        *row, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as ``mix`` takes them. Rows that repeat a doc_id share its copies evenly, rounded down."""
-    dealt = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_copies"))
-    return docs.join(dealt.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as ``mix`` takes it: rows are told apart by a number of their own, not by doc_id."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    dealt = materialize(_dealt(numbered, row=("_row",), **options).where("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies")),
+                        "mix-dealt")
+    return numbered.join(dealt, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -35,3 +35,14 @@ def test_mix_takes_near_the_target(spark):
     want = {r.doc_id: r.copies for r in mix(df.where("doc_id <> 7")).collect() if r.copies}
     assert {r.doc_id: r.n for r in out} == want
     assert mix(df.limit(0)).count() == 0 and mixed_documents(df).columns == df.columns
+
+
+def test_repeated_and_null_ids_take_their_own_copies(spark):
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else i % 40, "w " * rng.randint(1, 60), "abc"[i % 3 if i % 2 else 0]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = F.size(F.split(F.trim("text"), " "))
+    taken = {r.source: r.n for r in mixed_documents(df).groupBy("source").agg(F.sum(words).alias("n")).collect()}
+    dealt = mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r.source: r.taken for r in dealt} == taken
+    assert all(abs(taken[r.source] - r.target) <= 60 for r in dealt)
