@@ -80,3 +80,12 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
             rows = out.count()
             assert rows <= 2 * df.count(), name
         assert corpus_pipeline.encode(spark, df, FOLDER).count() == df.count()
+
+
+def test_near_duplicates_go_by_row(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, "", "a"), (5, "", "b"), (None, "a unique clean text that nobody else has written so far", "c"), (1, text, "d"), (2, text, "e"),
+            (2, "something altogether different under an identifier that repeats", "f"), (None, "x y z", "g"), (None, "x y z", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(r.source for r in corpus_pipeline.near_duplicates(spark, df, FOLDER).collect())
+    assert got[:4] == ["b", "c", "d", "f"] and len(got) == 5 and got[4] in "gh"
