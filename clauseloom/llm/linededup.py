@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.components import components
+from clauseloom.llm.nearcopies import rare_pairs
 from clauseloom.session import materialize
 
 #: Characters to a shingle; bands and rows of the signature: lines of similarity 0.8 share a band with probability 0.995.
@@ -148,6 +150,20 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         "nid", "line").dropDuplicates(["nid"])
 
 
+def _shingle_items(texts: DataFrame) -> DataFrame:
+    """(nid, label, items): hashes of the shingles of ``texts`` (nid, label, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                sets = [np.unique(np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in shingles(t.as_py())], np.uint64))
+                        for t in batch.column(2)[at:at + 1024]]
+                yield pa.record_batch([batch.column(0)[at:at + 1024], batch.column(1)[at:at + 1024],
+                                       pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["nid", "label", "items"])
+
+    return texts.select("nid", "label", "line").mapInArrow(run, "nid long, label long, items array<long>")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The ``pairs`` (a, b) whose lines' shingle sets have a Jaccard similarity of ``least`` or more."""
 
@@ -172,16 +188,16 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(nid, doc_id, pos, label): the first place of each distinct line of ``docs``, and the label its group shares.
 
     Lines are grouped if links connect them; a link is a shared band and a verified similarity of ``least``. In each bucket every
-    line is compared with the bucket's smallest one first. What these links leave in different groups is then compared pair by
-    pair, so large buckets of copies give as many pairs as lines, not as pairs of lines. Most lines that share a band by chance are
-    told apart by their signatures, without their texts.
+    line is compared with the bucket's smallest one first, so large buckets of copies give as many pairs as lines, not as pairs of
+    lines. Lines of buckets that these links leave in different groups meet again by their rarest shingles (``rare_pairs``), which
+    misses no similar pair, and templated lines share none of these. Most lines that share a band by chance are told apart by their
+    signatures, without their texts.
     """
     lines = _document_lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first("sig").alias("sig"))
     lines = materialize(lines.select(F.monotonically_increasing_id().alias("nid"), "id", "at.doc_id", "at.pos", "sig"), "line-ids")
     entries = lines.select("nid", F.posexplode("sig").alias("i", "v")).select("nid", F.xxhash64("i", "v").alias("band"))
-    bucket = Window.partitionBy("band")
-    shared = materialize(entries.select("band", "nid", F.min("nid").over(bucket).alias("least"), F.count(F.lit(1)).over(bucket).alias("n")).where(
-        "n > 1"), "line-shared")
+    buckets = materialize(entries.groupBy("band").agg(F.min("nid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-buckets")
+    shared = materialize(entries.join(buckets, "band").select("band", "nid", "least", "n"), "line-shared")
     members = materialize(lines.join(shared.select("nid").distinct(), "nid", "left_semi").select("nid", "id", "sig"), "line-members")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -201,10 +217,10 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     known = materialize(shared.where("n > 2").join(first, F.col("nid") == F.col("node"), "left").select(
         "band", "nid", F.coalesce("label", "nid").alias("label")), "line-labels")
     mixed = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    left = materialize(known.join(mixed, "band", "left_semi").join(members.select("nid", "sig"), "nid"), "line-mixed")
-    right = left.select("band", F.col("nid").alias("other"), F.col("label").alias("other_label"), F.col("sig").alias("other_sig"))
-    rest = left.join(right, "band").where((F.col("label") < F.col("other_label")) & (agreement("sig", "other_sig") >= AGREE)).select(
-        F.col("nid").alias("a"), F.col("other").alias("b")).distinct()
+    left = materialize(known.join(mixed, "band", "left_semi").select("nid", "label").distinct(), "line-mixed")
+    # A bucket of lines that resemble each other without being similar has no pairs worth the making: lines meet by their rarest shingles.
+    texts = _texts(docs, materialize(members.join(left, "nid", "left_semi").select("nid", "id"), "line-mixed-ids"))
+    rest = near(materialize(rare_pairs(_shingle_items(texts.join(left, "nid")), least), "line-rare"))
     links = linked(rest)
     labels = links.join(first.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
         first.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")

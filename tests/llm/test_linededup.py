@@ -1,5 +1,6 @@
 import random
 
+from clauseloom.llm import linededup
 from clauseloom.llm.linededup import deduplicated_lines, normal_form, shingles, similar, without_duplicate_lines
 
 
@@ -71,3 +72,27 @@ def test_texts_are_rewritten(spark):
     assert got[2].n_chars == 24 and got[1].source == "a" and got[3].n_chars is None
     assert without_duplicate_lines(df).columns == df.columns
     assert without_duplicate_lines(df.limit(0)).count() == 0
+
+
+def test_templated_lines_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    template = "the quick request of the client was served by the host within the usual time and left "
+    part = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=36))
+    lines = [template + part() for _ in range(400)]
+    lines += [x[:-1] + "#" for x in lines[:20]]
+    rows = list(enumerate(lines))
+    made = []
+    stored = linededup.materialize
+
+    def counted(df, purpose):
+        out = stored(df, purpose)
+        if purpose in ("line-near", "line-rare"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", counted)
+    monkeypatch.setattr(linededup, "AGREE", 4)  # so that signatures hide no pairs
+    got = deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows)
+    assert {r.doc_id: r.kept for r in got if r.kept} == want and len(want) == 400
+    assert sum(made) < 10 * len(lines), made
