@@ -15,11 +15,11 @@ from clauseloom.llm.components import components
 from clauseloom.llm.nearcopies import rare_pairs
 from clauseloom.session import materialize
 
-#: Characters to a shingle; bands and rows of the signature: lines of similarity 0.8 share a band with probability 0.995.
-SHINGLE, BANDS, BAND_ROWS = 5, 10, 4
+#: Characters to a shingle; bands and rows of the signature: lines of similarity 0.8 share a band with probability 0.998.
+SHINGLE, BANDS, BAND_ROWS = 5, 12, 4
 SIMILARITY = 0.8
-#: Of the 40 signature values so many agree, or a pair is not compared as text. At similarity 0.8 the chance to agree less is below 1e-5.
-AGREE = 20
+#: Of the 48 signature values so many agree, or a pair is not compared as text. At similarity 0.8 the chance to agree less is below 1e-5.
+AGREE = 24
 #: The most bits of the map that tells a pass over the documents which lines are wanted. It may err on the side of too many.
 MAP_BITS = 27
 _RNG = np.random.default_rng(20)

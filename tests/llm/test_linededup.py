@@ -96,3 +96,7 @@ def test_templated_lines_make_few_pairs(spark, monkeypatch):
     want = brute(rows)
     assert {r.doc_id: r.kept for r in got if r.kept} == want and len(want) == 400
     assert sum(made) < 10 * len(lines), made
+
+
+def test_bands_find_similar_lines():
+    assert 1 - (1 - 0.8**linededup.BAND_ROWS) ** linededup.BANDS >= 1 - (1 - 0.8**3) ** 8
