@@ -20,6 +20,8 @@ SHINGLE, BANDS, BAND_ROWS = 5, 12, 4
 SIMILARITY = 0.8
 #: Of the 48 signature values so many agree, or a pair is not compared as text. At similarity 0.8 the chance to agree less is below 1e-5.
 AGREE = 24
+#: A bucket of up to so many lines is compared pair by pair.
+FEW = 16
 #: The most bits of the map that tells a pass over the documents which lines are wanted. It may err on the side of too many.
 MAP_BITS = 27
 _RNG = np.random.default_rng(20)
@@ -189,8 +191,8 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Lines are grouped if links connect them; a link is a shared band and a verified similarity of ``least``. In each bucket every
     line is compared with the bucket's smallest one first, so large buckets of copies give as many pairs as lines, not as pairs of
-    lines. Lines of buckets that these links leave in different groups meet again by their rarest shingles (``rare_pairs``), which
-    misses no similar pair, and templated lines share none of these. Most lines that share a band by chance are told apart by their
+    lines. Of the buckets that these links leave in different groups, those of up to ``FEW`` lines are compared pair by pair; the lines
+    of larger ones meet by their rarest shingles (``rare_pairs``), which misses no similar pair, and templated lines share none. Most lines that share a band by chance are told apart by their
     signatures, without their texts.
     """
     lines = _document_lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first("sig").alias("sig"))
@@ -215,12 +217,18 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     first = components(linked(near(stars)))
     # Members of one group need no comparing; a bucket is looked at again only if it holds several groups besides the smallest line's.
     known = materialize(shared.where("n > 2").join(first, F.col("nid") == F.col("node"), "left").select(
-        "band", "nid", F.coalesce("label", "nid").alias("label")), "line-labels")
+        "band", "n", "nid", F.coalesce("label", "nid").alias("label")), "line-labels")
     mixed = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    left = materialize(known.join(mixed, "band", "left_semi").select("nid", "label").distinct(), "line-mixed")
-    # A bucket of lines that resemble each other without being similar has no pairs worth the making: lines meet by their rarest shingles.
-    texts = _texts(docs, materialize(members.join(left, "nid", "left_semi").select("nid", "id"), "line-mixed-ids"))
-    rest = near(materialize(rare_pairs(_shingle_items(texts.join(left, "nid")), least), "line-rare"))
+    left = materialize(known.join(mixed, "band", "left_semi"), "line-mixed")
+    small = left.where(F.col("n") <= FEW).join(members.select("nid", "sig"), "nid")
+    right = small.select("band", F.col("nid").alias("other"), F.col("label").alias("other_label"), F.col("sig").alias("other_sig"))
+    rest = small.join(right, "band").where((F.col("label") < F.col("other_label")) & (agreement("sig", "other_sig") >= AGREE)).select(
+        F.col("nid").alias("a"), F.col("other").alias("b")).distinct()
+    large = materialize(left.where(F.col("n") > FEW).select("nid", "label").distinct(), "line-large")
+    if not large.isEmpty():
+        # Many lines that resemble each other without being similar have no pairs worth the making: they meet by their rarest shingles.
+        texts = _texts(docs, materialize(members.join(large, "nid", "left_semi").select("nid", "id"), "line-large-ids"))
+        rest = rest.union(near(materialize(rare_pairs(_shingle_items(texts.join(large, "nid")), least), "line-rare"))).distinct()
     links = linked(rest)
     labels = links.join(first.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
         first.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")

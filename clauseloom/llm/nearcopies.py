@@ -34,12 +34,14 @@ def rare_pairs(sets: DataFrame, least: float) -> DataFrame:
     a set has little else. Items of one set only take places of the prefix, but are not moved.
     """
     sets = materialize(sets.select("nid", "label", F.size("items").alias("n"), "items"), "rare-sets")
-    each = sets.select("nid", "label", "n", F.explode("items").alias("item"))
-    counts = materialize(each.groupBy("item").agg(F.count(F.lit(1)).alias("c"), (F.min("label") < F.max("label")).alias("mixed")).where("c > 1"), "rare-counts")
-    own = each.join(counts, "item").groupBy("nid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item", "mixed"))).alias("own"))
+    each = sets.select("nid", F.explode("items").alias("item"))
+    counts = materialize(each.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "rare-counts")
+    own = each.join(counts, "item").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("own"))
     taken = F.greatest(prefix_length(F.col("n"), least) - F.col("n") + F.size("own"), F.lit(0))
-    prefix = materialize(own.select("nid", "label", "n", F.explode(F.slice("own", F.lit(1), taken)).alias("i")).where("i.mixed").select(
-        "nid", "label", "n", "i.item"), "rare-prefix")
+    prefix = materialize(own.join(sets.select("nid", "label", "n"), "nid").select(
+        "nid", "label", "n", F.explode(F.slice("own", F.lit(1), taken)).alias("i")).select("nid", "label", "n", "i.item"), "rare-prefix")
+    mixed = prefix.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("item")
+    prefix = materialize(prefix.join(mixed, "item", "left_semi"), "rare-mixed")
     other = prefix.select(F.col("nid").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), "item")
     return prefix.join(other, "item").where((F.col("label") < F.col("other")) & sizes_fit(F.col("n"), F.col("m"), least)).select(
         F.col("nid").alias("a"), "b").distinct()
