@@ -228,7 +228,7 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     if not large.isEmpty():
         # Many lines that resemble each other without being similar have no pairs worth the making: they meet by their rarest shingles.
         texts = _texts(docs, materialize(members.join(large, "nid", "left_semi").select("nid", "id"), "line-large-ids"))
-        rest = rest.union(near(materialize(rare_pairs(_shingle_items(texts.join(large, "nid")), least), "line-rare"))).distinct()
+        rest = rest.union(near(materialize(rare_pairs(_shingle_items(texts.join(large, "nid")), least, left.where(F.col("n") > FEW)), "line-rare"))).distinct()
     links = linked(rest)
     labels = links.join(first.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
         first.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")

@@ -27,7 +27,7 @@ def sizes_fit(n: Column, m: Column, least: float) -> Column:
     return F.least(n, m) >= F.greatest(n, m) * least - 1e-6
 
 
-def rare_pairs(sets: DataFrame, least: float) -> DataFrame:
+def rare_pairs(sets: DataFrame, least: float, within: DataFrame | None = None) -> DataFrame:
     """(a, b) of the ``sets`` (nid, label, items: distinct numbers) whose labels differ and that may reach ``least``; none is missed.
 
     Items are ordered from the rarest on, so a prefix holds what is peculiar to a set: what many share is in no prefix, unless
@@ -40,10 +40,12 @@ def rare_pairs(sets: DataFrame, least: float) -> DataFrame:
     taken = F.greatest(prefix_length(F.col("n"), least) - F.col("n") + F.size("own"), F.lit(0))
     prefix = materialize(own.join(sets.select("nid", "label", "n"), "nid").select(
         "nid", "label", "n", F.explode(F.slice("own", F.lit(1), taken)).alias("i")).select("nid", "label", "n", "i.item"), "rare-prefix")
-    mixed = prefix.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("item")
-    prefix = materialize(prefix.join(mixed, "item", "left_semi"), "rare-mixed")
-    other = prefix.select(F.col("nid").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), "item")
-    return prefix.join(other, "item").where((F.col("label") < F.col("other")) & sizes_fit(F.col("n"), F.col("m"), least)).select(
+    keys = ["item"] if within is None else ["item", "band"]
+    prefix = prefix if within is None else materialize(prefix.join(within.select("nid", "band"), "nid"), "rare-bands")
+    mixed = prefix.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*keys)
+    prefix = materialize(prefix.join(mixed, keys, "left_semi"), "rare-mixed")
+    other = prefix.select(F.col("nid").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), *keys)
+    return prefix.join(other, keys).where((F.col("label") < F.col("other")) & sizes_fit(F.col("n"), F.col("m"), least)).select(
         F.col("nid").alias("a"), "b").distinct()
 
 
