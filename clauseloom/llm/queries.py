@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, chunkdedup, cotrain, licenses, linededup, mixing, ngramlm, simhash, topk, toxicity
+from clauseloom.llm import bpe, chunkdedup, cotrain, licenses, linededup, mixing, ngramlm, simhash, tokencounts, topk, toxicity
 from clauseloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,9 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_lm_score")
 def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return ngramlm.score(table(spark, folder, "documents").withColumn("held_out", in_fold(5, 1)))
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = tokencounts.prefix_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokencounts.digests(counted, 2048)
