@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import bpe, chunkdedup, cotrain, licenses, linededup, mixing, ngramlm, simhash, tokencounts, topk, toxicity
+from clauseloom.llm import alignment, bpe, chunkdedup, cotrain, licenses, linededup, mixing, ngramlm, prefixtrie, simhash, tokencounts, topk, toxicity
 from clauseloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,7 +149,44 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return ngramlm.score(table(spark, folder, "documents").withColumn("held_out", in_fold(5, 1)))
 
 
+@query("op12_conversation_trie", """
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, max(pos) AS n FROM turns GROUP BY c),
+convs AS (
+  SELECT own.c, own.c - own.c % 100 AS base, xor(4294967295, list_reduce(list_transform(string_split(own.c::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+    lambda a, x: list_reduce(range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(a, x)), 4294967295)) % 6 AS h FROM own),
+lent AS (SELECT convs.*, least(h, coalesce(own.n, 0)) AS k FROM convs LEFT JOIN own ON own.c = base),
+rebuilt AS (
+  SELECT lent.c, pos, role, text FROM lent JOIN turns ON turns.c = base AND pos <= h UNION ALL
+  SELECT lent.c, pos - h + k, role, text FROM lent JOIN turns ON turns.c = lent.c AND pos > h),
+lists AS (SELECT c, list({'role': role, 'text': text} ORDER BY pos) AS s FROM rebuilt GROUP BY c),
+whole AS (SELECT own.c, coalesce(s, []) AS s FROM own LEFT JOIN lists USING (c)),
+members AS (SELECT c, d, len(s) = d AS ended, s[1:d] AS p FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(length(p[d].text), 0) AS size,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256 FROM members GROUP BY p, d),
+kin AS (SELECT a.p, count(*) AS n_children FROM nodes n JOIN nodes a ON a.d = n.d - 1 AND a.p = n.p[1:n.d - 1] GROUP BY a.p),
+valued AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kin USING (p)),
+sums AS (
+  SELECT a.p, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM valued) n JOIN nodes a ON a.d = k AND a.p = n.p[1:k] GROUP BY a.p)
+SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children::BIGINT AS n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN sums USING (p) LEFT JOIN nodes up ON up.d = v.d - 1 AND up.p = v.p[1:v.d - 1]""")
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixtrie.conversation_trie(table(spark, folder, "conversations"))
+
+
 @query("op13_token_counts")
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokencounts.prefix_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return tokencounts.digests(counted, 2048)
+
+
+@query("op11_align_tokens")
+def op11_align_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.path("piece_bpe_32k.model"))
