@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseloom.session import materialize
+
 CHUNK_ROWS = 1 << 16
 
 _FORWARD = ("sum", "max", "last", "lag")
@@ -68,6 +70,15 @@ def with_adaptive_chunk(df: DataFrame, keys: Sequence[str], position: Column, na
             .drop("_pos", "_n", "_cuts"))
 
 
+def with_range_chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, purpose: str) -> DataFrame:
+    """Add a chunk number that never decreases along ``order`` within a key, for any values, spread and number of rows.
+
+    Rows are dealt by ranges of (keys, order), so chunks are of equal size whatever the keys; their number is the session's number
+    of shuffle partitions. The dealt table is stored, as ranges are sampled and may differ when they are computed again.
+    """
+    return materialize(df.repartitionByRange(*keys, *order).withColumn(name, F.spark_partition_id()), purpose)
+
+
 def _neighbour(kind: str) -> bool:
     return kind in ("lag", "lead")
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as tx
 from clauseloom.functions.similarity import TITLE_THRESHOLD, title_contained
-from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, ordinal, scan
+from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, ordinal, scan, with_range_chunk
 from clauseloom.session import materialize
 
 # Line patterns of contents pages, page marks, and the size limits.
@@ -141,49 +139,69 @@ def marked_range_text(pages: DataFrame, first: int, last: int) -> DataFrame:
     return ordered_concat(inside, ["doc_id"], ["page_no"], marked, "\n\n", "text", dense_chunk("page_no"))
 
 
-def _fold_groups(max_tokens: int, overlap: int):
-    """Streaming fold over page rows sorted by document and page; holds the last pages only."""
+def _next_starts(pages: DataFrame, overlap: int) -> DataFrame:
+    """(doc_id, n, next): the page at which the next group begins, were page ``n`` the first new page of a group.
+
+    A group that begins at n holds the overlap before it and ends before the first later page that takes it above the target. With
+    running token sums that page is the number of pages whose sum is within a limit, plus one: pages and limits are put on one line
+    and the pages before each limit are counted.
+    """
+    seeds = pages.select("doc_id", (F.col("n") + overlap).alias("n"), (F.col("upto") - F.col("token_count")).alias("_base"))
+    limit = F.coalesce("_base", F.lit(0)) + F.col("target")
+    limits = pages.join(seeds, ["doc_id", "n"], "left").select(
+        "doc_id", limit.alias("at"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("one"), "n", "n_pages")
+    marks = pages.select("doc_id", F.col("upto").alias("at"), F.lit(0).alias("side"), F.lit(1).cast("long").alias("one"), "n", "n_pages")
+    line = with_range_chunk(marks.unionByName(limits), ["doc_id"], ["at", "side", "n"], "_chunk", "group-line")
+    counted = scan(line, ["doc_id"], ["at", "side", "n"], [Run("_within", "sum", F.col("one"))], "_chunk")
+    return (counted.filter("side = 1").withColumn("next", F.greatest("n", "_within") + 1)
+            .filter(F.col("next") <= F.col("n_pages")).select("doc_id", "n", "next"))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, group, total, taken, tail = None, 0, 0, 0, deque(maxlen=max(overlap, 1))
-        for batch in batches:
-            out = []
-            for d, page, tokens, target in batch[["doc_id", "page_no", "token_count", "target"]].itertuples(index=False):
-                if d != doc:
-                    doc, group, total, taken = d, 0, 0, 0
-                    tail.clear()
-                if total + tokens > target:
-                    # A first page above the target would leave an empty group behind: it is not counted.
-                    group += 1 if taken else 0
-                    again = list(tail) if overlap else []
-                    out.extend((d, group, p) for p, _ in again)
-                    total, taken = sum(n for _, n in again), len(again)
-                out.append((d, group, page))
-                total, taken = total + tokens, taken + 1
-                tail.append((page, tokens))
-            yield pd.DataFrame(out, columns=["doc_id", "group_no", "page_no"])
 
-    return fold
+def _reached(jumps: DataFrame, first: DataFrame, purpose: str) -> DataFrame:
+    """(doc_id, n, group_no): the pages reached from ``first`` (doc_id, n) along ``jumps`` (doc_id, n, next), and in how many steps.
+
+    Each round joins the pages reached with jumps of the length gone so far, then the jumps with themselves, which doubles them.
+    """
+    reached = materialize(first.select("doc_id", "n", F.lit(0).cast("long").alias("group_no")), purpose)
+    jumps = materialize(jumps, purpose)
+    length = 1
+    while True:
+        ahead = materialize(reached.join(jumps, ["doc_id", "n"]).select(
+            "doc_id", F.col("next").alias("n"), (F.col("group_no") + length).alias("group_no")), purpose)
+        if ahead.isEmpty():
+            return reached
+        reached = reached.unionByName(ahead)
+        onward = jumps.select("doc_id", F.col("n").alias("next"), F.col("next").alias("_then"))
+        jumps = materialize(jumps.join(onward, ["doc_id", "next"]).select("doc_id", "n", F.col("_then").alias("next")), purpose)
+        length *= 2
 
 
 def group_pages(pages: DataFrame, max_tokens: int = GROUP_TOKENS, overlap: int = 1) -> DataFrame:
     """Page groups within a token budget, each seeded with the last page(s) of the one before.
 
-    Documents within the budget are one group by plain SQL. The greedy cut of
-    the others depends on every page before, so their (page, tokens) pairs, and
-    nothing else, pass in order through a fold that keeps only the overlap.
+    Documents within the budget are one group. For the others, the page that would begin the next group is found for every page at
+    once, and the pages that do begin one by doubling these pointers from the first page. No document passes through one task. A
+    missing token count is zero. Runs Spark jobs when called.
     """
-    rows = pages.select("doc_id", F.col("page_no").cast("long"), F.col("token_count").cast("long"))
-    totals = rows.groupBy("doc_id").agg(F.sum("token_count").alias("_total"))
+    rows = pages.select("doc_id", F.col("page_no").cast("long"), F.coalesce("token_count", F.lit(0)).cast("long").alias("token_count"))
+    totals = rows.groupBy("doc_id").agg(F.sum("token_count").alias("_total"), F.count(F.lit(1)).alias("n_pages"))
     sized = rows.join(totals, "doc_id")
     small = sized.filter(F.col("_total") <= max_tokens).select("doc_id", F.lit(0).cast("long").alias("group_no"), "page_no")
     parts = F.ceil(F.col("_total") / max_tokens)
     target = F.ceil((F.col("_total") / parts + max_tokens) / 2).cast("long")
-    big = (sized.filter(F.col("_total") > max_tokens).withColumn("target", target).drop("_total")
-           .repartition("doc_id").sortWithinPartitions("doc_id", "page_no"))
-    doc_type = dict(rows.dtypes)["doc_id"]
-    return small.unionByName(big.mapInPandas(_fold_groups(max_tokens, overlap),
-                                             f"doc_id {doc_type}, group_no long, page_no long"))
+    big = sized.filter(F.col("_total") > max_tokens).withColumn("target", target).drop("_total")
+    big = with_range_chunk(big, ["doc_id"], ["page_no"], "_chunk", "group-pages")
+    summed = materialize(scan(big, ["doc_id"], ["page_no"], [
+        Run("upto", "sum", F.col("token_count")), Run("n", "sum", F.lit(1).cast("long"))], "_chunk"), "group-sums")
+    starts = _reached(_next_starts(summed, overlap), summed.filter("n = 1"), "group-starts")
+    own = scan(summed.join(starts, ["doc_id", "n"], "left"), ["doc_id"], ["page_no"],
+               [Run("_group", "last", F.col("group_no"))], "_chunk").select("doc_id", F.col("_group").alias("group_no"), "page_no")
+    grouped = small.unionByName(own)
+    if overlap:
+        again = starts.filter("group_no > 0").select(
+            "doc_id", "group_no", F.explode(F.sequence(F.greatest(F.col("n") - overlap, F.lit(1)), F.col("n") - 1)).alias("n"))
+        grouped = grouped.unionByName(again.join(summed.select("doc_id", "n", "page_no"), ["doc_id", "n"]).select("doc_id", "group_no", "page_no"))
+    return grouped
 
 
 # -- detection ------------------------------------------------------------------------------------

@@ -109,6 +109,20 @@ def _(t):
     return out.select("doc_id", "child_no", "title", *[F.col(c).cast("long").alias(c) for c in ("start_index", "end_index", "node_end")])
 
 
-@query("t9_group_pages")
+@query("t9_group_pages", """
+    WITH RECURSIVE p AS (
+      SELECT doc_id, page_no::BIGINT AS page_no, token_count, row_number() OVER w AS n, sum(token_count) OVER w AS upto,
+             sum(token_count) OVER (PARTITION BY doc_id) AS total FROM page_texts WINDOW w AS (PARTITION BY doc_id ORDER BY page_no)),
+    big AS (SELECT *, ceil((total / ceil(total / 600) + 600) / 2) AS target FROM p WHERE total > 600),
+    after AS (
+      SELECT a.doc_id, a.n, min(b.n) AS next FROM big a LEFT JOIN big c ON c.doc_id = a.doc_id AND c.n = a.n - 1
+      JOIN big b ON b.doc_id = a.doc_id AND b.n > a.n AND b.upto > a.target + coalesce(c.upto - c.token_count, 0) GROUP BY 1, 2),
+    starts AS (
+      SELECT doc_id, n, 0::BIGINT AS group_no FROM big WHERE n = 1 UNION ALL
+      SELECT s.doc_id, a.next, s.group_no + 1 FROM starts s JOIN after a ON a.doc_id = s.doc_id AND a.n = s.n),
+    ranges AS (SELECT *, lead(n) OVER (PARTITION BY doc_id ORDER BY n) AS stop FROM starts)
+    SELECT doc_id, 0::BIGINT AS group_no, page_no FROM p WHERE total <= 600 UNION ALL
+    SELECT big.doc_id, group_no, page_no FROM big JOIN ranges r ON r.doc_id = big.doc_id
+      AND big.n >= r.n - CASE WHEN group_no > 0 THEN 1 ELSE 0 END AND big.n < coalesce(r.stop, big.n + 1)""", "page_texts")
 def _(t):
     return toc.group_pages(t.page_texts, max_tokens=600)

@@ -127,6 +127,7 @@ def test_group_pages(spark):
     r = random.Random(1)
     docs = {d: [r.randrange(1, 60) for _ in range(r.randrange(1, 40))] for d in range(6)}
     docs[6] = [500, 10, 10]
+    docs[7] = [r.choice([0, 0, 7, 30, 150]) for _ in range(700)]
     df = spark.createDataFrame([(d, i + 1, n) for d, t in docs.items() for i, n in enumerate(t)], "doc_id long, page_no int, token_count long")
     for overlap in (0, 1, 2):
         got = {}
