@@ -13,7 +13,7 @@ import math
 import operator
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from clauseloom.llm.bpe import Bpe
 
 #: Entries of each of a worker's memories, and the longest entry kept there. They save time only.
-REMEMBERED, LONGEST_KEPT = 300_000, 96
+REMEMBERED, LONGEST_KEPT = 500_000, 96
 #: Code points to an output batch; a longer text is a batch of its own.
 BATCH = 1 << 20
 
@@ -49,23 +49,24 @@ class Prefixes:
         self.apart = functools.lru_cache(1 << 20)(self._apart)
         #: Tokens by their bytes from the last to the first: a walk backwards from a position meets every token that ends there.
         self.back: dict[int, int] = {}
-        self.opening: dict[int, int] = {}
-        self.closing: dict[int, int] = {}
         sound = {i for i in known if i not in self.parts}
         for token, (left, right, _) in self.parts.items():
             if left in sound and right in sound and self._meeting(left, right) == (left, right):
                 sound.add(token)
+        at = {False: {}, True: {}}
         for token in sound:
             data, closed = known[token]
             node = 0
             for byte in reversed(data):
                 node = self.back.setdefault(node << 8 | byte, len(self.back) + 1)
-            (self.closing if closed else self.opening)[node] = token
+            at[closed][node] = token
+        #: The token that goes on, and the one that ends a word, at each node of that walk; negative: none.
+        self.opening, self.closing = ([at[closed].get(node, -1) for node in range(len(self.back) + 1)] for closed in (False, True))
         self.pieces = regex.compile(rf"(?:{self.words.pattern})\s?|\s")
         self.spaces = {c for c in map(chr, range(0x3001)) if regex.match(r"\s", c)}
         self.known: dict[str, dict[str, bytes]] = {"_piece_counts": {}, "_run_counts": {}}
         self.states: dict[int, _Prefix] = {}
-        self.root, self.numbered = _Prefix(), 0
+        self.root, self.numbered = _Prefix(None, 0, 0, -1, 0, 0), 0
         self.root.number = 0
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -106,23 +107,25 @@ class Prefixes:
             pieces, of = self.pieces.findall(small), self._piece_counts
         else:
             pieces, of = _RUN.findall(text), self._run_counts
-        known, out = self.known[of.__name__], []
-        for piece in pieces:
-            found = known.get(piece)
-            if found is None:
-                # A word with a space behind it differs from the word by a prefix that adds nothing.
-                word = known.get(piece[:-1]) if piece[-1] in self.spaces else None
-                if word is not None:
-                    found = word + bytes(4)
-                else:
-                    counts = of(piece)
-                    found = array.array("i", map(operator.sub, counts, [0, *counts])).tobytes()
-                if len(piece) <= LONGEST_KEPT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = found
-            out.append(found)
-        return np.frombuffer(b"".join(out), "i4")
+        known = self.known[of.__name__]
+        found = list(map(known.get, pieces))
+        if None in found:
+            found = [known.get(piece) or self._learned(piece, known, of) for piece in pieces]
+        return np.frombuffer(b"".join(found), "i4")
+
+    def _learned(self, piece: str, known: dict[str, bytes], of: Callable[[str], list[int]]) -> bytes:
+        # A word with a space behind it differs from the word by a prefix that adds nothing.
+        word = known.get(piece[:-1]) if piece[-1] in self.spaces else None
+        if word is not None:
+            found = word + bytes(4)
+        else:
+            counts = of(piece)
+            found = array.array("i", map(operator.sub, counts, [0, *counts])).tobytes()
+        if len(piece) <= LONGEST_KEPT:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[piece] = found
+        return found
 
     def counts(self, text: str) -> np.ndarray:
         """The number of tokens of each non-empty prefix, by code points."""
@@ -216,28 +219,25 @@ class Prefixes:
 
     def _longer(self, at: _Prefix, byte: int) -> _Prefix:
         """The recurrence: walk back over the bytes and the states before them, along the tokens that may end here."""
-        found = before = _Prefix(at, byte)
-        back, opening, closing = self.back, self.opening, self.closing
-        node = 0
+        back, opening, closing, apart = self.back, self.opening, self.closing, self.apart
         opened, closed = [], []
-        while before.depth:
-            node = back.get(node << 8 | before.byte)
-            if node is None:
-                break
-            before = before.before
-            if node in opening:
+        node, before = back.get(byte), at
+        while node is not None:
+            if opening[node] >= 0:
                 opened.append((opening[node], before))
-            if node in closing:
+            if closing[node] >= 0:
                 closed.append((closing[node], before))
-        for token, before in reversed(opened):
-            if not before.depth or self.apart(before.last, token):
-                found.last, found.kept = token, before.kept + 1
+            if not before.depth:
                 break
+            node, before = back.get(node << 8 | before.byte), before.before
+        for last, before in reversed(opened):
+            if not before.depth or apart(before.last, last):
+                break
+        kept = before.kept + 1
         for token, before in reversed(closed):
-            if not before.depth or self.apart(before.last, token):
-                found.closed = before.kept + 1
+            if not before.depth or apart(before.last, token):
                 break
-        return found
+        return _Prefix(at, byte, at.depth + 1, last, kept, before.kept + 1)
 
 
 class _Prefix:
@@ -245,11 +245,10 @@ class _Prefix:
 
     __slots__ = ("before", "byte", "closed", "depth", "kept", "last", "number")
 
-    def __init__(self, before: _Prefix | None = None, byte: int = 0):
-        self.before, self.byte, self.depth = before, byte, before.depth + 1 if before else 0
+    def __init__(self, before: _Prefix | None, byte: int, depth: int, last: int, kept: int, closed: int):
+        self.before, self.byte, self.depth, self.last, self.kept, self.closed = before, byte, depth, last, kept, closed
         #: Negative: not among the remembered states.
         self.number = -1
-        self.last = self.kept = self.closed = 0
 
 
 class _Line:
