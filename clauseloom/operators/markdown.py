@@ -56,10 +56,10 @@ def markdown_tree(lines: DataFrame, min_tokens: int | None = None, summaries: bo
     """Tree of a Markdown text; with ``min_tokens`` small subtrees are folded first. Node ids count from 1."""
     nodes = markdown_nodes(lines, rows)
     if min_tokens is not None:
-        thin = thin_tree(nodes, min_tokens, LEVELS, rows)
+        thin = thin_tree(nodes, min_tokens, rows)
         again = ordinal(thin, ["doc_id"], ["node_idx"], "_n", dense_chunk("node_idx", rows))
         nodes = again.withColumn("node_idx", F.col("_n") - 1).drop("_n")
-    out = parents_by_level(nodes, max_level=LEVELS, rows=rows).withColumn(
+    out = parents_by_level(nodes, rows=rows).withColumn(
         "node_id", F.format_string("%04d", F.col("node_idx") + 1))
     if summaries:
         out = out.withColumn("summary", tx.extractive_summary("text", F.col("token_count")))

@@ -1,7 +1,8 @@
 """Section trees as adjacency rows in preorder: ranges, parents, subtrees, labels, paths, thinning.
 
-Nothing here recurses: nearest ancestors, subtree ends and subtree totals are
-"last" and "first" scans over the preorder index.
+Nothing here recurses: nearest ancestors, paths and subtree ends come from one
+pass with a stack per chunk of the preorder (``stack.above``), totals from
+prefix sums, at any depth.
 """
 
 from __future__ import annotations
@@ -11,18 +12,9 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import text as tx
 from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, ordinal, scan, with_adaptive_chunk
+from clauseloom.operators.stack import above
 from clauseloom.session import materialize
 
-def _depth(nodes: DataFrame, limit: int | None) -> int:
-    """How many levels to scan for: ``limit`` where the caller knows one, else the deepest level that occurs (one aggregate)."""
-    return limit if limit is not None else int(nodes.agg(F.max("level")).first()[0] or 1)
-
-
-def _checked_level(limit: int) -> Column:
-    """The level, or an error for a tree deeper than the given limit: never a silent loss."""
-    return F.when(F.col("level") > limit, F.raise_error(F.lit(f"tree deeper than max_depth={limit}"))
-                  ).otherwise(F.col("level"))
-
 
 def page_ranges(toc: DataFrame, last_page: Column, rows: int | None = None) -> DataFrame:
     """Start and end page of each item; the end may lie before the start on a shared page."""
@@ -59,16 +51,9 @@ def fill_ranges(nodes: DataFrame, rows: int | None = None) -> DataFrame:
             .withColumn("fill_end", F.greatest(end, F.col("start_index"))).drop("_up", "_n", "_sib"))
 
 
-def parents_by_level(nodes: DataFrame, order: str = "node_idx", max_level: int | None = None, rows: int | None = None) -> DataFrame:
+def parents_by_level(nodes: DataFrame, order: str = "node_idx", rows: int | None = None) -> DataFrame:
     """``parent_idx``: the nearest earlier node of a smaller level."""
-    max_level = _depth(nodes, max_level)
-    runs = [Run(f"_p{lv}", "last", F.when(F.col("level") < lv, F.col(order)), inclusive=False)
-            for lv in range(2, max_level + 1)]
-    found = scan(nodes.withColumn("level", _checked_level(max_level)), ["doc_id"], [order], runs, dense_chunk(order, rows))
-    parent = F.lit(None).cast("long")
-    for lv in range(2, max_level + 1):
-        parent = F.when(F.col("level") == lv, F.col(f"_p{lv}")).otherwise(parent)
-    return found.withColumn("parent_idx", parent.cast("long")).drop(*[r.name for r in runs])
+    return above(nodes, ["doc_id"], order, "level", F.col(order).cast("long"), "parent_idx", dense_chunk(order, rows))
 
 
 def parents_by_structure(items: DataFrame, order: str = "item_idx", rows: int | None = None) -> DataFrame:
@@ -113,79 +98,64 @@ def with_is_leaf(nodes: DataFrame, rows: int | None = None) -> DataFrame:
     return ahead.withColumn("is_leaf", ~F.coalesce(F.col("_up") == F.col("node_idx"), F.lit(False))).drop("_up")
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int | None = None, rows: int | None = None) -> DataFrame:
-    """Nodes with their title path ``a/b/c`` and ``has_children``. Levels count from 1 without gaps."""
-    max_depth = _depth(nodes, max_depth)
+def flatten_tree(nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    """Nodes with their title path ``a/b/c`` and ``has_children``."""
     named = nodes.withColumn("title", F.when(F.coalesce("title", F.lit("")) == "", "Unknown").otherwise(F.col("title")))
-    runs = [Run(f"_t{lv}", "last", F.when(F.col("level") == lv, F.col("title"))) for lv in range(1, max_depth + 1)]
-    runs.append(Run("_up", "lead", F.col("parent_idx")))
-    seen = scan(named.withColumn("level", _checked_level(max_depth)), ["doc_id"], ["node_idx"], runs,
-                dense_chunk("node_idx", rows))
-    steps = F.slice(F.array(*[F.col(f"_t{lv}") for lv in range(1, max_depth + 1)]), F.lit(1), F.col("level"))
-    return (seen.withColumn("path", F.array_join(steps, "/"))
-            .withColumn("has_children", F.coalesce(F.col("_up") == F.col("node_idx"), F.lit(False)))
-            .drop(*[r.name for r in runs]))
+    seen = scan(named, ["doc_id"], ["node_idx"], [Run("_up", "lead", F.col("parent_idx"))], dense_chunk("node_idx", rows))
+    seen = above(seen, ["doc_id"], "node_idx", "level", F.col("title"), "_titles", dense_chunk("node_idx", rows), whole=True)
+    return (seen.withColumn("path", F.array_join(F.concat("_titles", F.array("title")), "/"))
+            .withColumn("has_children", F.coalesce(F.col("_up") == F.col("node_idx"), F.lit(False))).drop("_up", "_titles"))
 
 
-def leaf_nodes(nodes: DataFrame, max_depth: int | None = None, rows: int | None = None) -> DataFrame:
-    return flatten_tree(nodes, max_depth, rows).filter(~F.col("has_children")).drop("has_children")
+def leaf_nodes(nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    return flatten_tree(nodes, rows).filter(~F.col("has_children")).drop("has_children")
 
 
-def hierarchy_labels(nodes: DataFrame, max_depth: int | None = None, rows: int | None = None) -> DataFrame:
+def hierarchy_labels(nodes: DataFrame, rows: int | None = None) -> DataFrame:
     """``label``: the ranks among siblings from the root down, such as 1.2.3."""
-    max_depth = _depth(nodes, max_depth)
-    keyed = nodes.withColumn("_up", F.coalesce("parent_idx", F.lit(-1))).withColumn("level", _checked_level(max_depth))
-    ranked = materialize(ordinal(keyed, ["doc_id", "_up"], ["node_idx"], "_rank", dense_chunk("node_idx", rows)), "ranks")
-    runs = [Run(f"_r{lv}", "last", F.when(F.col("level") == lv, F.col("_rank"))) for lv in range(1, max_depth + 1)]
-    seen = scan(ranked, ["doc_id"], ["node_idx"], runs, dense_chunk("node_idx", rows))
-    steps = F.slice(F.array(*[F.col(r.name).cast("string") for r in runs]), F.lit(1), F.col("level"))
-    return seen.withColumn("label", F.array_join(steps, ".")).drop("_up", "_rank", *[r.name for r in runs])
+    keyed = nodes.withColumn("_up", F.coalesce("parent_idx", F.lit(-1)))
+    ranked = ordinal(keyed, ["doc_id", "_up"], ["node_idx"], "_rank", dense_chunk("node_idx", rows))
+    ranked = materialize(ranked.withColumn("_rank", F.col("_rank").cast("string")), "ranks")
+    seen = above(ranked, ["doc_id"], "node_idx", "level", F.col("_rank"), "_ranks", dense_chunk("node_idx", rows), whole=True)
+    return seen.withColumn("label", F.array_join(F.concat("_ranks", F.array("_rank")), ".")).drop("_up", "_rank", "_ranks")
 
 
 # -- subtrees -------------------------------------------------------------------------------------
 
-def subtree_ends(nodes: DataFrame, carry: dict[str, Column] | None = None, max_depth: int | None = None,
-                 order: str = "node_idx", rows: int | None = None) -> DataFrame:
+def subtree_ends(nodes: DataFrame, carry: dict[str, Column] | None = None, order: str = "node_idx", rows: int | None = None) -> DataFrame:
     """``_stop``: the first later node that leaves the subtree (index ``at`` and the ``carry`` values); null at the end."""
-    max_depth = _depth(nodes, max_depth)
     values = F.struct(F.col(order).alias("at"), *[v.alias(k) for k, v in (carry or {}).items()])
-    runs = [Run(f"_f{lv}", "first", F.when(F.col("level") <= lv, values), inclusive=False)
-            for lv in range(1, max_depth + 1)]
-    found = scan(nodes.withColumn("level", _checked_level(max_depth)), ["doc_id"], [order], runs, dense_chunk(order, rows))
-    stop = F.coalesce(*[F.when(F.col("level") == lv, F.col(f"_f{lv}")) for lv in range(1, max_depth + 1)])
-    return found.withColumn("_stop", stop).drop(*[r.name for r in runs])
+    return above(nodes, ["doc_id"], order, "level", values, "_stop", dense_chunk(order, rows), later=True, equal=True)
 
 
-def subtree_sums(nodes: DataFrame, value: Column, name: str, max_depth: int | None = None, order: str = "node_idx",
-                 rows: int | None = None) -> DataFrame:
+def subtree_sums(nodes: DataFrame, value: Column, name: str, order: str = "node_idx", rows: int | None = None) -> DataFrame:
     """Sum of ``value`` over each node and its descendants, as a difference of two suffix sums."""
     tail = materialize(scan(nodes, ["doc_id"], [order], [Run("_tail", "suffix_sum", value)], dense_chunk(order, rows)),
                        "subtree-tail")
-    ends = subtree_ends(tail, {"tail": F.col("_tail")}, max_depth, order, rows)
+    ends = subtree_ends(tail, {"tail": F.col("_tail")}, order, rows)
     return ends.withColumn(name, F.col("_tail") - F.coalesce(F.col("_stop.tail"), F.lit(0))).drop("_tail", "_stop")
 
 
-def subtree_tokens(nodes: DataFrame, max_depth: int | None = None, order: str = "node_idx", rows: int | None = None) -> DataFrame:
-    return subtree_sums(nodes, F.col("token_count"), "subtree_tokens", max_depth, order, rows)
+def subtree_tokens(nodes: DataFrame, order: str = "node_idx", rows: int | None = None) -> DataFrame:
+    return subtree_sums(nodes, F.col("token_count"), "subtree_tokens", order, rows)
 
 
-def subtree_clause_counts(nodes: DataFrame, clauses: DataFrame, max_depth: int | None = None, rows: int | None = None
-                          ) -> DataFrame:
+def subtree_clause_counts(nodes: DataFrame, clauses: DataFrame, rows: int | None = None) -> DataFrame:
     """Clauses in the subtree of each node."""
     own = clauses.groupBy("doc_id", "node_id").agg(F.count(F.lit(1)).alias("_own"))
     joined = nodes.join(own, ["doc_id", "node_id"], "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
-    return subtree_sums(joined, F.col("_own"), "clause_count", max_depth, rows=rows).drop("_own")
+    return subtree_sums(joined, F.col("_own"), "clause_count", rows=rows).drop("_own")
 
 
-def thin_tree(nodes: DataFrame, min_tokens: int, max_depth: int | None = None, rows: int | None = None) -> DataFrame:
+def thin_tree(nodes: DataFrame, min_tokens: int, rows: int | None = None) -> DataFrame:
     """Fold small subtrees into one node each.
 
     A node below ``min_tokens`` (its subtree counted) takes in all descendants.
     Survivors are the nodes without such an ancestor; the node that absorbs a
     lost one is the last survivor before it, so the text is one grouped concat.
     """
-    sized = materialize(subtree_tokens(nodes, max_depth, rows=rows), "thin-sized")
-    ends = subtree_ends(sized, None, max_depth, rows=rows)
+    sized = materialize(subtree_tokens(nodes, rows=rows), "thin-sized")
+    ends = subtree_ends(sized, rows=rows)
     size = F.coalesce(F.col("_stop.at"), F.lit(1 << 62))
     thin = F.col("subtree_tokens") < min_tokens
     marked = scan(ends.withColumn("_thin", thin).withColumn("_size", size), ["doc_id"], ["node_idx"],

@@ -129,12 +129,12 @@ def _(t):
         F.col("start_index").alias("page_number"), F.lit("requirement").alias("type"),
         F.when(F.col("seq") % 2 == 0, "actor").otherwise("").alias("actor"), F.lit("ships").alias("action"),
         F.lit(None).cast("string").alias("object"))
-    return cl.clause_matrix(tree.hierarchy_labels(t.nodes, 3), c).select(
+    return cl.clause_matrix(tree.hierarchy_labels(t.nodes), c).select(
         "doc_id", "node_idx", "label", "title", "clause_id", "clause_text", "page", "structured")
 
 
 @query("s11_tree_json", """
     SELECT doc_id, count(*) AS nodes, sum(length(title))::BIGINT AS title_chars FROM nodes GROUP BY 1""", "nodes")
 def _(t):
-    rows = readers.nodes_from_tree_json(tables.tree_json(t.nodes), max_depth=3)
+    rows = readers.nodes_from_tree_json(tables.tree_json(t.nodes))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.length("title")).alias("title_chars"))

@@ -86,7 +86,7 @@ def _(t):
 @query("j5_parents_by_level", """
     SELECT doc_id, node_idx::BIGINT AS node_idx, parent_idx::BIGINT AS parent_idx FROM nodes""", "nodes")
 def _(t):
-    return tree.parents_by_level(t.nodes.drop("parent_idx"), max_level=3).select("doc_id", "node_idx", "parent_idx")
+    return tree.parents_by_level(t.nodes.drop("parent_idx")).select("doc_id", "node_idx", "parent_idx")
 
 
 @query("j6_parents_by_structure", """
@@ -138,7 +138,7 @@ def _(t):
       AND m.node_idx > n.node_idx), 1000000000)))
     GROUP BY 1, 2""", "nodes node_clauses")
 def _(t):
-    return tree.subtree_clause_counts(t.nodes, t.node_clauses.select("doc_id", "node_id"), 3).select(
+    return tree.subtree_clause_counts(t.nodes, t.node_clauses.select("doc_id", "node_id")).select(
         "doc_id", "node_idx", *_long("clause_count"))
 
 
@@ -191,7 +191,7 @@ def _(t):
     SELECT doc_id, a::BIGINT AS node_idx, sum(n)::BIGINT AS subtree_tokens FROM up GROUP BY 1, 2""", "nodes")
 def _(t):
     sized = t.nodes.withColumn("token_count", F.length("title").cast("long"))
-    return tree.subtree_tokens(sized, 3).select("doc_id", "node_idx", "subtree_tokens")
+    return tree.subtree_tokens(sized).select("doc_id", "node_idx", "subtree_tokens")
 
 
 @query("a11_location_stats", """
@@ -264,7 +264,7 @@ def _(t):
 
 @query("w13_hierarchy_labels", "SELECT doc_id, node_idx::BIGINT AS node_idx, structure AS label FROM nodes", "nodes")
 def _(t):
-    return tree.hierarchy_labels(t.nodes, 3).select("doc_id", "node_idx", "label")
+    return tree.hierarchy_labels(t.nodes).select("doc_id", "node_idx", "label")
 
 
 @query("u1_add_preface", """
@@ -354,7 +354,7 @@ def _(t):
     FROM nodes n LEFT JOIN nodes p ON p.doc_id = n.doc_id AND p.node_idx = n.parent_idx
     LEFT JOIN nodes g ON g.doc_id = n.doc_id AND g.node_idx = p.parent_idx""", "nodes")
 def _(t):
-    return tree.flatten_tree(t.nodes, 3).select("doc_id", "node_idx", "path", F.col("has_children").cast("int").cast("long").alias("has_children"))
+    return tree.flatten_tree(t.nodes).select("doc_id", "node_idx", "path", F.col("has_children").cast("int").cast("long").alias("has_children"))
 
 
 @query("t5_leaf_nodes", """
@@ -362,7 +362,7 @@ def _(t):
     FROM nodes n JOIN nodes p ON p.doc_id = n.doc_id AND p.node_idx = n.parent_idx
     JOIN nodes g ON g.doc_id = n.doc_id AND g.node_idx = p.parent_idx""", "nodes")
 def _(t):
-    return tree.leaf_nodes(t.nodes, 3).select("doc_id", "node_idx", "path")
+    return tree.leaf_nodes(t.nodes).select("doc_id", "node_idx", "path")
 
 
 @query("t6_parse_physical_index", """

@@ -43,11 +43,41 @@ def test_tree_json_round_trip(spark):
     assert readers.nodes_from_tree_json(spark.createDataFrame([(1, "{oops")], "doc_id long, json string")).count() == 0
 
 
-def test_too_deep_tree_is_an_error(spark):
-    import pytest
-    nodes = spark.createDataFrame([(1, i, i + 1, f"n{i}") for i in range(4)], "doc_id long, node_idx long, level int, title string")
-    with pytest.raises(Exception, match="deeper"):
-        readers.nodes_from_tree_json(tables.tree_json(nodes), max_depth=3).collect()
+def test_tree_of_five_hundred_levels(spark):
+    nodes = spark.createDataFrame([(1, i, i + 1, f"n{i}") for i in range(500)] + [(1, 500, 2, "last")],
+                                  "doc_id long, node_idx long, level int, title string")
+    back = readers.nodes_from_tree_json(tables.tree_json(nodes), rows=100).orderBy("path").collect()
+    assert [(r["level"], r["title"]) for r in back] == [(i + 1, f"n{i}") for i in range(500)] + [(2, "last")]
+    assert back[499]["path"] == [0] * 500 and back[500]["path"] == [0, 1]
+
+
+def test_tree_json_of_any_shape(spark):
+    def node(title, *nodes, **more):
+        return {"title": title, **more, **({"nodes": list(nodes)} if nodes else {})}
+    trees = {
+        1: {"doc": "x", "structure": [node("a", node("b", positions=[[1, 2.5], [3, 4]]), node("c", node("d"))), node("e", start_index=3)], "more": [1, {"nodes": [node("no")]}]},
+        2: {"nodes": [node("no")], "other": {"structure": [node("no")]}},
+        3: {"structure": [node("f", summary='brackets "nodes": [{ in } a ] text \\ é\n', meta={"k": {"nodes": [node("no")]}}), {}]},
+        4: {"structure": []}, 5: [], 6: {"structure": "text"}}
+    texts = {i: json.dumps(t, indent=i % 3 or None, ensure_ascii=i % 2 == 0) for i, t in trees.items()}
+    bad = ['{"structure": [{"title": "x"}', '{"structure": [{"title": "x"}]}}', '{"structure": [{"title": x}]}', '{"structure": [{"title": "x"} {"title": "y"}]}x',
+           '{"structure": [{"title": "x"]}}', '{"structure": [{"title": "x}]}', "", None, '{"structure": [{"title": "x"}] oops}', '{"structure":[{}]}{}']
+    rows = [*texts.items(), *((100 + i, b) for i, b in enumerate(bad)), (1, texts[4]), (None, texts[3])]
+    got = readers.nodes_from_tree_json(spark.createDataFrame(rows, "doc_id long, json string"), rows=7).collect()
+    want = []
+    for i, text in rows:
+        if i is not None and i >= 100:
+            continue
+
+        def walk(nodes, path):
+            for k, n in enumerate(nodes):
+                want.append((i, [*path, k], n.get("title"), n.get("start_index"), n.get("summary"), n.get("positions")))
+                walk(n.get("nodes", []), [*path, k])
+
+        tree = json.loads(text)
+        found = tree.get("structure") if isinstance(tree, dict) else None
+        walk(found if isinstance(found, list) else [], [])
+    assert sorted(((r["doc_id"], r["path"], r["title"], r["start_index"], r["summary"], r["positions"]) for r in got), key=repr) == sorted(want, key=repr)
 
 
 def test_store_append_read_and_delete(spark, tmp_path):

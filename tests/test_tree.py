@@ -2,10 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import token_count
 from clauseloom.operators import markdown, toc, tree
+from clauseloom.operators.scan import dense_chunk
+from clauseloom.operators.stack import above
 
 
 def random_tree(r, n):
@@ -61,17 +64,38 @@ def frame(spark, trees):
 def test_parents_subtrees_and_thinning(spark):
     trees = forest(2)
     df = frame(spark, trees)
-    found = tree.parents_by_level(df.drop("parent_idx"), max_level=5, rows=4).collect()
+    found = tree.parents_by_level(df.drop("parent_idx"), rows=4).collect()
     assert {(r["doc_id"], r["node_idx"]): r["parent_idx"] for r in found} == {
         (d, i): p for d, (lv, _) in trees.items() for i, p in enumerate(stack_parents(lv))}
-    sums = tree.subtree_tokens(df, 5, rows=4).collect()
+    sums = tree.subtree_tokens(df, rows=4).collect()
     assert {(r["doc_id"], r["node_idx"]): r["subtree_tokens"] for r in sums} == {
         (d, i): sum(len(tx[j].split()) for j in [i, *descendants(lv, i)]) for d, (lv, tx) in trees.items() for i in range(len(lv))}
-    thin = tree.thin_tree(df, 12, 5, rows=4).collect()
+    thin = tree.thin_tree(df, 12, rows=4).collect()
     assert {(r["doc_id"], r["node_idx"]): r["text"] for r in thin} == {
         (d, i): t for d, (lv, tx) in trees.items() for i, t in loop_thinning(lv, tx, 12).items()}
 
 
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_nearest_rows_of_a_smaller_level(spark, rows):
+    r = random.Random(rows)
+    levels = {d: [r.choice([1, 2, 2, 3, 5, 9, None]) for _ in range(r.randrange(1, 60))] for d in range(5)}
+    df = spark.createDataFrame([(d, i, lv, f"v{i}") for d, ls in levels.items() for i, lv in enumerate(ls)], "d long, i long, lv int, _v string")
+    for later in (False, True):
+        for equal in (False, True):
+            got = {(x["d"], x["i"]): x["near"] for x in above(df, ["d"], "i", "lv", F.col("_v"), "near", dense_chunk("i", rows), later, equal).collect()}
+            for d, ls in levels.items():
+                for i, lv in enumerate(ls):
+                    side = range(i + 1, len(ls)) if later else range(i - 1, -1, -1)
+                    assert got[d, i] == next((f"v{j}" for j in side if (ls[j] or 1) < (lv or 1) + equal), None)
+    got = {(x["d"], x["i"]): x["up"] for x in above(df, ["d"], "i", "lv", F.col("i"), "up", dense_chunk("i", rows), whole=True).collect()}
+    for d, ls in levels.items():
+        stack = []
+        for i, lv in enumerate(ls):
+            stack = [j for j in stack if (ls[j] or 1) < (lv or 1)]
+            assert got[d, i] == stack
+            stack.append(i)
+
+
 def test_leaf_boundary_and_fill_range(spark):
     trees = forest(7)
     df = frame(spark, trees)
