@@ -394,25 +394,51 @@ def resolve_toc(pages: DataFrame, blocks: DataFrame, check_pages: int = 20, min_
     return done.unionByName(failed, allowMissingColumns=True)
 
 
-def split_large_nodes(nodes: DataFrame, pages: DataFrame, items: DataFrame, max_pages: int = MAX_PAGES,
-                      max_tokens: int = MAX_TOKENS, rows: int | None = None) -> DataFrame:
-    """Children of the large nodes from the items on their pages, one round.
-
-    Returns (doc_id, node_idx, child_no, title, structure, start_index,
-    end_index, node_end): a first child with the node's own title is dropped,
-    and the node ends where the next one starts.
-    """
+def _children(nodes: DataFrame, pages: DataFrame, items: DataFrame, max_pages: int, max_tokens: int, rows: int | None) -> DataFrame:
+    """Children of those of ``nodes`` (doc_id, path, title, start_index, end_index) that are large, from the items on their pages."""
     large = large_nodes(nodes, pages, max_pages, max_tokens).select(
-        "doc_id", "node_idx", F.col("title").alias("_own"), "start_index", "end_index")
-    spread = large.withColumn("physical_index", F.explode(F.sequence("start_index", "end_index")))
-    hits = spread.join(items.select("doc_id", "item_idx", "title", "structure", "physical_index"), ["doc_id", "physical_index"])
-    ranked = ordinal(hits, ["doc_id", "node_idx"], ["item_idx"], "_n", dense_chunk("item_idx", rows))
+        "doc_id", F.col("path").alias("_in"), F.col("title").alias("_own"), F.col("start_index").alias("_from"), F.col("end_index").alias("_to"))
+    spread = large.withColumn("physical_index", F.explode(F.sequence("_from", "_to")))
+    if "level" in items.columns:
+        spread = spread.withColumn("level", F.size("_in"))
+    hits = spread.join(items, [c for c in ("doc_id", "physical_index", "level") if c in spread.columns])
+    ranked = ordinal(hits, ["doc_id", "_in"], ["item_idx"], "_n", dense_chunk("item_idx", rows))
     same = (F.col("_n") == 1) & (tx.strip("title") == tx.strip("_own"))
-    kept = materialize(ranked.filter(~same), "split-items")
-    ahead = scan(kept, ["doc_id", "node_idx"], ["item_idx"], [Run("_next", "lead", F.col("physical_index")),
-                                                              Run("_k", "sum", F.lit(1).cast("long"))],
-                 dense_chunk("item_idx", rows))
-    ends = kept.groupBy("doc_id", "node_idx").agg(F.min_by("physical_index", "item_idx").alias("node_end"))
-    return ahead.join(ends, ["doc_id", "node_idx"]).select(
-        "doc_id", "node_idx", F.col("_k").alias("child_no"), "title", "structure", F.col("physical_index").alias("start_index"),
-        F.coalesce("_next", "end_index").alias("end_index"), "node_end")
+    kept = materialize(ranked.filter(~F.coalesce(same, F.lit(False))), "split-items")
+    ahead = scan(kept, ["doc_id", "_in"], ["item_idx"], [
+        Run("_next", "lead", F.struct(F.col("physical_index").alias("p"), (F.col("appear_start") == "yes").alias("starts"))),
+        Run("child_no", "sum", F.lit(1).cast("long"))], dense_chunk("item_idx", rows))
+    ends = kept.groupBy("doc_id", "_in").agg(F.min_by("physical_index", "item_idx").alias("node_end"))
+    end = F.coalesce(F.when(F.col("_next.starts"), F.col("_next.p") - 1).otherwise(F.col("_next.p")), F.col("_to"))
+    return ahead.join(ends, ["doc_id", "_in"]).select(
+        "doc_id", "_in", F.concat("_in", F.array("child_no")).alias("path"), "child_no", "title", "structure",
+        F.col("physical_index").alias("start_index"), end.alias("end_index"), "node_end", (F.col("_to") - F.col("_from")).alias("_span"))
+
+
+def split_large_nodes(nodes: DataFrame, pages: DataFrame, items: DataFrame, max_pages: int = MAX_PAGES, max_tokens: int = MAX_TOKENS,
+                      rows: int | None = None) -> DataFrame:
+    """Children of the large nodes from the items on their pages, again and again until no node made is large or gains children.
+
+    Returns (doc_id, node_idx, path, child_no, title, structure, start_index, end_index, node_end). ``path`` has the node's index and
+    the child numbers below it. A first child with the title of its node is dropped. A child ends where the next one starts, or one
+    page before if that one's title starts its page, the last one with its node. A node that gets children ends where the first one
+    starts: for the nodes given that is ``node_end``, for children it is their ``end_index``. Where ``items`` have a ``level``, a node
+    takes items of the level below its own only, and the nodes given are of level 0. A child over all pages of its node is not split again, so ranges
+    shrink and the rounds end. A round joins the children of the round before, and nothing else.
+    """
+    found = items.select("doc_id", "item_idx", "title", "structure", "physical_index", *(["level"] if "level" in items.columns else []))
+    found = materialize(title_starts_page(valid_toc(found), pages), "split-titles")
+    frontier = nodes.select("doc_id", F.array(F.col("node_idx").cast("long")).alias("path"), "title", "start_index", "end_index")
+    rounds = []
+    while True:
+        made = materialize(_children(frontier, pages, found, max_pages, max_tokens, rows), "split-round")
+        rounds.append(made)
+        if made.isEmpty():
+            break
+        frontier = made.filter(F.col("end_index") - F.col("start_index") < F.col("_span")).select(
+            "doc_id", "path", "title", "start_index", "end_index")
+    every = reduce(lambda a, b: a.unionByName(b), rounds)
+    cut = every.groupBy("doc_id", F.col("_in").alias("path")).agg(F.first("node_end").alias("_end"))
+    return every.join(cut, ["doc_id", "path"], "left").select(
+        "doc_id", F.element_at("path", 1).alias("node_idx"), "path", "child_no", "title", "structure", "start_index",
+        F.coalesce("_end", "end_index").alias("end_index"), "node_end")

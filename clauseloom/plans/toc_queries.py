@@ -98,15 +98,28 @@ def _(t):
 
 
 @query("t19_split_large_nodes", """
-    WITH big AS (SELECT doc_id, max(toc_size + page) AS last_page FROM toc_entries GROUP BY 1)
-    SELECT doc_id, item_idx + 1 AS child_no, title, (toc_size + page)::BIGINT AS start_index,
-      coalesce(lead(toc_size + page) OVER (PARTITION BY doc_id ORDER BY item_idx), last_page)::BIGINT AS end_index,
-      (min(toc_size + page) OVER (PARTITION BY doc_id))::BIGINT AS node_end FROM toc_entries JOIN big USING (doc_id)""", "toc_entries")
+    WITH items AS (SELECT *, toc_size + page AS p, max(toc_size + page) OVER (PARTITION BY doc_id) AS last_page FROM toc_entries),
+    tops AS (
+      SELECT doc_id, item_idx, title, p AS a, coalesce(lead(p) OVER w - 1, last_page) AS b, row_number() OVER w AS no,
+             min(p) OVER (PARTITION BY doc_id) AS node_end
+      FROM items WHERE item_idx % 12 = 0 AND last_page > 2 WINDOW w AS (PARTITION BY doc_id ORDER BY item_idx)),
+    subs AS (
+      SELECT t.doc_id, t.no, i.title, i.p AS a, row_number() OVER w AS sub, min(i.p) OVER (PARTITION BY t.doc_id, t.no) AS node_end,
+        coalesce(lead(i.p) OVER w - CASE WHEN lead(i.item_idx) OVER w % 3 = 0 THEN 1 ELSE 0 END, t.b) AS b
+      FROM tops t JOIN items i ON i.doc_id = t.doc_id AND i.item_idx % 12 <> 0 AND i.p BETWEEN t.a AND t.b WHERE t.b - t.a > 1
+      WINDOW w AS (PARTITION BY t.doc_id, t.no ORDER BY i.item_idx))
+    SELECT doc_id, '0/' || no AS path, no AS child_no, title, a::BIGINT AS start_index,
+      coalesce((SELECT min(s.node_end) FROM subs s WHERE s.doc_id = t.doc_id AND s.no = t.no), b)::BIGINT AS end_index, node_end::BIGINT AS node_end
+    FROM tops t UNION ALL
+    SELECT doc_id, '0/' || no || '/' || sub, sub, title, a::BIGINT, b::BIGINT, node_end::BIGINT FROM subs""", "toc_entries")
 def _(t):
+    """Whole documents split into sections at every twelfth item, and sections of over two pages into their other items."""
     nodes = _counts(t).select("doc_id", F.lit(0).cast("long").alias("node_idx"), F.lit("Whole").alias("title"), F.lit(1).alias("start_index"),
                               F.col("pages").alias("end_index"))
-    out = toc.split_large_nodes(nodes, t.toc_doc_pages, _placed(t), max_pages=5, max_tokens=50)
-    return out.select("doc_id", "child_no", "title", *[F.col(c).cast("long").alias(c) for c in ("start_index", "end_index", "node_end")])
+    items = _placed(t).withColumn("level", F.when(F.col("item_idx") % 12 == 0, 1).otherwise(2))
+    out = toc.split_large_nodes(nodes, t.toc_doc_pages, items, max_pages=1, max_tokens=5)
+    return out.select("doc_id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "child_no", "title",
+                      *[F.col(c).cast("long").alias(c) for c in ("start_index", "end_index", "node_end")])
 
 
 @query("t9_group_pages", """

@@ -190,3 +190,47 @@ def test_markdown_headings(spark):
     assert got == [(1, 1, "A"), (7, 2, "B"), (10, 1, "C")]
     body = {r["line_num"]: r["text"] for r in markdown.section_text(lines, rows=2).collect()}
     assert body[7] == "## B  \nmore" and body[1].endswith("# indented")
+
+
+def plain_split(node, items, texts, level, limit):
+    """(path, title, start, end) of all that a node is split into, and its new end, by recursion."""
+    path, title, start, end, narrower = node
+    if end - start <= limit or not narrower:
+        return [], end
+    found = [i for i in items if start <= i[1] <= end and (level is None or i[2] == len(path))]
+    if found and found[0][0].strip() == title.strip():
+        found = found[1:]
+    out = []
+    for n, (name, page, _) in enumerate(found):
+        stop = end if n + 1 == len(found) else found[n + 1][1] - (found[n + 1][0] in texts[found[n + 1][1]][:len(found[n + 1][0]) + 2])
+        below, cut = plain_split(([*path, n + 1], name, page, stop, stop - page < end - start), items, texts, level, limit)
+        out += [(tuple([*path, n + 1]), name, page, cut), *below]
+    return out, found[0][1] if found else end
+
+
+@pytest.mark.parametrize("level", [None, 3])
+def test_large_nodes_are_split_to_the_end(spark, level):
+    r = random.Random(level)
+    docs = {}
+    for d in range(6):
+        last, items = r.randrange(6, 40), []
+        for n in range(r.randrange(0, 12)):
+            items.append((f"Heading number {chr(97 + n) * 4}", r.randrange(1, last + 1), r.randrange(1, 4)))
+        items.sort(key=lambda i: i[1])
+        texts = {p: "\n".join([i[0] for i in items if i[1] == p and r.random() < 0.5] + ["plain words of the page here"] + [i[0] for i in items if i[1] == p])
+                 for p in range(1, last + 1)}
+        docs[d] = last, items, texts
+    pages = spark.createDataFrame([(d, p, t, 100) for d, (_, _, texts) in docs.items() for p, t in texts.items()], "doc_id long, page_no int, text string, token_count long")
+    nodes = spark.createDataFrame([(d, 0, items[0][0] if d % 2 and items else "Whole", 1, last) for d, (last, items, _) in docs.items()],
+                                  "doc_id long, node_idx long, title string, start_index int, end_index int")
+    rows = [(d, n, t, None, p, lv) for d, (_, items, _) in docs.items() for n, (t, p, lv) in enumerate(items)]
+    items = spark.createDataFrame(rows, "doc_id long, item_idx long, title string, structure string, physical_index int, level int")
+    got = toc.split_large_nodes(nodes, pages, items if level else items.drop("level"), max_pages=3, max_tokens=1, rows=2).collect()
+    for d, (last, its, texts) in docs.items():
+        plain = {p: t.replace(" ", "").replace("\n", "") for p, t in texts.items()}
+        name = its[0][0] if d % 2 and its else "Whole"
+        flat = [(t.replace(" ", ""), p, lv) for t, p, lv in its]
+        want, end = plain_split(([0], name.replace(" ", ""), 1, last, True), flat, plain, level, 3)
+        mine = [x for x in got if x["doc_id"] == d]
+        assert sorted((tuple(x["path"]), x["title"].replace(" ", ""), x["start_index"], x["end_index"]) for x in mine) == sorted(want)
+        assert {x["node_end"] for x in mine if len(x["path"]) == 2} == ({end} if want else set())
