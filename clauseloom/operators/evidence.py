@@ -12,6 +12,7 @@ from clauseloom.functions import text as tx
 from clauseloom.operators import blocks as bl
 from clauseloom.operators.clauses import is_visual
 from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, scan
+from clauseloom.operators.similar import close_pairs
 from clauseloom.schemas import POSITIONS_DDL
 from clauseloom.session import materialize
 
@@ -82,17 +83,14 @@ def match_exact(clauses: DataFrame, blocks: DataFrame) -> DataFrame:
 def match_similarity(clauses: DataFrame, blocks: DataFrame, threshold: float = sim.EVIDENCE_THRESHOLD) -> DataFrame:
     """Most similar text block at or above the threshold, the first one on a tie.
 
-    Equal texts are compared once, texts meet only in neighbouring length bands
-    (no other pair can reach the threshold), and the scores are combined before
-    the shuffle.
+    Equal texts are compared once, texts meet only by rare runs in common (no
+    other pair can reach the threshold), and the scores are combined before the
+    shuffle.
     """
-    step = (2 - threshold) / threshold
-    band = F.floor(F.log(F.length("norm")) / F.log(F.lit(step))).cast("int")
-    wanted = clauses.filter(F.length("norm") > 0).select(*NODE, "norm").distinct().withColumn("_b", band)
-    wanted = wanted.withColumnRenamed("norm", "_c").withColumn("_b", F.explode(F.sequence(F.col("_b") - 1, F.col("_b") + 1)))
+    wanted = clauses.select(*NODE, "norm").distinct().withColumnRenamed("norm", "needle").withColumn("_c", F.col("needle"))
     texts = (blocks.filter((F.col("type") == "text") & (F.length("norm") > 0))
-             .groupBy(*NODE, "norm").agg(F.min("ord").alias("ord")).withColumn("_b", band))
-    pairs = wanted.join(texts, [*NODE, "_b"]).filter(sim.length_bound(F.col("_c"), F.col("norm")) >= threshold)
+             .groupBy(*NODE, "norm").agg(F.min("ord").alias("ord")).withColumn("hay", F.col("norm")))
+    pairs = close_pairs(wanted, texts, NODE, threshold).filter(sim.length_bound(F.col("_c"), F.col("norm")) >= threshold)
     scored = pairs.withColumn("_s", sim.ratio(F.col("_c"), F.col("norm"), 1.0)).filter(F.col("_s") >= threshold)
     best = scored.groupBy(*NODE, "_c").agg(F.max_by("ord", F.struct(F.col("_s"), -F.col("ord"))).alias("ord"))
     hits = clauses.join(best.withColumnRenamed("_c", "norm"), [*NODE, "norm"]).select(*CLAUSE, "ord")

@@ -9,6 +9,7 @@ from clauseloom.functions import similarity as sim
 from clauseloom.functions import text as tx
 from clauseloom.operators import blocks as bl
 from clauseloom.operators.containment import containing_pairs
+from clauseloom.operators.similar import close_pairs
 from clauseloom.operators.tree import boundary_titles, fill_ranges
 from clauseloom.schemas import POSITIONS_DDL
 from clauseloom.session import materialize
@@ -61,9 +62,9 @@ def find_title_anywhere(titles: DataFrame, blocks: DataFrame, keys: list[str], t
                         ) -> DataFrame:
     """(keys, found): first block of the whole document that holds the title.
 
-    Equal titles are searched once. Containment runs over anchors. Similarity
-    can only succeed for titles long enough to carry the window slack, or for
-    blocks of nearly the title's length; the latter meet by length band.
+    Equal titles are searched once. Containment runs over anchors. Similar texts
+    meet by rare runs in common; where a block is longer than the window, only
+    titles long enough to carry the window slack can succeed.
     """
     body = searchable(blocks).select("doc_id", "block_idx", "norm")
     t = _with_norm(titles).filter(F.col("_title") != "")
@@ -75,16 +76,11 @@ def find_title_anywhere(titles: DataFrame, blocks: DataFrame, keys: list[str], t
     before = F.col("_exact").isNull() | (F.col("block_idx") < F.col("_exact"))
     able = sim.window_bound(F.col("_title"), F.col("norm")) >= threshold
     slack = F.length("_title") + sim.WINDOW_EXTRA
-    step = (2 - threshold) / threshold
-
-    def band(text: str) -> Column:
-        return F.floor(F.log(F.length(text)) / F.log(F.lit(step))).cast("int")
-
-    short = (open_titles.withColumn("_band", F.explode(F.sequence(band("_title") - 1, band("_title") + 1)))
-             .join(body.filter(F.length("norm") > 0).withColumn("_band", band("norm")), ["doc_id", "_band"])
-             .filter(F.length("norm") < slack).drop("_band"))
+    # A window is the whole text where that is shorter than the title and its slack.
+    asked, offered = open_titles.withColumn("needle", F.col("_title")), body.withColumn("hay", F.col("norm"))
+    short = close_pairs(asked, offered, ["doc_id"], threshold).filter(F.length("norm") < slack)
     carrying = 2 * F.length("_title") / (F.length("_title") + slack) >= threshold
-    long = open_titles.filter(carrying).join(body, "doc_id").filter(F.length("norm") >= slack)
+    long = close_pairs(asked.filter(carrying), offered, ["doc_id"], threshold, windowed=True).filter(F.length("norm") >= slack)
     close = (short.unionByName(long).filter(before & able & ~F.col("norm").contains(F.col("_title")))
              .filter(sim.window_ratio_above(F.col("_title"), F.col("norm"), threshold) >= threshold)
              .groupBy("doc_id", "_title").agg(F.min("block_idx").alias("_close")))
