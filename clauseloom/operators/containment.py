@@ -2,51 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A needle is looked up by its first characters: the longest of these sizes that fits into it.
-ANCHOR_SIZES = (16, 8, 4, 2, 1)
-
-
-def _anchor_size(text: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for size in sorted(ANCHOR_SIZES):
-        out = F.when(F.length(text) >= size, F.lit(size)).otherwise(out)
-    return out
-
-
-def _anchors(sized: DataFrame, scope: list[str]) -> DataFrame:
-    """One anchor per needle: of the substrings at its start, thirds and end the one that fewest needles offer."""
-    room = F.length("needle") - F.col("_size")
-    places = F.array(F.lit(1), (F.floor(room / 3) + 1).cast("int"), (F.floor(2 * room / 3) + 1).cast("int"), room + 1)
-    options = sized.select(*scope, "_needle", "_size", "needle").dropDuplicates([*scope, "_needle"]).select(
-        *scope, "_needle", "_size", F.explode(F.array_distinct(F.transform(places, lambda p: F.xxhash64(
-            F.substr("needle", p, F.col("_size")))))).alias("_anchor"))
-    offered = options.groupBy(*scope, "_size", "_anchor").agg(F.count(F.lit(1)).alias("_n"))
-    return options.join(offered, [*scope, "_size", "_anchor"]).groupBy(*scope, "_needle", "_size").agg(
-        F.min_by("_anchor", F.struct("_n", "_anchor")).alias("_anchor"))
+from clauseloom.operators.anchors import anchor_places, needle_anchors
+from clauseloom.session import materialize
 
 
 def containing_pairs(needles: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
     """Rows of ``needles`` (column ``needle``) beside the rows of ``texts`` (column ``hay``) that contain them.
 
-    Every text yields hashes of its distinct substrings of the anchor sizes in use; they meet one anchor of each needle in an
-    equi join within ``scope``. Only digests and hashes travel to that join: a text moves once, to be compared in full with the
-    needles whose anchor it has. Empty needles match nothing. Asks for the sizes in use (at most a handful) when called.
+    One anchor of each needle meets the places of the texts that may have it, in an equi join within ``scope``. Places that no needle
+    can stand at are left out while the texts are scanned, and a text moves once, to be compared in full with the needles whose
+    anchor it has. Empty needles match nothing. Runs Spark jobs when called.
     """
-    sized = needles.filter(F.length("needle") > 0).withColumn("_size", _anchor_size(F.col("needle"))).withColumn("_needle", F.md5("needle"))
-    in_use = sorted(r[0] for r in sized.select("_size").distinct().collect())
+    sized = needles.filter(F.length("needle") > 0).withColumn("_needle", F.md5("needle"))
+    anchors = materialize(needle_anchors(sized, scope), "anchors")
     keyed = texts.withColumn("_hay", F.md5("hay"))
-    # A look-ahead matches at every position, so one linear pass lists all overlapping substrings.
-    def grams_of(size: int) -> Column:
-        found = F.array_distinct(F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-        return F.transform(found, lambda g: F.struct(F.lit(size).alias("_size"), F.xxhash64(g).alias("_anchor")))
-
-    none = F.array().cast("array<struct<_size:int,_anchor:bigint>>")
-    spread = keyed.select(*scope, "_hay", F.inline(F.concat(none, *map(grams_of, in_use))))
-    found = spread.join(_anchors(sized, scope), [*scope, "_size", "_anchor"]).select(*scope, "_hay", "_needle").distinct()
-    return (keyed.join(found, [*scope, "_hay"]).join(sized.drop("_size"), [*scope, "_needle"])
+    places = anchor_places(keyed, anchors, [*scope, "_hay"]).select(*scope, "_hay", "_size", "_anchor")
+    found = places.join(anchors.drop("_at"), [*scope, "_size", "_anchor"]).select(*scope, "_hay", "_needle").distinct()
+    return (keyed.join(found, [*scope, "_hay"]).join(sized, [*scope, "_needle"])
             .filter(F.col("hay").contains(F.col("needle"))).drop("_hay", "_needle"))
 
 

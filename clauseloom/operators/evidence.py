@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import similarity as sim
 from clauseloom.functions import text as tx
 from clauseloom.operators import blocks as bl
+from clauseloom.operators.anchors import ANCHOR_SIZES, anchor_places, needle_anchors
 from clauseloom.operators.clauses import is_visual
 from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, scan
 from clauseloom.operators.similar import close_pairs
@@ -100,39 +101,45 @@ def match_similarity(clauses: DataFrame, blocks: DataFrame, threshold: float = s
 def match_substring(clauses: DataFrame, blocks: DataFrame, piece: int = PIECE_CHARS, rows: int | None = None) -> DataFrame:
     """Blocks that the first occurrence of the clause in the node's joined text touches.
 
-    The joined text is never built whole: it is cut into pieces that overlap by
-    the longest clause of the node, so no cell grows with the node.
+    The joined text is never built whole: it is hashed in pieces that overlap by
+    an anchor. Anchors of the clauses meet their places by hash, which gives the
+    clauses' possible beginnings; each is compared block by block, and the first
+    that agrees in full counts.
     """
-    wanted = clauses.filter(F.length("norm") > 0).select(*CLAUSE, "norm")
+    wanted = clauses.filter(F.length("norm") > 0).select(*CLAUSE, "norm", F.md5("norm").alias("_needle"))
+    sought = wanted.select(*NODE, "_needle", F.col("norm").alias("needle")).dropDuplicates([*NODE, "_needle"])
+    anchors = materialize(needle_anchors(sought, NODE), "substring-anchors")
     placed = scan(blocks.select(*NODE, "ord", "norm", "position"), NODE, ["ord"],
                   [Run("_off", "sum", F.length("norm").cast("long"), inclusive=False)], dense_chunk("ord", rows))
-    placed = materialize(placed, "substring-offsets")
-    longest = wanted.groupBy(*NODE).agg(F.max(F.length("norm")).alias("_over"))
-    size = F.length("norm")
-    spread = (placed.filter(size > 0).join(longest, NODE)
-              .withColumn("_k", F.explode(F.sequence(
-                  F.greatest(F.floor((F.col("_off") - F.col("_over")) / piece), F.lit(0)),
-                  F.floor((F.col("_off") + size - 1) / piece)))))
+    placed = materialize(placed.withColumn("_end", F.col("_off") + F.length("norm")), "substring-offsets")
+    over = max(ANCHOR_SIZES) - 1
+    spread = (placed.filter("_end > _off").join(anchors.select(*NODE).distinct(), NODE, "left_semi")
+              .withColumn("_k", F.explode(F.sequence(F.greatest(F.floor((F.col("_off") - over) / piece), F.lit(0)), F.floor((F.col("_end") - 1) / piece)))))
     begin = F.greatest(F.col("_k") * piece - F.col("_off"), F.lit(0))
-    stop = F.least((F.col("_k") + 1) * piece + F.col("_over") - F.col("_off"), size.cast("long"))
-    part = spread.withColumn("_part", F.substring(F.col("norm"), (begin + 1).cast("int"), (stop - begin).cast("int"))
-                             ).filter(F.col("_part") != "")
-    texts = ordered_concat(part, [*NODE, "_k"], ["ord"], F.col("_part"), "", "_text", dense_chunk("ord", rows))
-    at = F.instr(F.col("_text"), F.col("norm"))
-    hits = (wanted.join(texts, NODE).withColumn("_at", at).filter(F.col("_at") > 0)
-            .groupBy(*CLAUSE).agg(F.min(F.col("_k") * piece + F.col("_at") - 1).alias("_from"),
-                                  F.max(F.length("norm")).alias("_len")))
-    spans = hits.withColumn("_to", F.col("_from") + F.col("_len")).withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("_from") / SPAN_BUCKET), F.floor((F.col("_to") - 1) / SPAN_BUCKET))))
-    buckets = placed.withColumn("_end", F.col("_off") + size).withColumn("_bucket", F.explode(F.sequence(
-        F.floor(F.col("_off") / SPAN_BUCKET),
-        F.floor(F.greatest(F.col("_off"), F.col("_off") + size - 1) / SPAN_BUCKET))))
-    touched = (spans.join(buckets, [*NODE, "_bucket"])
-               .filter((F.col("_end") > F.col("_from")) & (F.col("_off") < F.col("_to")))
-               .groupBy(*CLAUSE, "ord").agg(F.first("position").alias("position")))
-    return (touched.groupBy(*CLAUSE).agg(F.array_sort(F.collect_list(F.struct("ord", "position"))).alias("_p"))
-            .select(*CLAUSE, F.lit("substring").alias("strategy"),
-                    F.transform("_p", lambda p: p["position"]).cast(POSITIONS_DDL).alias("positions")))
+    stop = F.least((F.col("_k") + 1) * piece + over, F.col("_end")) - F.col("_off")
+    part = spread.withColumn("_part", F.substring(F.col("norm"), (begin + 1).cast("int"), (stop - begin).cast("int"))).filter(F.col("_part") != "")
+    texts = ordered_concat(part, [*NODE, "_k"], ["ord"], F.col("_part"), "", "hay", dense_chunk("ord", rows))
+    places = anchor_places(texts, anchors, [*NODE, "_k"]).filter(F.col("_place") < piece)
+    starts = (places.join(anchors, [*NODE, "_size", "_anchor"]).select(*NODE, "_needle", (F.col("_k") * piece + F.col("_place") - F.col("_at")).alias("_from"))
+              .filter(F.col("_from") >= 0))
+
+    def bucket(at: Column) -> Column:
+        return F.floor(at / SPAN_BUCKET)
+
+    spans = starts.join(sought, [*NODE, "_needle"]).withColumn("_to", F.col("_from") + F.length("needle")).withColumn(
+        "_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to") - 1))))
+    buckets = placed.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_off")), bucket(F.greatest(F.col("_off"), F.col("_end") - 1)))))
+    first, last = F.greatest("_from", "_off"), F.least("_to", "_end")
+    size = (last - first).cast("int")
+    same = F.substring(F.col("norm"), (first - F.col("_off") + 1).cast("int"), size) == F.substring(F.col("needle"), (first - F.col("_from") + 1).cast("int"), size)
+    # Span and block share several buckets if both are long; the first one speaks for them.
+    touched = (spans.join(buckets, [*NODE, "_bucket"]).filter((F.col("_end") > F.col("_from")) & (F.col("_off") < F.col("_to")))
+               .filter(F.col("_bucket") == F.greatest(bucket(F.col("_from")), bucket(F.col("_off"))))
+               .groupBy(*NODE, "_needle", "_from", "_to").agg(F.sum(F.when(same, size).otherwise(0)).alias("_same"),
+                                                              F.array_sort(F.collect_list(F.struct("ord", "position"))).alias("_p")))
+    found = touched.filter(F.col("_same") == F.col("_to") - F.col("_from")).groupBy(*NODE, "_needle").agg(F.min_by("_p", "_from").alias("_p"))
+    return wanted.join(found, [*NODE, "_needle"]).select(*CLAUSE, F.lit("substring").alias("strategy"),
+                                                         F.transform("_p", lambda p: p["position"]).cast(POSITIONS_DDL).alias("positions"))
 
 
 def match_keywords(clauses: DataFrame, blocks: DataFrame, threshold: float = sim.KEYWORD_THRESHOLD) -> DataFrame:
