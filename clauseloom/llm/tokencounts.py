@@ -24,11 +24,34 @@ from pyspark.sql import functions as F
 from clauseloom.llm.bpe import Bpe
 
 #: Entries of each of a worker's memories, and the longest entry kept there. They save time only.
-REMEMBERED, LONGEST_KEPT = 500_000, 96
+REMEMBERED, LONGEST_KEPT = 700_000, 96
 #: Code points to an output batch; a longer text is a batch of its own.
 BATCH = 1 << 20
 
-_RUN = re.compile(r"[^ \t\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]?|[ \t\n\r\x0b\x0c]")
+_SPACES = r" \t\n\r\x0b\x0c"
+_RUN = re.compile(f"[^{_SPACES}]+[{_SPACES}]?|[{_SPACES}]")
+
+
+class _Steps(dict):
+    """What each piece of text adds to the counts, code point by code point, as 32-bit numbers; it forgets all when it is full."""
+
+    def __init__(self, counts: Callable[[str], list[int]], spaces: set[str]):
+        super().__init__()
+        self.counts, self.spaces = counts, spaces
+
+    def __missing__(self, piece: str) -> bytes:
+        # A word with a space behind it differs from the word by a prefix that adds nothing.
+        word = self.get(piece[:-1]) if piece[-1] in self.spaces else None
+        if word is not None:
+            found = word + bytes(4)
+        else:
+            counts = self.counts(piece)
+            found = array.array("i", map(operator.sub, counts, [0, *counts])).tobytes()
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class Prefixes:
@@ -64,7 +87,10 @@ class Prefixes:
         self.opening, self.closing = ([at[closed].get(node, -1) for node in range(len(self.back) + 1)] for closed in (False, True))
         self.pieces = regex.compile(rf"(?:{self.words.pattern})\s?|\s")
         self.spaces = {c for c in map(chr, range(0x3001)) if regex.match(r"\s", c)}
-        self.known: dict[str, dict[str, bytes]] = {"_piece_counts": {}, "_run_counts": {}}
+        # For texts of ASCII alone the same classes can be written for the faster library.
+        plain = self.words.pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(r"\s", _SPACES)
+        self.ascii_pieces = self.pieces if "\\p" in plain else re.compile(f"(?:{plain})[{_SPACES}]?|[{_SPACES}]")
+        self.known_pieces, self.known_runs = _Steps(self._piece_counts, self.spaces), _Steps(self._run_counts, set())
         self.states: dict[int, _Prefix] = {}
         self.root, self.numbered = _Prefix(None, 0, 0, -1, 0, 0), 0
         self.root.number = 0
@@ -104,28 +130,9 @@ class Prefixes:
         """For each code point, by how much the count of the prefix that ends with it exceeds the count of the one before."""
         small = _small(text)
         if len(small) == len(text) and unicodedata.is_normalized("NFC", text) and not any(s in text for s in self.special):
-            pieces, of = self.pieces.findall(small), self._piece_counts
-        else:
-            pieces, of = _RUN.findall(text), self._run_counts
-        known = self.known[of.__name__]
-        found = list(map(known.get, pieces))
-        if None in found:
-            found = [known.get(piece) or self._learned(piece, known, of) for piece in pieces]
-        return np.frombuffer(b"".join(found), "i4")
-
-    def _learned(self, piece: str, known: dict[str, bytes], of: Callable[[str], list[int]]) -> bytes:
-        # A word with a space behind it differs from the word by a prefix that adds nothing.
-        word = known.get(piece[:-1]) if piece[-1] in self.spaces else None
-        if word is not None:
-            found = word + bytes(4)
-        else:
-            counts = of(piece)
-            found = array.array("i", map(operator.sub, counts, [0, *counts])).tobytes()
-        if len(piece) <= LONGEST_KEPT:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[piece] = found
-        return found
+            split = self.ascii_pieces if small.isascii() else self.pieces
+            return np.frombuffer(b"".join(map(self.known_pieces.__getitem__, split.findall(small))), "i4")
+        return np.frombuffer(b"".join(map(self.known_runs.__getitem__, _RUN.findall(text))), "i4")
 
     def counts(self, text: str) -> np.ndarray:
         """The number of tokens of each non-empty prefix, by code points."""
