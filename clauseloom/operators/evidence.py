@@ -21,6 +21,8 @@ from clauseloom.session import materialize
 BOX_TOLERANCE = 0.1
 PIECE_CHARS = 1 << 20
 SPAN_BUCKET = 4096
+#: Clauses times characters of a node that are cheaper to search than to look up.
+SMALL_NODE = 1 << 20
 
 NODE = ["doc_id", "node_id"]
 CLAUSE = ["doc_id", "node_id", "matrix_id"]
@@ -98,30 +100,42 @@ def match_similarity(clauses: DataFrame, blocks: DataFrame, threshold: float = s
     return _placed(hits, blocks, "similarity")
 
 
-def match_substring(clauses: DataFrame, blocks: DataFrame, piece: int = PIECE_CHARS, rows: int | None = None) -> DataFrame:
-    """Blocks that the first occurrence of the clause in the node's joined text touches.
-
-    The joined text is never built whole: it is hashed in pieces that overlap by
-    an anchor. Anchors of the clauses meet their places by hash, which gives the
-    clauses' possible beginnings; each is compared block by block, and the first
-    that agrees in full counts.
-    """
-    wanted = clauses.filter(F.length("norm") > 0).select(*CLAUSE, "norm", F.md5("norm").alias("_needle"))
-    sought = wanted.select(*NODE, "_needle", F.col("norm").alias("needle")).dropDuplicates([*NODE, "_needle"])
+def _starts(sought: DataFrame, placed: DataFrame, piece: int, rows: int | None) -> DataFrame:
+    """(node, _needle, _from): where in the joined text of a node each text may begin, by its anchor."""
     anchors = materialize(needle_anchors(sought, NODE), "substring-anchors")
-    placed = scan(blocks.select(*NODE, "ord", "norm", "position"), NODE, ["ord"],
-                  [Run("_off", "sum", F.length("norm").cast("long"), inclusive=False)], dense_chunk("ord", rows))
-    placed = materialize(placed.withColumn("_end", F.col("_off") + F.length("norm")), "substring-offsets")
     over = max(ANCHOR_SIZES) - 1
-    spread = (placed.filter("_end > _off").join(anchors.select(*NODE).distinct(), NODE, "left_semi")
-              .withColumn("_k", F.explode(F.sequence(F.greatest(F.floor((F.col("_off") - over) / piece), F.lit(0)), F.floor((F.col("_end") - 1) / piece)))))
+    spread = placed.filter("_end > _off").withColumn("_k", F.explode(F.sequence(
+        F.greatest(F.floor((F.col("_off") - over) / piece), F.lit(0)), F.floor((F.col("_end") - 1) / piece))))
     begin = F.greatest(F.col("_k") * piece - F.col("_off"), F.lit(0))
     stop = F.least((F.col("_k") + 1) * piece + over, F.col("_end")) - F.col("_off")
     part = spread.withColumn("_part", F.substring(F.col("norm"), (begin + 1).cast("int"), (stop - begin).cast("int"))).filter(F.col("_part") != "")
     texts = ordered_concat(part, [*NODE, "_k"], ["ord"], F.col("_part"), "", "hay", dense_chunk("ord", rows))
     places = anchor_places(texts, anchors, [*NODE, "_k"]).filter(F.col("_place") < piece)
-    starts = (places.join(anchors, [*NODE, "_size", "_anchor"]).select(*NODE, "_needle", (F.col("_k") * piece + F.col("_place") - F.col("_at")).alias("_from"))
-              .filter(F.col("_from") >= 0))
+    begins = (F.col("_k") * piece + F.col("_place") - F.col("_at")).cast("long").alias("_from")
+    return places.join(anchors, [*NODE, "_size", "_anchor"]).select(*NODE, "_needle", begins).filter(F.col("_from") >= 0)
+
+
+def match_substring(clauses: DataFrame, blocks: DataFrame, piece: int = PIECE_CHARS, rows: int | None = None, small: int = SMALL_NODE) -> DataFrame:
+    """Blocks that the first occurrence of the clause in the node's joined text touches.
+
+    Small nodes are searched clause by clause. The joined text of others is never
+    built whole: it is hashed in pieces that overlap by an anchor. Anchors of the
+    clauses meet their places by hash, which gives the clauses' possible
+    beginnings; each is compared block by block, and the first that agrees in
+    full counts.
+    """
+    wanted = clauses.filter(F.length("norm") > 0).select(*CLAUSE, "norm", F.md5("norm").alias("_needle"))
+    sought = materialize(wanted.select(*NODE, "_needle", F.col("norm").alias("needle")).dropDuplicates([*NODE, "_needle"]), "substring-sought")
+    placed = scan(blocks.select(*NODE, "ord", "norm", "position"), NODE, ["ord"],
+                  [Run("_off", "sum", F.length("norm").cast("long"), inclusive=False)], dense_chunk("ord", rows))
+    placed = materialize(placed.withColumn("_end", F.col("_off") + F.length("norm")), "substring-offsets")
+    effort = placed.groupBy(*NODE).agg(F.max("_end").alias("_chars")).join(sought.groupBy(*NODE).agg(F.count(F.lit(1)).alias("_n")), NODE)
+    large = materialize(effort.filter(F.col("_chars") * F.col("_n") > small).select(*NODE), "substring-nodes")
+    none = large.isEmpty()
+    joined = ordered_concat(placed if none else placed.join(large, NODE, "left_anti"), NODE, ["ord"], F.col("norm"), "", "_text", dense_chunk("ord", rows))
+    starts = sought.join(joined, NODE).select(*NODE, "_needle", (F.instr(F.col("_text"), F.col("needle")) - 1).cast("long").alias("_from")).filter("_from >= 0")
+    if not none:
+        starts = starts.unionByName(_starts(sought.join(large, NODE, "left_semi"), placed.join(large, NODE, "left_semi"), piece, rows))
 
     def bucket(at: Column) -> Column:
         return F.floor(at / SPAN_BUCKET)

@@ -110,10 +110,10 @@ def test_substring_over_small_pieces(spark):
     prepared = ev.prepare_blocks(ev.node_blocks(nodes_for(spark, blocks), bdf))
     from clauseloom.functions.text import normalize_evidence
     c = cdf.withColumn("norm", normalize_evidence("original_text"))
-    def run(piece):
-        return sorted((r["matrix_id"], str(r["positions"])) for r in ev.match_substring(c, prepared, piece, 4).collect())
-    assert run(1 << 20) == run(17)
-    assert run(17)
+    def run(piece, small):
+        return sorted((r["matrix_id"], str(r["positions"])) for r in ev.match_substring(c, prepared, piece, 4, small).collect())
+    assert run(1 << 20, 0) == run(17, 0) == run(17, 1 << 20) == run(17, 3000)
+    assert run(17, 0)
 
 
 def test_repeated_and_shifted_positions(spark):

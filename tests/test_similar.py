@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.functions.similarity import WINDOW_EXTRA, best_window, pair_ratio
+from clauseloom.operators import similar
 from clauseloom.operators.similar import close_pairs
 
 
@@ -25,7 +26,8 @@ def edited(r, text, share):
 
 @pytest.mark.parametrize("threshold", [0.85, 0.7])
 @pytest.mark.parametrize("windowed", [False, True])
-def test_no_similar_pair_is_missed(spark, threshold, windowed):
+def test_no_similar_pair_is_missed(spark, monkeypatch, threshold, windowed):
+    monkeypatch.setattr(similar, "FEW", 20)
     r = random.Random(int(threshold * 100) + windowed)
     needles, texts = [], []
     for scope in range(4):
@@ -37,8 +39,8 @@ def test_no_similar_pair_is_missed(spark, threshold, windowed):
             if windowed:
                 near = " ".join(r.choices(words, k=5)) + near + " ".join(r.choices(words, k=9))
             texts.append((scope, k, near))
-    needles += [(0, 100, ""), (9, 101, "alone"), (0, 102, None)]
-    texts += [(0, 100, ""), (0, 101, None), (8, 102, "alone")]
+    needles += [(0, 100, ""), (9, 101, "alone"), (0, 102, None), (7, 103, "a small scope")]
+    texts += [(0, 100, ""), (0, 101, None), (8, 102, "alone"), (7, 103, "a small scope")]
     found = close_pairs(spark.createDataFrame(needles, "scope long, k long, needle string"),
                         spark.createDataFrame(texts, "scope long, n long, hay string"), ["scope"], threshold, windowed)
     got = {(x.scope, x.k, x.n) for x in found.collect()}
