@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.operators.scan import Run, scan, with_adaptive_chunk
+from clauseloom.operators.scan import Run, scan, with_range_chunk
 from clauseloom.schemas import POSITIONS_DDL, TASK_FIELDS, UNKNOWN_NODE
 
 
@@ -193,25 +195,30 @@ def task_stats(tasks: DataFrame, sections: DataFrame, clauses: DataFrame) -> Dat
 def latency_quantiles(tasks: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Exact interpolated quantiles of the elapsed seconds, in one row.
 
-    Equal values are counted first; the ranks come from a chunked running sum,
-    so neither one task nor one aggregation buffer holds all values.
+    Equal values are counted first and dealt into ranges of values. One count per
+    range tells which ranges hold the wanted ranks; running sums are made inside
+    these few only. Neither one task nor one aggregation buffer holds all values.
     """
     counts = (tasks.filter(F.col("elapsed_seconds").isNotNull())
-              .groupBy(F.col("elapsed_seconds").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-              .withColumn("_all", F.lit(0)))
-    cut = with_adaptive_chunk(counts, ["_all"], F.floor(F.col("v") * 1000), "_cut")
-    ranked = scan(cut, ["_all"], ["v"], [Run("upto", "sum", F.col("c"))], "_cut")
-    total = counts.groupBy("_all").agg(F.sum("c").alias("n"))
-    joined = ranked.join(total, "_all")
-    picks = [F.max("n").alias("n")]
-    for i, q in enumerate(quantiles):
-        place = (F.col("n") - 1) * F.lit(q)
-        picks += [F.min(F.when(F.col("upto") > F.floor(place), F.col("v"))).alias(f"lo{i}"),
-                  F.min(F.when(F.col("upto") > F.ceil(place), F.col("v"))).alias(f"hi{i}")]
-    found = joined.groupBy("_all").agg(*picks)
+              .groupBy(F.col("elapsed_seconds").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    dealt = with_range_chunk(counts, [], ["v"], "_range", "quantiles")
+    # One number per range, as many as the session has shuffle partitions.
+    sizes = sorted((r["_range"], r["n"]) for r in dealt.groupBy("_range").agg(F.sum("c").alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    ranks = sorted({rank for q in quantiles for rank in (math.floor((total - 1) * q), math.ceil((total - 1) * q))}) if total else []
+    holds, before = {}, 0
+    for number, n in sizes:
+        holds |= {rank: (number, before) for rank in ranks if before <= rank < before + n}
+        before += n
+    wanted = dealt.filter(F.col("_range").isin(sorted({number for number, _ in holds.values()})))
+    inside = Window.partitionBy("_range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = wanted.withColumn("_upto", F.sum("c").over(inside))
+    picks = [F.min(F.when((F.col("_range") == number) & (F.col("_upto") > rank - offset), F.col("v"))).alias(f"r{rank}")
+             for rank, (number, offset) in holds.items()]
+    found = ranked.agg(*(picks or [F.max("v")]))
     out = []
-    for i, q in enumerate(quantiles):
-        share = (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        out.append((lo + (hi - lo) * share).alias(f"p{round(q * 100)}"))
-    return found.select(*out, "n")
+    for q in quantiles:
+        place = (total - 1) * q
+        low, high = ((F.col(f"r{rank}") if total else F.lit(None).cast("double")) for rank in (math.floor(place), math.ceil(place)))
+        out.append((low + (high - low) * F.lit(place - math.floor(place))).alias(f"p{round(q * 100)}"))
+    return found.select(*out, F.lit(total).cast("long").alias("n"))

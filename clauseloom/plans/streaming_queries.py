@@ -29,7 +29,7 @@ def _run(t, stream, name: str, mode: str = "append"):
     SELECT id, task_id, round(greatest(max(progress) OVER (PARTITION BY task_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING), 0), 6)
       AS progress FROM task_logs""", "task_logs")
 def _(t):
-    return _run(t, st.stream_progress(event_stream(t)), "r1").select("id", "task_id", F.round("progress", 6).alias("progress"))
+    return _run(t, st.stream_progress(event_stream(t), None), "r1").select("id", "task_id", F.round("progress", 6).alias("progress"))
 
 
 @query("r2_stream_changes", """
@@ -47,7 +47,7 @@ def _(t):
 @query("r3_stream_recent_logs", """
     SELECT id, task_id, message FROM task_logs QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY created_at DESC, id DESC) <= 50""", "task_logs")
 def _(t):
-    return _run(t, st.stream_recent_logs(event_stream(t)), "r3", "update").select("id", "task_id", "message")
+    return st.latest(_run(t, st.stream_recent_logs(event_stream(t), idle_seconds=None), "r3", "update")).select("id", "task_id", "message")
 
 
 @query("r5_stream_ingest", """
@@ -61,7 +61,7 @@ def _(t):
         F.length("text").cast("long").alias("file_size"), F.sha2("text", 256).alias("file_hash"),
         F.when(F.col("doc_id") % 8 == 0, "completed").otherwise("running").alias("status"), F.lit(100.0).alias("progress"),
         F.current_timestamp().alias("created_at"), F.current_timestamp().alias("completed_at"))
-    done.write.parquet(f"{out}/tasks/batch_id=-1")
+    st.store_tasks(done, f"{out}/tasks", -1)
     files = (t.spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
              .select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.length("text").alias("size"),
                      F.sha2("text", 256).alias("sha256")))

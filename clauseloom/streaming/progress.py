@@ -11,15 +11,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType
 
 from clauseloom.operators.tasks import decide_ingest, new_tasks
 
 # How long a feed stays open, and how many entries the rolling log keeps.
 FEED_SECONDS = 600
 RECENT = 50
+#: How long a silent task's state is kept.
+IDLE_SECONDS = 86_400
 
 _OUT = "task_id string, id long, created_at timestamp, progress double, message string"
 
@@ -28,20 +31,42 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(["created_at", "id"], kind="stable")
 
 
-def _clamp(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = _ordered(frames)
-    high = state.get[0] if state.exists else 0.0
-    known = rows["progress"].fillna(-np.inf).to_numpy(dtype="float64")
-    rows["progress"] = np.maximum(np.maximum.accumulate(known), high)
-    state.update((float(rows["progress"].iloc[-1]),))
-    yield rows[["task_id", "id", "created_at", "progress", "message"]]
+def _freed(state: GroupState) -> bool:
+    """Whether the call is a timer's: the task has been silent so long that its state goes."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    return False
 
 
-def stream_progress(logs: DataFrame) -> DataFrame:
-    """Every entry with its progress clamped to the task's high-water mark."""
+def _clamp(seconds: int | None):
+    def clamp(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _freed(state):
+            return
+        rows = _ordered(frames)
+        high = state.get[0] if state.exists else 0.0
+        known = rows["progress"].fillna(-np.inf).to_numpy(dtype="float64")
+        rows["progress"] = np.maximum(np.maximum.accumulate(known), high)
+        state.update((float(rows["progress"].iloc[-1]),))
+        if seconds:
+            state.setTimeoutDuration(seconds * 1000)
+        yield rows[["task_id", "id", "created_at", "progress", "message"]]
+
+    return clamp
+
+
+def _timeout(seconds: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if seconds else GroupStateTimeout.NoTimeout
+
+
+def stream_progress(logs: DataFrame, idle_seconds: int | None = IDLE_SECONDS) -> DataFrame:
+    """Every entry with its progress clamped to the task's high-water mark.
+
+    The mark is forgotten once a task has had no entry for ``idle_seconds``. A run that shall end with its input (``availableNow``)
+    passes ``None``: a timer keeps it alive.
+    """
     narrow = logs.select("task_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), "progress", "message")
-    return narrow.groupBy("task_id").applyInPandasWithState(_clamp, _OUT, "high double", "append",
-                                                            GroupStateTimeout.NoTimeout)
+    return narrow.groupBy("task_id").applyInPandasWithState(_clamp(idle_seconds), _OUT, "high double", "append", _timeout(idle_seconds))
 
 
 def _feed(seconds: int | None):
@@ -92,8 +117,10 @@ def stream_changes(logs: DataFrame, seconds: int | None = FEED_SECONDS) -> DataF
                                                             else GroupStateTimeout.NoTimeout)
 
 
-def _recent(n: int):
+def _recent(n: int, seconds: int | None = None):
     def keep(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _freed(state):
+            return
         rows = _ordered(frames).tail(n)
         if state.exists:
             times, ids, progress, messages = state.get
@@ -106,36 +133,68 @@ def _recent(n: int):
         micros = pd.to_datetime(rows["created_at"]).astype("datetime64[us]").astype("int64")
         state.update((micros.tolist(), rows["id"].astype("int64").tolist(), rows["progress"].astype("float64").tolist(),
                       rows["message"].tolist()))
+        if seconds:
+            state.setTimeoutDuration(seconds * 1000)
         yield rows.assign(task_id=key[0])[["task_id", "id", "created_at", "progress", "message"]]
 
     return keep
 
 
-def stream_recent_logs(logs: DataFrame, n: int = RECENT) -> DataFrame:
-    """The current last ``n`` entries of each task touched by a micro-batch (update mode)."""
+def stream_recent_logs(logs: DataFrame, n: int = RECENT, idle_seconds: int | None = IDLE_SECONDS) -> DataFrame:
+    """The current last ``n`` entries of each task touched by a micro-batch (update mode).
+
+    They are forgotten once a task has had no entry for ``idle_seconds``; ``None`` as in ``stream_progress``.
+    """
     narrow = logs.select("task_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), "progress", "message")
     return narrow.groupBy("task_id").applyInPandasWithState(
-        _recent(n), _OUT, "times array<long>, ids array<long>, progress array<double>, messages array<string>", "update",
-        GroupStateTimeout.NoTimeout)
+        _recent(n, idle_seconds), _OUT, "times array<long>, ids array<long>, progress array<double>, messages array<string>", "update",
+        _timeout(idle_seconds))
+
+
+def latest(updates: DataFrame) -> DataFrame:
+    """Of what ``run_to_table`` has written in update mode the rows of each task's last batch."""
+    last = updates.groupBy("task_id").agg(F.max("batch_id").alias("batch_id"))
+    return updates.join(last, ["task_id", "batch_id"])
+
+
+def hash_prefix(file_hash: str | Column) -> Column:
+    """Folder of a content hash: its first two digits."""
+    return F.lower(F.substring(F.col(file_hash) if isinstance(file_hash, str) else file_hash, 1, 2)).alias("prefix")
+
+
+def store_tasks(tasks: DataFrame, store: str, batch_id: int) -> None:
+    """Write task rows foldered by hash prefix and batch; a batch that is written again replaces its own folders."""
+    (tasks.withColumn("prefix", hash_prefix("file_hash")).withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "prefix")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "batch_id").parquet(store))
+
+
+def known_tasks(files: DataFrame, store: str) -> DataFrame:
+    """The stored tasks in the folders of the files' hashes; other folders are not read."""
+    prefixes = [r[0] for r in files.select(hash_prefix("sha256")).distinct().collect()]
+    # A store names its folders by text; without a schema, digits would be read as numbers.
+    spark = files.sparkSession
+    schema = spark.read.option("mergeSchema", "true").parquet(store).schema
+    for field in schema.fields:
+        if field.name == "prefix":
+            field.dataType = StringType()
+    return spark.read.schema(schema).parquet(store).filter(F.col("prefix").isin(prefixes))
 
 
 def ingest_batch(store: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body: create one task per new content hash.
 
     Hashes of completed or running tasks are skipped, equal files of a batch
-    make one task. Each batch owns a folder that a retry overwrites, so a batch
-    that is replayed after a failure changes nothing.
+    make one task. The store is foldered by hash prefix, and a batch reads the
+    folders of its own hashes only (256 at most). Within them it owns folders
+    that a retry overwrites, so a batch that is replayed after a failure changes
+    nothing.
     """
 
     def run(files: DataFrame, batch_id: int) -> None:
-        spark = files.sparkSession
-        known = spark.read.option("mergeSchema", "true").parquet(store)
-        if "batch_id" in known.columns:
-            known = known.filter(F.coalesce(F.col("batch_id"), F.lit(-1)) != batch_id)
+        known = known_tasks(files, store).filter(F.coalesce(F.col("batch_id"), F.lit(-1)) != batch_id)
         todo = decide_ingest(files, known).filter(F.col("decision") == "create")
         one = todo.groupBy("sha256").agg(F.min(F.struct("file_name", "size")).alias("f")).select("sha256", "f.file_name", "f.size")
-        new_tasks(one).withColumn("completed_at", F.lit(None).cast("timestamp")).write.mode("overwrite").parquet(
-            f"{store}/batch_id={batch_id}")
+        store_tasks(new_tasks(one).withColumn("completed_at", F.lit(None).cast("timestamp")), store, batch_id)
 
     return run
 

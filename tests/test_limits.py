@@ -12,7 +12,7 @@ from clauseloom.functions.text import character_pairs, keywords
 from clauseloom.operators import blocks as bl
 from clauseloom.operators import clauses, evidence, tasks, toc, tree
 from clauseloom.operators.scan import with_adaptive_chunk
-from clauseloom.streaming.progress import _feed
+from clauseloom.streaming.progress import _clamp, _feed, _recent
 
 
 def test_character_references(spark):
@@ -117,6 +117,30 @@ def test_feed_closes_although_entries_go_on():
     assert state.call(feed, 30_000, 1.0, 2.0, 3.0, status=["x", "completed", "x"]) == [1.0, 2.0] and state.due == 50_000
 
 
+def test_silent_tasks_are_forgotten():
+    """High-water marks and rolling logs go once a task is silent; entries in between put that off."""
+    for make in (_clamp(10), _recent(2, 10)):
+        state = _State()
+        assert state.call(make, 1000, 3.0, 5.0) == [3.0, 5.0] and state.due == 11_000
+        assert state.call(make, 9000, 1.0)[-1] == 5.0 and state.due == 19_000
+        state.lapse(make)
+        assert not state.exists and state.due is None
+        assert state.call(make, 30_000, 2.0) == [2.0] and state.due == 40_000
+    endless = _State()
+    endless.call(_clamp(None), 0, 1.0)
+    assert endless.exists and endless.due is None
+
+
+def test_quantiles_of_many_and_of_no_values(spark):
+    import numpy as np
+    values = [float(x) for x in np.random.default_rng(3).integers(0, 500, 3000)] + [None, 1e9]
+    df = spark.createDataFrame([(v,) for v in values], "elapsed_seconds double")
+    known = [v for v in values if v is not None]
+    got = tasks.latency_quantiles(df, (0.0, 0.5, 0.95, 1.0)).collect()
+    assert [tuple(r) for r in got] == [(*(float(x) for x in np.quantile(known, [0, 0.5, 0.95, 1])), len(known))]
+    assert [tuple(r) for r in tasks.latency_quantiles(df.filter("elapsed_seconds IS NULL")).collect()] == [(None, None, 0)]
+
+
 def test_stored_tables_are_released(spark):
     df = session.materialize(spark.range(3), "probe")
     assert df.count() == 3 and session.release(spark) >= 1

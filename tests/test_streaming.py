@@ -31,7 +31,7 @@ def as_stream(spark, folder, rows, parts=4):
 def test_clamp_equals_batch(spark, tmp_path):
     rows = entries()
     stream = as_stream(spark, str(tmp_path / "in"), rows)
-    st.run_to_table(st.stream_progress(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    st.run_to_table(st.stream_progress(stream, None), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {r["id"]: r["progress"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     cut = with_adaptive_chunk(spark.createDataFrame(rows, SCHEMA), ["task_id"], tasks.micros("created_at"), "cut", 10)
     assert got == {r["id"]: r["progress"] for r in tasks.monotonic_progress(cut, "cut").collect()}
@@ -48,10 +48,9 @@ def test_changes_stop_at_the_end(spark, tmp_path):
 def test_recent_logs_equal_batch(spark, tmp_path):
     rows = entries()
     stream = as_stream(spark, str(tmp_path / "in"), rows)
-    st.run_to_table(st.stream_recent_logs(stream, 7), str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+    st.run_to_table(st.stream_recent_logs(stream, 7, None), str(tmp_path / "out"), str(tmp_path / "cp"), "update")
     out = spark.read.parquet(str(tmp_path / "out"))
-    last = out.groupBy("task_id").agg(F.max("batch_id").alias("batch_id"))
-    got = sorted((r["task_id"], r["id"], r["message"]) for r in out.join(last, ["task_id", "batch_id"]).collect())
+    got = sorted((r["task_id"], r["id"], r["message"]) for r in st.latest(out).collect())
     want = tasks.recent_logs(spark.createDataFrame(rows, SCHEMA), 7).collect()
     assert got == sorted((r["task_id"], r["id"], r["message"]) for r in want)
 
@@ -60,8 +59,12 @@ def test_replayed_ingest_batch_changes_nothing(spark, tmp_path):
     store = str(tmp_path / "tasks")
     old = spark.createDataFrame([("t0", "h0", "completed")], "task_id string, file_hash string, status string").withColumn(
         "created_at", F.current_timestamp()).withColumn("completed_at", F.current_timestamp())
-    old.write.parquet(f"{store}/batch_id=-1")
+    old = old.unionByName(old.withColumn("file_hash", F.lit("77ff")).withColumn("task_id", F.lit("t7")))
+    st.store_tasks(old, store, -1)
     files = spark.createDataFrame([("a.pdf", 1, "h0"), ("b.pdf", 2, "h1"), ("c.pdf", 2, "h1")], "file_name string, size long, sha256 string")
+    read = st.known_tasks(files, store)
+    assert [r["task_id"] for r in read.collect()] == ["t0"]
+    assert "PartitionFilters: [prefix" in read._jdf.queryExecution().toString().replace("isnotnull(prefix#", "[prefix")
     run = st.ingest_batch(store)
     run(files, 0)
     run(files, 0)
