@@ -92,32 +92,34 @@ def _lines(text: str) -> Iterator[tuple[int, str]]:
 
 
 def _document_lines(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, pos, sig) of every line; ``id`` is a digest of its normal form."""
+    """(id, row, doc_id, pos, sig) of every line; ``id`` is a digest of its normal form, ``row`` the number of its row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(keys, places, lines):
+        def flush(rows, keys, places, lines):
             known = {x: i for i, x in enumerate(dict.fromkeys(lines))}
             sigs = signatures(list(known))[[known[x] for x in lines]]
             ids = {x: digest(x) for x in known}
             lists = pa.ListArray.from_arrays(np.arange(0, sigs.size + 1, BANDS, dtype=np.int32), pa.array(sigs.ravel()))
-            return pa.record_batch([pa.array([ids[x] for x in lines]), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), lists],
-                                   ["id", "doc_id", "pos", "sig"])
+            return pa.record_batch([pa.array([ids[x] for x in lines]), pa.array(rows, pa.int64()), pa.array(keys, pa.int64()),
+                                    pa.array(places, pa.int32()), lists], ["id", "row", "doc_id", "pos", "sig"])
 
         for batch in batches:
-            keys, places, lines, held = [], [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows, keys, places, lines, held = [], [], [], [], 0
+            for row, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 for i, line in _lines(text.as_py() or ""):
                     lines.append(line)
+                    rows.append(row)
                     keys.append(key)
                     places.append(i)
                     held += len(line)
                     if held > 500_000:
-                        yield flush(keys, places, lines)
-                        keys, places, lines, held = [], [], [], 0
+                        yield flush(rows, keys, places, lines)
+                        rows, keys, places, lines, held = [], [], [], [], 0
             if lines:
-                yield flush(keys, places, lines)
+                yield flush(rows, keys, places, lines)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id binary, doc_id long, pos int, sig array<long>")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "id binary, row long, doc_id long, pos int, sig array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -187,7 +189,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(nid, doc_id, pos, label): the first place of each distinct line of ``docs``, and the label its group shares.
+    """(nid, doc_id, row, pos, label): the first place of each distinct line of ``docs``, and the label its group shares.
 
     Lines are grouped if links connect them; a link is a shared band and a verified similarity of ``least``. In each bucket every
     line is compared with the bucket's smallest one first, so large buckets of copies give as many pairs as lines, not as pairs of
@@ -195,8 +197,8 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     of larger ones meet by their rarest shingles (``rare_pairs``), which misses no similar pair, and templated lines share none. Most lines that share a band by chance are told apart by their
     signatures, without their texts.
     """
-    lines = _document_lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first("sig").alias("sig"))
-    lines = materialize(lines.select(F.monotonically_increasing_id().alias("nid"), "id", "at.doc_id", "at.pos", "sig"), "line-ids")
+    lines = _document_lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "row", "pos")).alias("at"), F.first("sig").alias("sig"))
+    lines = materialize(lines.select(F.monotonically_increasing_id().alias("nid"), "id", "at.doc_id", "at.row", "at.pos", "sig"), "line-ids")
     entries = lines.select("nid", F.posexplode("sig").alias("i", "v")).select("nid", F.xxhash64("i", "v").alias("band"))
     buckets = materialize(entries.groupBy("band").agg(F.min("nid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-buckets")
     shared = materialize(entries.join(buckets, "band").select("band", "nid", "least", "n"), "line-shared")
@@ -233,49 +235,61 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     labels = links.join(first.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
         first.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     second = components(labels.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-    merged = lines.select("nid", "doc_id", "pos").join(first.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn(
+    merged = lines.select("nid", "doc_id", "row", "pos").join(first.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn(
         "label", F.coalesce("label", "nid"))
     return materialize(merged.join(second.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select(
-        "nid", "doc_id", "pos", F.coalesce("to", "label").alias("label")), "line-groups")
+        "nid", "doc_id", "row", "pos", F.coalesce("to", "label").alias("label")), "line-groups")
 
 
 def kept_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, kept): the positions of the lines that stay, for documents that keep any: of each group its smallest (doc_id, pos)."""
+    """(row, kept): the positions of the lines that stay, for rows that keep any: of each group its smallest (doc_id, row, pos).
+
+    Rows are told apart by their number, as ids may be null or repeat. ``docs`` is a table that is read, here and again by the
+    callers, so its rows have the same numbers each time.
+    """
     groups = line_groups(docs, least)
-    return groups.groupBy("label").agg(F.min(F.struct("doc_id", "pos")).alias("at")).groupBy(F.col("at.doc_id").alias("doc_id")).agg(
+    return groups.groupBy("label").agg(F.min(F.struct("doc_id", "row", "pos")).alias("at")).groupBy(F.col("at.row").alias("row")).agg(
         F.sort_array(F.collect_list("at.pos")).alias("kept"))
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """``name``, or with underscores in front, so that it is none of the columns."""
+    while name.lower() in [c.lower() for c in columns]:
+        name = "_" + name
+    return name
+
+
 def deduplicated_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines, n_kept and kept (positions from 0) for every row of ``docs`` (doc_id, text, any others).
 
     Lines end at line feeds. Blank lines (ASCII white space) are no lines here and always stay. Lines are equal or similar by their
-    normal form. Null and empty texts have no lines; rows that repeat a doc_id are one document; empty tables give empty tables.
+    normal form. Null and empty texts have no lines; rows that repeat a doc_id, or have none, are rows of their own, of which the
+    one read first keeps a line that they share; empty tables give empty tables.
     """
-    kept = materialize(kept_lines(docs, least), "line-kept").select(F.col("doc_id").alias("_id"), "kept")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(
+    kept = materialize(kept_lines(docs, least), "line-kept")
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(
         F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
-    out = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     positions = F.coalesce("kept", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", F.size(positions).cast("long").alias("n_kept"), positions.alias("kept"))
+    return own.join(kept, "row", "left").select("doc_id", "n_lines", F.size(positions).cast("long").alias("n_kept"), positions.alias("kept"))
 
 
 def without_duplicate_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with the lines taken out that ``kept_lines`` doesn't keep; all rows stay, and n_chars, if any, counts anew."""
-    kept = materialize(kept_lines(docs, least), "line-kept").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
+    number, places = _free("_row", docs.columns), _free("_kept", docs.columns)
+    kept = materialize(kept_lines(docs, least), "line-kept").select(F.col("row").alias(number), F.col("kept").alias(places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = []
-                for text, places in zip(part.column("text"), part.column("_kept").to_pylist()):
-                    stay = set(places or ())
+                for text, stays in zip(part.column("text"), part.column(places).to_pylist()):
+                    stay = set(stays or ())
                     own = text.as_py()
                     texts.append(None if own is None else "\n".join(
                         x for i, x in enumerate(own.split("\n")) if i in stay or not x.strip(" \t\n\v\f\r")))
-                yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["_kept"])
+                yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns([places])
 
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_kept")
+    joined = docs.withColumn(number, F.monotonically_increasing_id()).join(kept, number, "left").select(*docs.columns, places)
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

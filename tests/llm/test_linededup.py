@@ -5,13 +5,13 @@ from clauseloom.llm.linededup import deduplicated_lines, normal_form, shingles,
 
 
 def brute(rows):
-    """Positions that stay per document when all lines are compared with all."""
+    """Positions that stay per row when all lines are compared with all."""
     lines = {}
-    for i, t in rows:
+    for n, (i, t) in enumerate(rows):
         for p, x in enumerate((t or "").split("\n")):
             if x.strip(" \t\n\v\f\r"):
                 key = normal_form(x)
-                at = (-1 if i is None else i, p)
+                at = (-1 if i is None else i, n, p)
                 lines[key] = min(lines.get(key, at), at)
     names = sorted(lines)
     sets = {x: shingles(x) for x in names}
@@ -30,8 +30,8 @@ def brute(rows):
     for x in names:
         first[find(x)] = min(first.get(find(x), lines[x]), lines[x])
     kept = {}
-    for i, p in first.values():
-        kept.setdefault(i, []).append(p)
+    for _, n, p in first.values():
+        kept.setdefault(n, []).append(p)
     return {i: sorted(p) for i, p in kept.items()}
 
 
@@ -57,11 +57,20 @@ def test_equals_all_pairs(spark):
     df = spark.createDataFrame([(*r, 1.5) for r in rows], "doc_id long, text string, kept double")
     want = brute(rows)
     got = deduplicated_lines(df).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.kept == want.get(-1 if r.doc_id is None else r.doc_id, []) and r.n_kept == len(r.kept)
-        text = next(t for i, t in rows if i == r.doc_id)
-        assert r.n_lines == sum(bool(x.strip(" \t\n\v\f\r")) for x in (text or "").split("\n"))
+    found = [(i, sum(bool(x.strip(" \t\n\v\f\r")) for x in (t or "").split("\n")), len(want.get(n, [])), want.get(n, [])) for n, (i, t) in enumerate(rows)]
+    assert sorted(map(tuple, got), key=repr) == sorted(found, key=repr)
+    assert all(r.n_kept <= r.n_lines for r in got)
+
+
+def test_rows_of_no_id_or_one_id_share_lines(spark):
+    rows = [(None, "first line of text\nsecond line, quite other\nthird"), (None, "fourth of them here\nfirst line of text"),
+            (7, "a line of document seven\nand one more"), (7, "and one more\na line of document seven")]
+    df = spark.createDataFrame([(*r, "u", "k") for r in rows], "doc_id long, text string, _row string, _kept string")
+    got = sorted(map(tuple, deduplicated_lines(df).collect()), key=repr)
+    assert got == sorted([(None, 3, 3, [0, 1, 2]), (None, 2, 1, [0]), (7, 2, 2, [0, 1]), (7, 2, 0, [])], key=repr)
+    out = without_duplicate_lines(df)
+    assert out.columns == df.columns and {(r._row, r._kept) for r in out.select(df.columns[2:]).collect()} == {("u", "k")}
+    assert sorted(r.text for r in out.collect()) == sorted([rows[0][1], "fourth of them here", rows[2][1], ""])
 
 
 def test_texts_are_rewritten(spark):
