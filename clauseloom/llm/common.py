@@ -21,6 +21,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, or with underscores in front, so that it is none of the columns."""
+    while name.lower() in [c.lower() for c in columns]:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -172,7 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(marked, "doc_id", "left").withColumn("h", F.xxhash64("doc_id"))
     sample = ids.where("quality IS NOT NULL").orderBy("h").limit(labelled).unionByName(ids.where("quality IS NULL").orderBy("h").limit(pool))
-    rows = _features(docs.join(F.broadcast(sample), "doc_id")).toArrow().sort_by("h")  # bounded by ``labelled`` + ``pool`` rows
+    # One row of each id, whatever the number of rows that share it: the sample stays within ``labelled`` + ``pool`` rows.
+    own = F.struct("text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    one = docs.join(F.broadcast(sample), "doc_id").groupBy("h").agg(F.max("quality").alias("quality"), F.min(own).alias("r")).select("h", "quality", "r.*")
+    rows = _features(one).toArrow().sort_by("h")
     quality = rows["quality"].to_numpy()
     known = ~np.isnan(quality.astype(np.float64))
     stack = lambda c, n: np.frombuffer(b"".join(rows[c].to_pylist()), np.float32).reshape(-1, n)

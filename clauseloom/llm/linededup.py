@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseloom.llm.common import free_name
 from clauseloom.llm.components import components
 from clauseloom.llm.nearcopies import rare_pairs
 from clauseloom.session import materialize
@@ -252,13 +253,6 @@ def kept_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         F.sort_array(F.collect_list("at.pos")).alias("kept"))
 
 
-def _free(name: str, columns: list[str]) -> str:
-    """``name``, or with underscores in front, so that it is none of the columns."""
-    while name.lower() in [c.lower() for c in columns]:
-        name = "_" + name
-    return name
-
-
 def deduplicated_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines, n_kept and kept (positions from 0) for every row of ``docs`` (doc_id, text, any others).
 
@@ -275,7 +269,7 @@ def deduplicated_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def without_duplicate_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with the lines taken out that ``kept_lines`` doesn't keep; all rows stay, and n_chars, if any, counts anew."""
-    number, places = _free("_row", docs.columns), _free("_kept", docs.columns)
+    number, places = free_name("_row", docs.columns), free_name("_kept", docs.columns)
     kept = materialize(kept_lines(docs, least), "line-kept").select(F.col("row").alias(number), F.col("kept").alias(places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

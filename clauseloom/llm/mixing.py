@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import WORD, running_sums
+from clauseloom.llm.common import WORD, free_name, running_sums
 from clauseloom.session import materialize
 
 #: Expected copies are whole multiples of 2**-BITS, so prefix sums are exact in any order of addition.
@@ -87,7 +87,8 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[in
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it: rows are told apart by a number of their own, not by doc_id."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    dealt = materialize(_dealt(numbered, row=("_row",), **options).where("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies")),
+    number, copies, copy = (free_name(n, docs.columns) for n in ("_row", "_copies", "_copy"))
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
+    dealt = materialize(_dealt(numbered, row=(number,), **options).where("copies > 0").select(number, F.col("copies").cast("int").alias(copies)),
                         "mix-dealt")
-    return numbered.join(dealt, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return numbered.join(dealt, number).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
