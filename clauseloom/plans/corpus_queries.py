@@ -115,7 +115,12 @@ def _(t):
     SELECT matrix_id, task_id FROM clauses WHERE task_id NOT IN (SELECT task_id FROM tasks WHERE status = 'failed')""",
        "clauses tasks")
 def _(t):
-    return tables.without_tasks(t.clauses, t.tasks.filter(F.col("status") == "failed")).select("matrix_id", "task_id")
+    base = shared_dir(t.spark, "delete-store")
+    tables.append_clauses(t.clauses, f"{base}/clauses")
+    tables.append_rows(t.tasks, f"{base}/tasks")
+    failed = t.spark.read.parquet(f"{base}/tasks").filter(F.col("status") == "failed").select("task_id")
+    tables.delete_tasks_in_place(t.spark, base, failed, ("clauses",))
+    return t.spark.read.parquet(f"{base}/clauses").select("matrix_id", "task_id")
 
 
 @query("s10_clause_matrix", """

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.operators.clauses import default_type
 from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, scan
+from clauseloom.session import materialize
 
 TABLES = ("tasks", "task_logs", "sections", "clauses")
 BUCKETS = 64
@@ -74,6 +77,28 @@ def delete_tasks(spark, base: str, ids: DataFrame, target: str) -> dict[str, str
     return out
 
 
+def delete_tasks_in_place(spark, base: str, ids: DataFrame, names: Sequence[str] = TABLES, buckets: int = BUCKETS) -> list[int]:
+    """Delete the tasks' rows from the stored tables under ``base``; returns the buckets that were touched.
+
+    Only folders of the tasks' buckets are read and written again, others keep their files. What stays is stored apart first, then it
+    replaces its folders one by one, so a delete that stops midway is finished by running it again.
+    """
+    # As many numbers as there are buckets, at most.
+    touched = sorted(r[0] for r in ids.select(task_bucket("task_id", buckets)).distinct().collect())
+    for name in names:
+        path = f"{base}/{name}"
+        stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+        left = materialize(without_tasks(stored, ids), f"delete-{name}")
+        (left.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+        kept = {r[0] for r in left.select("bucket").distinct().collect()}
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for bucket in touched:
+            if bucket not in kept:
+                folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+                folder.getFileSystem(conf).delete(folder, True)
+    return touched
+
+
 def matrix_name(doc_name: str | Column) -> Column:
     """Export name of a document: without ``.pdf``, with the matrix suffix."""
     return F.concat(F.regexp_replace(doc_name, r"(?i)\.pdf$", ""), F.lit(MATRIX_SUFFIX))

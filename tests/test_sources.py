@@ -90,6 +90,25 @@ def test_store_append_read_and_delete(spark, tmp_path):
     assert [r["task_id"] for n in tables.TABLES for r in spark.read.parquet(out[n]).collect()] == ["t2"] * 4
 
 
+def test_delete_rewrites_touched_buckets_only(spark, tmp_path):
+    base = str(tmp_path / "store")
+    rows = [(f"t{i}", f"v{i}-{k}") for i in range(40) for k in range(3)]
+    for name in tables.TABLES:
+        tables.append_rows(spark.createDataFrame(rows, "task_id string, v string"), f"{base}/{name}")
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("part-*.parquet")}
+    gone = ["t3", "t8", "no such task"]
+    touched = tables.delete_tasks_in_place(spark, base, spark.createDataFrame([(g,) for g in gone], "task_id string"))
+    assert 1 <= len(touched) <= 3
+    for name in tables.TABLES:
+        left = sorted(r["v"] for r in spark.read.parquet(f"{base}/{name}").collect())
+        assert left == sorted(v for t, v in rows if t not in gone)
+        assert tables.read_task(spark, f"{base}/{name}", "t3").count() == 0 and tables.read_task(spark, f"{base}/{name}", "t4").count() == 3
+    for path, time in files.items():
+        if int(path.parent.name.split("=")[1]) not in touched:
+            assert path.exists() and path.stat().st_mtime_ns == time
+    assert tables.delete_tasks_in_place(spark, base, spark.createDataFrame([], "task_id string")) == []
+
+
 def test_matrix_export(spark, tmp_path):
     df = spark.createDataFrame([(1, 0, "1", 'A "q"', "", "c1", "x,\ny", "3", "penalty", "s")],
                                "doc_id long, node_idx long, label string, title string, summary string, clause_id string, clause_text string, page string, clause_type string, structured string")
