@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -79,4 +80,22 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that ``materialize`` has returned and no later step reads.
+
+    Spark drops the shuffle files of finished steps when their plans are collected as garbage, which is asked for as well: long chains
+    of steps would keep them on disk until the driver's heap is full.
+    """
+    for table in stored:
+        spark, path = table.sparkSession, table._stored_at
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _stored.get(spark.sparkContext.applicationId, [path]).remove(path)
+    gc.collect()
+    if stored:
+        stored[0].sparkSession._jvm.java.lang.System.gc()
