@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from clauseloom.llm.common import free_name
 from clauseloom.llm.components import components
 from clauseloom.llm.nearcopies import rare_pairs
-from clauseloom.session import materialize
+from clauseloom.session import discard, materialize
 
 #: Characters to a shingle; bands and rows of the signature: lines of similarity 0.8 share a band with probability 0.998.
 SHINGLE, BANDS, BAND_ROWS = 5, 12, 4
@@ -204,6 +204,9 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     buckets = materialize(entries.groupBy("band").agg(F.min("nid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-buckets")
     shared = materialize(entries.join(buckets, "band").select("band", "nid", "least", "n"), "line-shared")
     members = materialize(lines.join(shared.select("nid").distinct(), "nid", "left_semi").select("nid", "id", "sig"), "line-members")
+    # Signatures are kept once, for the lines that may have a partner; the others need their places only.
+    places = materialize(lines.select("nid", "doc_id", "row", "pos"), "line-places")
+    discard(buckets, lines)
 
     def near(pairs: DataFrame) -> DataFrame:
         one = members.select(F.col("nid").alias("a"), F.col("sig").alias("sig_a"))
@@ -213,8 +216,11 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "line-near")
         ends = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
-        texts = materialize(_texts(docs, materialize(members.join(ends, "nid", "left_semi").select("nid", "id"), "line-wanted")), "line-texts")
-        return materialize(_verified(pairs, texts, least), "line-links")
+        wanted = materialize(members.join(ends, "nid", "left_semi").select("nid", "id"), "line-wanted")
+        texts = materialize(_texts(docs, wanted), "line-texts")
+        links = materialize(_verified(pairs, texts, least), "line-links")
+        discard(pairs, wanted, texts)
+        return links
 
     stars = shared.where("nid <> least").select(F.col("nid").alias("a"), F.col("least").alias("b")).distinct()
     first = components(linked(near(stars)))
@@ -223,6 +229,7 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         "band", "n", "nid", F.coalesce("label", "nid").alias("label")), "line-labels")
     mixed = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
     left = materialize(known.join(mixed, "band", "left_semi"), "line-mixed")
+    discard(shared, known)
     small = left.where(F.col("n") <= FEW).join(members.select("nid", "sig"), "nid")
     right = small.select("band", F.col("nid").alias("other"), F.col("label").alias("other_label"), F.col("sig").alias("other_sig"))
     rest = small.join(right, "band").where((F.col("label") < F.col("other_label")) & (agreement("sig", "other_sig") >= AGREE)).select(
@@ -230,13 +237,16 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     large = materialize(left.where(F.col("n") > FEW).select("nid", "label").distinct(), "line-large")
     if not large.isEmpty():
         # Many lines that resemble each other without being similar have no pairs worth the making: they meet by their rarest shingles.
-        texts = _texts(docs, materialize(members.join(large, "nid", "left_semi").select("nid", "id"), "line-large-ids"))
-        rest = rest.union(near(materialize(rare_pairs(_shingle_items(texts.join(large, "nid")), least, left.where(F.col("n") > FEW)), "line-rare"))).distinct()
+        wanted = materialize(members.join(large, "nid", "left_semi").select("nid", "id"), "line-large-ids")
+        rare = materialize(rare_pairs(_shingle_items(_texts(docs, wanted).join(large, "nid")), least, left.where(F.col("n") > FEW)), "line-rare")
+        discard(wanted)
+        rest = rest.union(near(rare)).distinct()
     links = linked(rest)
+    discard(members, left, large)
     labels = links.join(first.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
         first.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     second = components(labels.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-    merged = lines.select("nid", "doc_id", "row", "pos").join(first.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn(
+    merged = places.join(first.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn(
         "label", F.coalesce("label", "nid"))
     return materialize(merged.join(second.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select(
         "nid", "doc_id", "row", "pos", F.coalesce("to", "label").alias("label")), "line-groups")

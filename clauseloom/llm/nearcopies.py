@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.llm.components import components
 from clauseloom.llm.simhash import shingle_hashes
-from clauseloom.session import materialize
+from clauseloom.session import discard, materialize
 
 #: Words to a shingle, and the least Jaccard similarity of two shingle sets that links their texts.
 WORDS, SIMILARITY = 5, 0.8
@@ -40,10 +40,16 @@ def rare_pairs(sets: DataFrame, least: float, within: DataFrame | None = None) -
     taken = F.greatest(prefix_length(F.col("n"), least) - F.col("n") + F.size("own"), F.lit(0))
     prefix = materialize(own.join(sets.select("nid", "label", "n"), "nid").select(
         "nid", "label", "n", F.explode(F.slice("own", F.lit(1), taken)).alias("i")).select("nid", "label", "n", "i.item"), "rare-prefix")
+    discard(sets, counts)
     keys = ["item"] if within is None else ["item", "band"]
-    prefix = prefix if within is None else materialize(prefix.join(within.select("nid", "band"), "nid"), "rare-bands")
+    if within is not None:
+        banded = materialize(prefix.join(within.select("nid", "band"), "nid"), "rare-bands")
+        discard(prefix)
+        prefix = banded
     mixed = prefix.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*keys)
-    prefix = materialize(prefix.join(mixed, keys, "left_semi"), "rare-mixed")
+    met = materialize(prefix.join(mixed, keys, "left_semi"), "rare-mixed")
+    discard(prefix)
+    prefix = met
     other = prefix.select(F.col("nid").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), *keys)
     return prefix.join(other, keys).where((F.col("label") < F.col("other")) & sizes_fit(F.col("n"), F.col("m"), least)).select(
         F.col("nid").alias("a"), "b").distinct()
