@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,31 +17,72 @@ from clauseloom.session import discard, materialize
 
 #: Words to a shingle, and the least Jaccard similarity of two shingle sets that links their texts.
 WORDS, SIMILARITY = 5, 0.8
-
-
-def prefix_length(n: Column, least: float) -> Column:
-    """Of ``n`` items in any order common to all sets, so many first ones: sets of similarity ``least`` share one of them at least."""
-    return (n - F.ceil(n * least - 1e-6) + 1).cast("int")
+#: Counters that tell rare items from common ones, and how many of them make a row.
+COUNTERS, BLOCK = 1 << 22, 1 << 16
 
 
 def sizes_fit(n: Column, m: Column, least: float) -> Column:
     return F.least(n, m) >= F.greatest(n, m) * least - 1e-6
 
 
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many items of ``sets`` fall on each of COUNTERS counters; at most 16 MB reach the driver, whatever the number of items."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            at, times = np.unique(batch.column(0).flatten().to_numpy() & (COUNTERS - 1), return_counts=True)
+            counters[at] += times.astype(np.uint32)
+        for block, part in enumerate(counters.reshape(-1, BLOCK)):
+            if part.any():
+                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], ["block", "counts"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.uint64)
+                blocks[block] = blocks[block] + part if block in blocks else part
+        for block, part in blocks.items():
+            full = np.minimum(part, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([full.tobytes()])], ["block", "counts"])
+
+    summed = sets.select("items").mapInArrow(local, "block int, counts binary").repartition(COUNTERS // BLOCK, "block").mapInArrow(
+        merged, "block int, counts binary")
+    out = np.zeros(COUNTERS, np.uint32)
+    for block, counts in summed.toLocalIterator():
+        out[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(counts, np.uint32)
+    return out
+
+
 def rare_pairs(sets: DataFrame, least: float, within: DataFrame | None = None) -> DataFrame:
     """(a, b) of the ``sets`` (nid, label, items: distinct numbers) whose labels differ and that may reach ``least``; none is missed.
 
     Items are ordered from the rarest on, so a prefix holds what is peculiar to a set: what many share is in no prefix, unless
-    a set has little else. Items of one set only take places of the prefix, but are not moved.
+    a set has little else. Any order that all sets share is exact; this one takes an item's frequency from counters of a fixed number,
+    which items may share, so items are not shuffled to be counted. Items alone on their counter are in one set only: they take
+    places of the prefix, but are not moved.
     """
     sets = materialize(sets.select("nid", "label", F.size("items").alias("n"), "items"), "rare-sets")
-    each = sets.select("nid", F.explode("items").alias("item"))
-    counts = materialize(each.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "rare-counts")
-    own = each.join(counts, "item").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("own"))
-    taken = F.greatest(prefix_length(F.col("n"), least) - F.col("n") + F.size("own"), F.lit(0))
-    prefix = materialize(own.join(sets.select("nid", "label", "n"), "nid").select(
-        "nid", "label", "n", F.explode(F.slice("own", F.lit(1), taken)).alias("i")).select("nid", "label", "n", "i.item"), "rare-prefix")
-    discard(sets, counts)
+    counters = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, offsets = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_numpy()
+            rows, found = [], []
+            for row, (begin, end) in enumerate(zip(offsets.tolist(), offsets.tolist()[1:])):
+                own = items[begin:end]
+                times = counters.value[own & (COUNTERS - 1)]
+                first = np.lexsort((own, times))[:len(own) - int(np.ceil(len(own) * least - 1e-6)) + 1]
+                first = first[times[first] > 1]
+                rows.append(np.full(len(first), row))
+                found.append(own[first])
+            rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            kept = batch.select(["nid", "label", "n"]).take(pa.array(rows))
+            yield pa.record_batch([*kept.columns, pa.array(np.concatenate(found) if found else [], pa.int64())], ["nid", "label", "n", "item"])
+
+    prefix = materialize(sets.mapInArrow(heads, "nid long, label long, n int, item long"), "rare-prefix")
+    discard(sets)
     keys = ["item"] if within is None else ["item", "band"]
     if within is not None:
         banded = materialize(prefix.join(within.select("nid", "band"), "nid"), "rare-bands")
@@ -49,9 +91,8 @@ def rare_pairs(sets: DataFrame, least: float, within: DataFrame | None = None) -
     mixed = prefix.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*keys)
     met = materialize(prefix.join(mixed, keys, "left_semi"), "rare-mixed")
     discard(prefix)
-    prefix = met
-    other = prefix.select(F.col("nid").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), *keys)
-    return prefix.join(other, keys).where((F.col("label") < F.col("other")) & sizes_fit(F.col("n"), F.col("m"), least)).select(
+    other = met.select(F.col("nid").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), *keys)
+    return met.join(other, keys).where((F.col("label") < F.col("other")) & sizes_fit(F.col("n"), F.col("m"), least)).select(
         F.col("nid").alias("a"), "b").distinct()
 
 
