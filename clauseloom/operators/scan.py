@@ -93,8 +93,11 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Sequenc
         value = F.struct(r.value.alias("v")) if _neighbour(r.kind) else r.value
         base = base.withColumn(f"_v_{r.name}", value)
 
+    # A frame that ends with the last row is evaluated anew for every row: what looks ahead runs over the reversed order instead.
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    inside_back = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(c) for c in order])
     across = Window.partitionBy(*keys).orderBy("_chunk")
+    across_back = Window.partitionBy(*keys).orderBy(F.desc("_chunk"))
     at = F.struct(*order)
 
     summaries, carries = [], []
@@ -103,7 +106,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Sequenc
         summary, carry = f"_s_{r.name}", f"_c_{r.name}"
         known = F.when(v.isNotNull(), at)
         past = across.rowsBetween(Window.unboundedPreceding, -1)
-        ahead = across.rowsBetween(1, Window.unboundedFollowing)
+        ahead = across_back.rowsBetween(Window.unboundedPreceding, -1)
         if r.kind in ("sum", "suffix_sum"):
             summaries.append(F.sum(v).alias(summary))
             carries.append(F.sum(summary).over(past if r.kind == "sum" else ahead).alias(carry))
@@ -115,7 +118,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Sequenc
             carries.append(F.last(summary, ignorenulls=True).over(past).alias(carry))
         elif r.kind in ("first", "lead"):
             summaries.append(F.min_by(v, known).alias(summary))
-            carries.append(F.first(summary, ignorenulls=True).over(ahead).alias(carry))
+            carries.append(F.last(summary, ignorenulls=True).over(ahead).alias(carry))
         else:
             raise ValueError(f"unknown scan kind {r.kind}")
     needed = keys + order + ["_chunk"] + [f"_v_{r.name}" for r in runs]
@@ -125,19 +128,18 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Sequenc
     out = base
     for r in runs:
         v = F.col(f"_v_{r.name}")
-        step = 0 if (r.inclusive and not _neighbour(r.kind)) else 1
-        if r.kind in _FORWARD:
-            frame = inside.rowsBetween(Window.unboundedPreceding, -step)
-        else:
-            frame = inside.rowsBetween(step, Window.unboundedFollowing)
+        step = 0 if r.inclusive else 1
+        frame = (inside if r.kind in _FORWARD else inside_back).rowsBetween(Window.unboundedPreceding, -step)
         if r.kind in ("sum", "suffix_sum"):
             local = F.sum(v).over(frame)
         elif r.kind == "max":
             local = F.max(v).over(frame)
-        elif r.kind in ("last", "lag"):
-            local = F.last(v, ignorenulls=True).over(frame)
+        elif r.kind == "lag":
+            local = F.lag(v).over(inside)
+        elif r.kind == "lead":
+            local = F.lead(v).over(inside)
         else:
-            local = F.first(v, ignorenulls=True).over(frame)
+            local = F.last(v, ignorenulls=True).over(frame)
         out = out.withColumn(f"_l_{r.name}", local)
     out = out.join(carry_rows, keys + ["_chunk"], "left")
     result = []

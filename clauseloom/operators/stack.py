@@ -96,8 +96,9 @@ def above(df: DataFrame, keys: Sequence[str], order: str, level: str, value: Col
                            "_at": F.col(order).cast("long") * sign, "_part": chunk.cast("long") * sign})
     narrow = rows.select(*keys, "_part", "_at", "_level", "_value")
     split = narrow.groupBy(*keys).agg(F.min("_part").alias("_a"), F.max("_part").alias("_b")).filter("_a < _b").select(*keys)
-    inside = Window.partitionBy(*keys, "_part").orderBy("_at")
-    behind = F.min("_level").over(inside.rowsBetween(1, Window.unboundedFollowing))
+    # The rows behind, in reversed order: a frame up to the last row would be evaluated anew for every row.
+    back = Window.partitionBy(*keys, "_part").orderBy(F.desc("_at"))
+    behind = F.min("_level").over(back.rowsBetween(Window.unboundedPreceding, -1))
     stays = F.col("_behind").isNull() | (F.col("_level") < F.col("_behind"))
     # The lowest level of the chunk goes with every row, so that the fold needs no more than the ends.
     ends = (narrow.join(split, keys, "left_semi").withColumn("_behind", behind).filter(stays)
