@@ -10,13 +10,17 @@ from clauseloom.session import shared_dir
 from clauseloom.streaming import progress as st
 
 
+def table_stream(t, name: str):
+    """A table as a stream, in one batch, as its files are in no order; as a pattern, its path may be a file or a folder of files."""
+    return t.spark.readStream.schema(t.read(name).schema).parquet(f"{t.folder}/{{{name}.parquet}}")
+
+
 def event_stream(t):
     """The event table as a stream of log entries."""
-    rows = (t.spark.readStream.schema(t.read("events").schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 8).parquet(t.folder))
-    return rows.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("task_id"),
-                       F.least(F.col("value") / 5, F.lit(100.0)).alias("progress"), F.col("event_type").alias("message"),
-                       F.col("ts").cast("timestamp").alias("created_at"))
+    return table_stream(t, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("task_id"),
+        F.least(F.col("value") / 5, F.lit(100.0)).alias("progress"), F.col("event_type").alias("message"),
+        F.col("ts").cast("timestamp").alias("created_at"))
 
 
 def _run(t, stream, name: str, mode: str = "append"):
@@ -62,8 +66,8 @@ def _(t):
         F.when(F.col("doc_id") % 8 == 0, "completed").otherwise("running").alias("status"), F.lit(100.0).alias("progress"),
         F.current_timestamp().alias("created_at"), F.current_timestamp().alias("completed_at"))
     st.store_tasks(done, f"{out}/tasks", -1)
-    files = (t.spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
-             .select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.length("text").alias("size"),
-                     F.sha2("text", 256).alias("sha256")))
+    files = table_stream(t, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.length("text").alias("size"),
+        F.sha2("text", 256).alias("sha256"))
     st.stream_ingest(files, f"{out}/tasks", f"{out}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{out}/tasks").filter(F.col("batch_id") >= 0).select("file_hash", "file_name")

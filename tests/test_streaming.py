@@ -70,3 +70,15 @@ def test_replayed_ingest_batch_changes_nothing(spark, tmp_path):
     run(files, 0)
     rows = spark.read.option("mergeSchema", True).parquet(store).filter("batch_id >= 0").collect()
     assert [(r["file_hash"], r["file_name"], r["status"]) for r in rows] == [("h1", "b.pdf", "pending")]
+
+
+def test_tables_in_several_files_are_streamed_whole(spark, tmp_path):
+    """A table may be a folder of files, in which no file has the table's name."""
+    from clauseloom.plans import load_catalog
+    source = "/root/testdata/sf0.001"
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{source}/{name}.parquet").repartition(11).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("r1_stream_progress", "r5_stream_ingest"):
+        run = load_catalog()[name].run
+        got, want = (sorted(map(tuple, run(spark, folder).collect())) for folder in (str(tmp_path), source))
+        assert got == want and got
