@@ -66,7 +66,11 @@ def find_title_anywhere(titles: DataFrame, blocks: DataFrame, keys: list[str], t
     meet by rare runs in common; where a block is longer than the window, only
     titles long enough to carry the window slack can succeed.
     """
-    body = searchable(blocks).select("doc_id", "block_idx", "norm")
+    return first_holding(titles, searchable(blocks).select("doc_id", "block_idx", "norm"), keys, threshold)
+
+
+def first_holding(titles: DataFrame, body: DataFrame, keys: list[str], threshold: float = sim.TITLE_THRESHOLD) -> DataFrame:
+    """(keys, found): the smallest ``block_idx`` of ``body`` (doc_id, block_idx, norm) in the title's document whose text holds the title."""
     t = _with_norm(titles).filter(F.col("_title") != "")
     wanted = t.select("doc_id", "_title").distinct()
     hits = containing_pairs(wanted.withColumn("needle", F.col("_title")), body.withColumn("hay", F.col("norm")), ["doc_id"])
@@ -78,7 +82,9 @@ def find_title_anywhere(titles: DataFrame, blocks: DataFrame, keys: list[str], t
     slack = F.length("_title") + sim.WINDOW_EXTRA
     # A window is the whole text where that is shorter than the title and its slack.
     asked, offered = open_titles.withColumn("needle", F.col("_title")), body.withColumn("hay", F.col("norm"))
-    short = close_pairs(asked, offered, ["doc_id"], threshold).filter(F.length("norm") < slack)
+    longest = wanted.groupBy("doc_id").agg((F.max(F.length("_title")) + sim.WINDOW_EXTRA).alias("_most"))
+    brief = offered.join(longest, "doc_id").filter(F.length("norm") < F.col("_most")).drop("_most")
+    short = close_pairs(asked, brief, ["doc_id"], threshold).filter(F.length("norm") < slack)
     carrying = 2 * F.length("_title") / (F.length("_title") + slack) >= threshold
     long = close_pairs(asked.filter(carrying), offered, ["doc_id"], threshold, windowed=True).filter(F.length("norm") >= slack)
     close = (short.unionByName(long).filter(before & able & ~F.col("norm").contains(F.col("_title")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import text as tx
 from clauseloom.functions.similarity import TITLE_THRESHOLD, title_contained
 from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, ordinal, scan, with_range_chunk
+from clauseloom.operators.slicing import first_holding
 from clauseloom.session import materialize
 
 # Line patterns of contents pages, page marks, and the size limits.
@@ -305,12 +306,20 @@ def _first_page_with(items: DataFrame, pages: DataFrame, first: Column, last: Co
     return hits.groupBy(*keys).agg(F.min("page_no").alias("found"))
 
 
-def toc_physical_index(items: DataFrame, pages: DataFrame, toc_last: DataFrame, n: int = 20,
+def toc_physical_index(items: DataFrame, pages: DataFrame, toc_last: DataFrame, n: int | None = 20,
                        threshold: float = TITLE_THRESHOLD) -> DataFrame:
-    """Physical index of each title: its first page among the ``n`` pages behind the contents pages."""
-    placed = items.drop("physical_index").join(toc_last.select("doc_id", "toc_last"), "doc_id")
-    found = _first_page_with(placed, pages, F.col("toc_last") + 1, F.col("toc_last") + n, ["doc_id", "item_idx"], threshold)
-    return placed.join(found.withColumnRenamed("found", "physical_index"), ["doc_id", "item_idx"], "left").drop("toc_last")
+    """Physical index of each title: its first page among the ``n`` pages behind the contents pages, among all behind them for None.
+
+    Titles meet the pages that may hold them, not every page of the range. Runs Spark jobs when called.
+    """
+    last = toc_last.select("doc_id", "toc_last")
+    behind = pages.join(last, "doc_id").filter(F.col("page_no") > F.col("toc_last"))
+    if n is not None:
+        behind = behind.filter(F.col("page_no") <= F.col("toc_last") + n)
+    body = normalized_pages(behind).select("doc_id", F.col("page_no").cast("int").alias("block_idx"), F.col("_page").alias("norm"))
+    placed = items.drop("physical_index").join(last, "doc_id", "left_semi")
+    found = first_holding(placed.select("doc_id", "item_idx", "title"), body, ["doc_id", "item_idx"], threshold)
+    return placed.join(found.withColumnRenamed("found", "physical_index"), ["doc_id", "item_idx"], "left")
 
 
 def toc_accuracy(checked: DataFrame, page_counts: DataFrame, sample: int | None = None, seed: int = 0) -> DataFrame:
@@ -365,15 +374,16 @@ def resolve_toc(pages: DataFrame, blocks: DataFrame, check_pages: int = 20, min_
     numbered = has_page_numbers(items).filter("has_pages").select("doc_id")
     items = items.join(numbered, "doc_id", "left_semi")
 
-    near = materialize(toc_physical_index(items, pages, toc_last, check_pages, threshold), "toc-near")
-    ends = near.join(counts, "doc_id").join(toc_last, "doc_id")
-    anywhere = _first_page_with(ends, pages, F.col("toc_last") + 1, F.col("pages"), ["doc_id", "item_idx"], threshold)
+    # The first page anywhere behind the contents is the first of the nearest ones too, if it is one of them.
+    anywhere = materialize(toc_physical_index(items, pages, toc_last, None, threshold), "toc-anywhere")
+    close = F.when(F.col("physical_index") <= F.col("toc_last") + check_pages, F.col("physical_index"))
+    near = materialize(anywhere.join(toc_last, "doc_id").withColumn("physical_index", close).drop("toc_last"), "toc-near")
 
     def by_offset() -> DataFrame:
         return apply_offset(near, page_offset(items, near, 1))
 
     def by_title() -> DataFrame:
-        return near.drop("physical_index").join(anywhere.withColumnRenamed("found", "physical_index"), ["doc_id", "item_idx"], "left")
+        return anywhere
 
     cols = ["doc_id", "item_idx", "structure", "title", "physical_index"]
     done, open_docs = None, counts.select("doc_id")

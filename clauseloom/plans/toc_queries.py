@@ -48,7 +48,7 @@ def _(t):
 @query("t13_toc_physical_index", """
     SELECT doc_id, item_idx, (toc_size + page)::BIGINT AS physical_index FROM toc_entries""", "toc_entries")
 def _(t):
-    out = toc.toc_physical_index(t.toc_entries.select("doc_id", "item_idx", "title"), t.toc_doc_pages, _toc_last(t), 400)
+    out = toc.toc_physical_index(t.toc_entries.select("doc_id", "item_idx", "title"), t.toc_doc_pages, _toc_last(t), None)
     return out.select("doc_id", "item_idx", F.col("physical_index").cast("long").alias("physical_index"))
 
 

@@ -186,3 +186,13 @@ def test_a_tokeniser_finds_chinese_clauses(spark):
     plain = wanted.withColumn("words", keywords("original_text"))
     assert evidence.match_keywords(plain, evidence.prepare_blocks(nodes)).count() == 0
     assert "的竣" not in blocks.first().words
+
+
+def test_titles_are_found_on_any_page_behind_the_contents(spark):
+    """No page is too far away, and a range that is given is kept."""
+    pages = spark.createDataFrame([(1, p, f"Part number {p:09d}\nsome body text of the page") for p in range(1, 501)], "doc_id long, page_no int, text string")
+    items = spark.createDataFrame([(1, i, f"Part number {i:09d}") for i in (1, 2, 21, 22, 23, 450)], "doc_id long, item_idx long, title string")
+    last = spark.createDataFrame([(1, 2)], "doc_id long, toc_last int")
+    for n, far in ((None, 500), (20, 22)):
+        got = {r.item_idx: r.physical_index for r in toc.toc_physical_index(items, pages, last, n).collect()}
+        assert got == {i: i if 2 < i <= far else None for i in (1, 2, 21, 22, 23, 450)}
