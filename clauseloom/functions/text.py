@@ -157,7 +157,8 @@ def repair_json(col: str | Column) -> Column:
     body = json_text(col)
     trimmed = F.replace(F.replace(body, F.lit(",]"), F.lit("]")), F.lit(",}"), F.lit("}"))
     return (F.when(F.try_parse_json(body).isNotNull(), body)
-            .when(F.try_parse_json(trimmed).isNotNull(), trimmed))
+            # A failed try is dear, so a text that trimming does not change is not tried again.
+            .when(F.try_parse_json(F.when(trimmed != body, trimmed)).isNotNull(), trimmed))
 
 
 def json_array_text(col: str | Column) -> Column:

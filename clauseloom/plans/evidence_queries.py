@@ -252,7 +252,7 @@ def _answers(t):
     body = (F.when(k % 4 == 0, F.concat(F.lit("```json\n["), item, F.lit(", "), item, F.lit("]\n```")))
             .when(k % 4 == 1, F.concat(F.lit("["), item, F.lit("]")))
             .when(k % 4 == 2, F.concat(F.lit("[\n"), item, F.lit(",]"))).otherwise(F.concat(F.lit("["), item)))
-    return t.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("long").alias("l_linenumber"),
+    return t.spread("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("long").alias("l_linenumber"),
                                      "l_extendedprice", body.alias("response"))
 
 
