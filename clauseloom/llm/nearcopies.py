@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filters find candidates, sets verify them, links group them."""
+"""Near copies by exact Jaccard similarity of word shingles: fingerprints find the closest, prefix filters the rest, sets verify them, links group them."""
 
 from __future__ import annotations
 
@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.components import components
-from clauseloom.llm.simhash import shingle_hashes
+from clauseloom.llm.simhash import fingerprint_groups, majority_bits, shingle_hashes
 from clauseloom.session import discard, materialize
 
 #: Words to a shingle, and the least Jaccard similarity of two shingle sets that links their texts.
 WORDS, SIMILARITY = 5, 0.8
+#: Fingerprints that differ in so many bits make candidates; the grid finds no wider radius.
+BITS = 5
 #: Counters that tell rare items from common ones, and how many of them make a row.
 COUNTERS, BLOCK = 1 << 22, 1 << 16
 
@@ -101,18 +103,28 @@ def _set(text: str | None) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, n, prefix): a digest of the shingle set, its size and its smallest hashes."""
+    """(doc_id, own, n, fp, prefix): a digest of the shingle set, its size, its fingerprint and its smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sets = [_set(t.as_py()) for t in batch.column(1)[at:at + 256]]
                 heads = [s[:len(s) - int(np.ceil(len(s) * SIMILARITY - 1e-6)) + 1].view(np.int64) for s in sets]
+                prints = majority_bits(np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets)))
                 yield pa.record_batch([batch.column(0)[at:at + 256], pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]),
-                                       pa.array([len(s) for s in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64()))],
-                                      ["doc_id", "own", "n", "prefix"])
+                                       pa.array([len(s) for s in sets], pa.int32()), pa.array(prints.view(np.int64)), pa.array(heads, pa.list_(pa.int64()))],
+                                      ["doc_id", "own", "n", "fp", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, own binary, n int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, own binary, n int, fp long, prefix array<long>")
+
+
+def fingerprint_stars(known: DataFrame) -> DataFrame:
+    """(a, b) of the ``known`` sets (nid, n, fp): each set of a group of close fingerprints with the first set of its group, if their sizes fit."""
+    groups = materialize(fingerprint_groups(known, BITS), "copies-prints-groups")
+    member = materialize(known.select("nid", "n", "fp").join(groups, "fp", "left").select("nid", "n", F.coalesce("label", "fp").alias("group")), "copies-members")
+    first = member.groupBy("group").agg(F.min(F.struct("nid", "n")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return member.join(first, "group").where((F.col("nid") != F.col("at.nid")) & sizes_fit(F.col("n"), F.col("at.n"), SIMILARITY)).select(
+        F.col("nid").alias("a"), F.col("at.nid").alias("b"))
 
 
 def _items(docs: DataFrame) -> DataFrame:
@@ -152,25 +164,37 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for ``docs`` (doc_id, text), whose doc_ids are numbers that do not repeat.
 
     Texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; component_id is the smallest
-    doc_id that links reach. Texts without a word have equal sets. A text under five words is one shingle. No link is missed:
-    two such sets share one of the smallest fifth of their hashes. Texts that share such a hash are compared with the first text
+    doc_id that links reach. Texts without a word have equal sets. A text under five words is one shingle. No link is missed.
+
+    First, sets whose SimHash fingerprints are connected by steps of up to ``BITS`` bits are compared with the first set of their
+    group. Similar sets may differ in more bits than any grid of 64 can look for, so what is still in different groups meets by
+    hashes: two similar sets share one of the smallest fifth of them. Texts that share such a hash are compared with the first text
     that has it; what this leaves in different groups meets again by its rarest shingles (``rare_pairs``). So groups of copies give
     about as many comparisons as texts, and passages that many texts share give none between them.
     """
     prints = materialize(_prefixes(docs), "copies-prints")
-    known = materialize(prints.groupBy("own").agg(F.min("doc_id").alias("nid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "copies-known")
-    entries = known.select("nid", "n", F.explode("prefix").alias("item"))
-    least = materialize(entries.groupBy("item").agg(F.min(F.struct("nid", "n")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1"), "copies-least")
-    shared = materialize(entries.join(least, "item").select("item", "nid", "n", F.col("at.nid").alias("least"), F.col("at.n").alias("m"), "c"), "copies-shared")
-    stars = materialize(shared.where((F.col("nid") != F.col("least")) & sizes_fit(F.col("n"), F.col("m"), SIMILARITY)).select(
+    known = materialize(prints.groupBy("own").agg(F.min("doc_id").alias("nid"), F.first("n").alias("n"), F.first("fp").alias("fp"),
+                                                  F.first("prefix").alias("prefix")), "copies-known")
+    close = materialize(_verified(fingerprint_stars(known), docs), "copies-close")
+    named = materialize(known.select("nid", "n", "prefix").join(components(close), F.col("nid") == F.col("node"), "left").select(
+        "nid", "n", F.coalesce("label", "nid").alias("label"), "prefix"), "copies-named")
+    entries = named.select("nid", "n", "label", F.explode("prefix").alias("item"))
+    least = materialize(entries.groupBy("item").agg(F.min(F.struct("nid", "n", "label")).alias("at"), F.count(F.lit(1)).alias("c"),
+                                                    F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").drop("lo", "hi"), "copies-least")
+    shared = materialize(entries.join(least, "item").select(
+        "item", "nid", "n", "label", F.col("at.nid").alias("least"), F.col("at.n").alias("m"), F.col("at.label").alias("other"), "c"), "copies-shared")
+    discard(least, named)
+    stars = materialize(shared.where((F.col("label") != F.col("other")) & sizes_fit(F.col("n"), F.col("m"), SIMILARITY)).select(
         F.col("nid").alias("a"), F.col("least").alias("b")).distinct(), "copies-stars")
-    links = materialize(_verified(stars, docs), "copies-links")
+    links = materialize(close.union(_verified(stars, docs)), "copies-links")
     first = components(links)
     # Groups of two have been compared, and those whose members carry one label need no more comparing.
     labelled = materialize(shared.where("c > 2").select("item", "nid").join(first, F.col("nid") == F.col("node"), "left").select(
         "item", "nid", F.coalesce("label", "nid").alias("label")), "copies-labels")
+    discard(shared)
     mixed = labelled.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("item")
     open_ = materialize(labelled.join(mixed, "item", "left_semi").select("nid", "label").distinct(), "copies-open")
+    discard(labelled)
     if not open_.isEmpty():
         texts = docs.select(F.col("doc_id").alias("nid"), "text").join(open_, "nid")
         more = materialize(rare_pairs(_items(texts), SIMILARITY), "copies-rare")

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from clauseloom.llm.nearcopies import near_copies
+from clauseloom.llm.nearcopies import BITS, _prefixes, fingerprint_stars, near_copies
 
 
 def brute(rows):
@@ -54,3 +54,13 @@ def test_stage_takes_out_all_near_copies(spark):
     rows = texts(3)
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(brute(rows).values()))
+
+
+def test_close_fingerprints_are_compared_first(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(f"v{i}" for i in range(400))), (4, None)]
+    prints = _prefixes(spark.createDataFrame(rows, "doc_id long, text string")).withColumnRenamed("doc_id", "nid")
+    fps = {r.nid: r.fp for r in prints.collect()}
+    assert fps[4] == 0 and ((fps[1] ^ fps[2]) & (1 << 64) - 1).bit_count() <= BITS
+    assert [(r.a, r.b) for r in fingerprint_stars(prints).collect()] == [(2, 1)]
