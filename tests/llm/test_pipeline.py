@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import sys
 from pathlib import Path
 
 import pyarrow.parquet as pq
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from clauseloom.llm import cotrain
 from tests.llm.test_linededup import brute as brute_lines
+from tests.llm.test_linededup import brute as brute_of_rows
 from tests.llm.test_simhash import brute_components, brute_print
 
 FOLDER = "/root/testdata/sf0.001"
@@ -89,3 +91,10 @@ def test_near_duplicates_go_by_row(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted(r.source for r in corpus_pipeline.near_duplicates(spark, df, FOLDER).collect())
     assert got[:4] == ["b", "c", "d", "f"] and len(got) == 5 and got[4] in "gh"
+
+
+def test_pipeline_equals_brute_force_of_rows_left(spark, monkeypatch):
+    # The brute line stage names rows by their place in what it is given, and the quality stage has taken rows out before.
+    module = sys.modules[__name__]
+    monkeypatch.setattr(module, "brute_lines", lambda rows: {rows[n][0]: stay for n, stay in brute_of_rows(rows).items()})
+    test_pipeline_equals_brute_force(spark)
