@@ -21,8 +21,9 @@ SHINGLE, BANDS, BAND_ROWS = 5, 12, 4
 SIMILARITY = 0.8
 #: Of the 48 signature values so many agree, or a pair is not compared as text. At similarity 0.8 the chance to agree less is below 1e-5.
 AGREE = 24
-#: A bucket of up to so many lines is compared pair by pair.
-FEW = 16
+#: A bucket of up to so many lines is compared pair by pair, by signatures inside a task. With more than CROWDED pairs that agree to a
+#: line, it is left to the rarest shingles, as larger buckets are.
+MANY, CROWDED = 1024, 8
 #: The most bits of the map that tells a pass over the documents which lines are wanted. It may err on the side of too many.
 MAP_BITS = 27
 _RNG = np.random.default_rng(20)
@@ -81,6 +82,29 @@ def agreement(a: str, b: str) -> Column:
     return total
 
 
+def _packed(line: str) -> np.ndarray | None:
+    """The distinct shingles of a line as sorted numbers that hold their characters; None if these are too many bits, or for one short shingle."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < SHINGLE or codes.max() >> 12:
+        return None
+    codes = codes.astype(np.uint64)
+    packed = codes[:len(codes) - SHINGLE + 1].copy()
+    for k in range(1, SHINGLE):
+        packed <<= np.uint64(12)
+        packed |= codes[k:len(codes) - SHINGLE + 1 + k]
+    packed.sort()
+    return packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
+
+
+def _similar_packed(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return common >= least * (len(a) + len(b) - common)
+
+
 def digest(line: str) -> bytes:
     return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -173,29 +197,80 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The ``pairs`` (a, b) whose lines' shingle sets have a Jaccard similarity of ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
+        last, own, packed = None, "", None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             lines, others, keep = batch.column(2), batch.column(3), []
-            for i, other in enumerate(b):
+            for i, other in enumerate(batch.column(1).to_pylist()):
                 if other != last:  # rows come sorted by b
-                    last, own = other, shingles(others[i].as_py())
-                keep.append(similar(shingles(lines[i].as_py()), own, least))
+                    last, own = other, others[i].as_py()
+                    packed = _packed(own)
+                line = lines[i].as_py()
+                numbers = None if packed is None else _packed(line)
+                keep.append(similar(shingles(line), shingles(own), least) if numbers is None else _similar_packed(numbers, packed, least))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = texts.withColumn("n", F.length("line"))
-    one = near.select(F.col("nid").alias("a"), F.col("line").alias("line_a"), F.col("n").alias("n_a"))
-    two = near.select(F.col("nid").alias("b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"))
+    one = texts.select(F.col("nid").alias("a"), F.col("line").alias("line_a"))
+    two = texts.select(F.col("nid").alias("b"), F.col("line").alias("line_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b").sortWithinPartitions("b").mapInArrow(run, "a long, b long")
 
 
+def _agreeing(bands: np.ndarray, labels: np.ndarray, sigs: np.ndarray, agree: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the pairs whose labels differ and whose signatures agree, and the first rows of crowded buckets, which give no pairs."""
+    starts = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]]))
+    sizes = np.diff(np.append(starts, len(bands)))
+    bucket, ends = np.repeat(np.arange(len(starts)), sizes), np.repeat(starts + sizes, sizes)
+    rows, step, ones, twos = np.arange(len(bands)), 1, [], []
+    while len(rows := rows[rows + step < ends[rows]]):
+        one = rows[labels[rows] != labels[rows + step]]
+        one = one[(sigs[one] == sigs[one + step]).sum(axis=1) >= agree]
+        ones.append(one)
+        twos.append(one + step)
+        step += 1
+    one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, twos))
+    crowded = np.bincount(bucket[one], minlength=len(starts)) > most * sizes
+    stay = ~crowded[bucket[one]]
+    return one[stay], two[stay], starts[crowded]
+
+
+def _bucket_pairs(entries: DataFrame) -> DataFrame:
+    """(band, a, b) for ``entries`` (band, nid, label, sig): pairs of a bucket whose labels differ and whose signatures agree in ``AGREE``
+    values or more. Only these become rows. A crowded bucket gives its band alone."""
+    agree, most = AGREE, CROWDED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(bands, nids, labels, sigs):
+            one, two, crowded = _agreeing(bands, labels, sigs, agree, most)
+            a, b = nids[one], nids[two]
+            none = pa.nulls(len(crowded), pa.int64())
+            return pa.record_batch([pa.array(np.concatenate([bands[one], bands[crowded]])),
+                                    pa.concat_arrays([pa.array(np.minimum(a, b)), none]), pa.concat_arrays([pa.array(np.maximum(a, b)), none])],
+                                   ["band", "a", "b"])
+
+        held = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                new = [part.column(i).to_numpy() for i in range(3)]
+                new.append(part.column(3).flatten().to_numpy().reshape(-1, BANDS).view(np.uint16))
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
+                if cut:
+                    yield pairs(*(x[:cut] for x in held))
+                    held = [x[cut:] for x in held]
+        if held is not None:
+            yield pairs(*held)
+
+    return entries.select("band", "nid", "label", "sig").repartition("band").sortWithinPartitions("band").mapInArrow(run, "band long, a long, b long")
+
+
 def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(nid, doc_id, row, pos, label): the first place of each distinct line of ``docs``, and the label its group shares.
 
     Lines are grouped if links connect them; a link is a shared band and a verified similarity of ``least``. In each bucket every
     line is compared with the bucket's smallest one first, so large buckets of copies give as many pairs as lines, not as pairs of
-    lines. Of the buckets that these links leave in different groups, those of up to ``FEW`` lines are compared pair by pair; the lines
-    of larger ones meet by their rarest shingles (``rare_pairs``), which misses no similar pair, and templated lines share none. Most lines that share a band by chance are told apart by their
+    lines. Of the buckets that these links leave in different groups, those of up to ``MANY`` lines are compared pair by pair, by their
+    signatures and inside tasks. The lines of larger and crowded ones meet by their rarest shingles (``rare_pairs``), which misses no
+    similar pair, and templated lines share none. Most lines that share a band by chance are told apart by their
     signatures, without their texts.
     """
     lines = _document_lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "row", "pos")).alias("at"), F.first("sig").alias("sig"))
@@ -230,19 +305,19 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     mixed = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
     left = materialize(known.join(mixed, "band", "left_semi"), "line-mixed")
     discard(shared, known)
-    small = left.where(F.col("n") <= FEW).join(members.select("nid", "sig"), "nid")
-    right = small.select("band", F.col("nid").alias("other"), F.col("label").alias("other_label"), F.col("sig").alias("other_sig"))
-    rest = small.join(right, "band").where((F.col("label") < F.col("other_label")) & (agreement("sig", "other_sig") >= AGREE)).select(
-        F.col("nid").alias("a"), F.col("other").alias("b")).distinct()
-    large = materialize(left.where(F.col("n") > FEW).select("nid", "label").distinct(), "line-large")
+    met = materialize(_bucket_pairs(left.where(F.col("n") <= MANY).join(members.select("nid", "sig"), "nid")), "line-met")
+    rest = met.where("a IS NOT NULL").select("a", "b").distinct()
+    crowded = materialize(left.join(met.where("a IS NULL").select("band"), "band", "left_semi").union(left.where(F.col("n") > MANY)).select(
+        "band", "nid", "label"), "line-crowded")
+    large = materialize(crowded.select("nid", "label").distinct(), "line-large")
     if not large.isEmpty():
         # Many lines that resemble each other without being similar have no pairs worth the making: they meet by their rarest shingles.
         wanted = materialize(members.join(large, "nid", "left_semi").select("nid", "id"), "line-large-ids")
-        rare = materialize(rare_pairs(_shingle_items(_texts(docs, wanted).join(large, "nid")), least, left.where(F.col("n") > FEW)), "line-rare")
+        rare = materialize(rare_pairs(_shingle_items(_texts(docs, wanted).join(large, "nid")), least, crowded), "line-rare")
         discard(wanted)
-        rest = rest.union(near(rare)).distinct()
+        rest = rest.union(near(rare).select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
     links = linked(rest)
-    discard(members, left, large)
+    discard(members, left, large, crowded, met)
     labels = links.join(first.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
         first.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     second = components(labels.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))

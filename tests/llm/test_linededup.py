@@ -109,3 +109,40 @@ def test_templated_lines_make_few_pairs(spark, monkeypatch):
 
 def test_bands_find_similar_lines():
     assert 1 - (1 - 0.8**linededup.BAND_ROWS) ** linededup.BANDS >= 1 - (1 - 0.8**3) ** 8
+
+
+def test_packed_shingles_are_the_sets():
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("abcé ", k=rng.randint(1, 60))) for _ in range(80)] + ["日本語の文字列です", "abcde", "abcd"]
+    for a in lines:
+        for b in lines:
+            one, two = linededup._packed(a), linededup._packed(b)
+            if one is not None and two is not None:
+                assert len(one) == len(shingles(a))
+                assert linededup._similar_packed(one, two, 0.4) == similar(shingles(a), shingles(b), 0.4)
+    assert linededup._packed("abcd") is None and linededup._packed("日本語の文字列です") is None and len(linededup._packed("abcde")) == 1
+
+
+def test_medium_buckets_are_compared_inside_tasks(spark, monkeypatch):
+    rng = random.Random(8)
+    template = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=300))
+    rows = [(i, template + "".join(rng.choices("0123456789", k=120))) for i in range(60)]
+    rows += [(100 + i, t[:-3] + "###") for i, t in rows[:5]]
+    made = {}
+    stored = linededup.materialize
+
+    def counted(df, purpose):
+        out = stored(df, purpose)
+        made[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", counted)
+    got = deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in got if r.kept} == brute(rows)
+    assert made["line-met"] >= 5
+    ones = 0x0001000100010001
+    shared = spark.createDataFrame([(7, k, k, [k % 2 * ones] * 12) for k in range(21)], "band long, nid long, label long, sig array<long>")
+    pairs = {(r.a, r.b) for r in linededup._bucket_pairs(shared).collect()}
+    assert pairs == {(a, b) for a in range(21) for b in range(a + 1, 21) if (b - a) % 2 == 0}
+    monkeypatch.setattr(linededup, "CROWDED", 4)
+    assert [(r.band, r.a, r.b) for r in linededup._bucket_pairs(shared).collect()] == [(7, None, None)]
