@@ -38,13 +38,16 @@ def _with_norm(titles: DataFrame) -> DataFrame:
     return out if "start_from" in titles.columns else out.withColumn("start_from", F.lit(0))
 
 
-def find_title(titles: DataFrame, blocks: DataFrame, keys: list[str], threshold: float = sim.TITLE_THRESHOLD) -> DataFrame:
+def find_title(titles: DataFrame, blocks: DataFrame, keys: list[str], threshold: float = sim.TITLE_THRESHOLD,
+               body: DataFrame | None = None) -> DataFrame:
     """(keys, found): first block from ``start_from`` on pages ``first_page``..``last_page`` that holds the title.
 
     Containment is settled in the JVM first; the similarity then only looks at
-    blocks in front of the containment hit.
+    blocks in front of the containment hit. Both read stored titles and blocks;
+    ``body`` is the stored ``searchable(blocks)`` of a caller that has it.
     """
-    body, t = searchable(blocks), _with_norm(titles)
+    body = materialize(searchable(blocks), "titles-body") if body is None else body
+    t = materialize(_with_norm(titles), "titles-sought")
     inside = sim.contains(F.col("_title"), F.col("norm"))
     exact = (_pairs(t, body, F.col("first_page"), F.col("last_page")).filter(inside)
              .groupBy(*keys).agg(F.min("block_idx").alias("_exact")))
@@ -71,7 +74,9 @@ def find_title_anywhere(titles: DataFrame, blocks: DataFrame, keys: list[str], t
 
 def first_holding(titles: DataFrame, body: DataFrame, keys: list[str], threshold: float = sim.TITLE_THRESHOLD) -> DataFrame:
     """(keys, found): the smallest ``block_idx`` of ``body`` (doc_id, block_idx, norm) in the title's document whose text holds the title."""
-    t = _with_norm(titles).filter(F.col("_title") != "")
+    # Titles and blocks are read by several joins, which would each derive them anew.
+    t = materialize(_with_norm(titles).filter(F.col("_title") != ""), "titles-sought")
+    body = materialize(body.select("doc_id", "block_idx", "norm").join(t.select("doc_id").distinct(), "doc_id", "left_semi"), "titles-body")
     wanted = t.select("doc_id", "_title").distinct()
     hits = containing_pairs(wanted.withColumn("needle", F.col("_title")), body.withColumn("hay", F.col("norm")), ["doc_id"])
     exact = materialize(hits.groupBy("doc_id", "_title").agg(F.min("block_idx").alias("_exact")), "titles-exact")
@@ -135,12 +140,14 @@ def find_title_robust(titles: DataFrame, blocks: DataFrame, keys: list[str]) ->
     return exact.join(close, keys, "full_outer").select(*keys, best["step"].alias("step"), best["block_idx"].alias("found"))
 
 
-def resolve_end(spans: DataFrame, blocks: DataFrame, keys: list[str], threshold: float = sim.TITLE_THRESHOLD) -> DataFrame:
+def resolve_end(spans: DataFrame, blocks: DataFrame, keys: list[str], threshold: float = sim.TITLE_THRESHOLD,
+                body: DataFrame | None = None) -> DataFrame:
     """``spans`` plus ``end_idx``: the end title behind the start, else one past the last block in range, else the length."""
+    spans = materialize(spans, "spans-open")
     searched = spans.filter(F.coalesce("end_title", F.lit("")) != "").select(
         *keys, *[c for c in ("doc_id",) if c not in keys], F.col("end_title").alias("title"), "first_page",
         (F.col("last_page") + END_BUFFER).alias("last_page"), (F.col("start_idx") + 1).alias("start_from"))
-    hit = find_title(searched, blocks, keys, threshold).withColumnRenamed("found", "_hit")
+    hit = find_title(searched, blocks, keys, threshold, body).withColumnRenamed("found", "_hit")
     per_page = blocks.groupBy("doc_id", F.coalesce("page_idx", F.lit(-1)).alias("page_key")).agg(F.max("block_idx").alias("_m"))
     in_range = (spans.filter("last_page >= first_page").select(*dict.fromkeys([*keys, "doc_id"]), F.explode(F.sequence("first_page", "last_page")).alias("page_key"))
                 .join(per_page, ["doc_id", "page_key"]).groupBy(*keys).agg((F.max("_m") + 1).alias("_last")))
@@ -151,8 +158,9 @@ def resolve_end(spans: DataFrame, blocks: DataFrame, keys: list[str], threshold:
 
 def positions_between(titles: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Positions from the start title (included) to the end title (excluded); all in range without a start."""
-    started = titles.join(find_title(titles, blocks, keys), keys, "left")
-    ended = resolve_end(started.withColumn("start_idx", F.coalesce("found", F.lit(-1))), blocks, keys)
+    titles, body = materialize(titles, "positions-titles"), materialize(searchable(blocks), "titles-body")
+    started = titles.join(find_title(titles, blocks, keys, body=body), keys, "left")
+    ended = resolve_end(started.withColumn("start_idx", F.coalesce("found", F.lit(-1))), blocks, keys, body=body)
     spans = ended.withColumn("end_idx", F.when(F.col("found").isNull(), F.lit((1 << 31) - 1)).otherwise(
         F.greatest("end_idx", F.col("found") + 1))).withColumn(
         "start_idx", F.when(F.col("found").isNull(), F.lit(-1)).otherwise(F.col("found") - 1))

@@ -4,6 +4,8 @@ import random
 from difflib import SequenceMatcher
 
 
+from pyspark.sql import functions as F
+
 from clauseloom.functions.similarity import best_window
 from clauseloom.operators import evidence as ev
 from clauseloom.operators import slicing
@@ -214,3 +216,16 @@ def test_fill_node_text(spark):
     assert out[(1, 1)]["original_text"] == "a\nb" and out[(1, 1)]["step"] == 1
     # No boundary found: the range runs to the last page, and the whole range is the text.
     assert out[(2, 0)]["original_text"] == "loose\n\nend" and out[(2, 0)]["step"] is None
+
+
+def test_positions_between_derives_the_searched_blocks_once(spark, monkeypatch):
+    blocks = spark.createDataFrame([(1, i, "text", t, 0, [1.0, 2.0, 3.0, 4.0]) for i, t in enumerate(["Alpha part", "body", "Beta part", "end"])],
+                                   "doc_id long, block_idx int, type string, text string, page_idx int, bbox array<double>")
+    for c, kind in (("list_items", "array<string>"), ("image_caption", "array<string>"), ("table_caption", "array<string>"), ("table_body", "string")):
+        blocks = blocks.withColumn(c, F.lit(None).cast(kind))
+    titles = spark.createDataFrame([(1, 0, "Alpha part", "Beta part", 0, 0)], "doc_id long, node_idx int, title string, end_title string, first_page int, last_page int")
+    calls, derive = [], slicing.searchable
+    monkeypatch.setattr(slicing, "searchable", lambda df: calls.append(1) or derive(df))
+    rows = slicing.positions_between(titles, blocks, ["doc_id", "node_idx"]).collect()
+    assert len(rows) == 1 and len(rows[0].positions) == 2
+    assert len(calls) == 1

@@ -1,10 +1,13 @@
 """Hand-made cases for text, geometry, labels and HTML."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.functions import geometry as geo
 from clauseloom.functions import labels
+from clauseloom.functions import similarity as sim
 from clauseloom.functions import text as tx
 from clauseloom.functions.html import table_text
 from clauseloom.functions.similarity import best_window, ratio, title_contained, window_ratio
@@ -100,3 +103,12 @@ def test_best_window_equals_plain_search():
             if best >= 0.99:
                 break
         assert best_window(t, c) == best
+
+
+def test_shared_characters_bound_the_window_ratio():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdé中1", k=rng.randint(1, 40))) for _ in range(60)]
+    pairs = [(a, b) for a in texts for b in texts]
+    bounds = sim.shared_bound(*map(list, zip(*pairs)))
+    assert all(bound >= sim.best_window(a, b) - 1e-12 for (a, b), bound in zip(pairs, bounds))
+    assert sim.shared_bound(["abcd"], ["wxyz"])[0] == 0 and sim.shared_bound(["abcd"], ["dcba"])[0] == 1
