@@ -117,7 +117,8 @@ def _(t):
 def _(t):
     base = shared_dir(t.spark, "delete-store")
     tables.append_clauses(t.clauses, f"{base}/clauses")
-    tables.append_rows(t.tasks, f"{base}/tasks")
+    # Deletion reads no more of the tasks than this.
+    tables.append_rows(t.tasks.select("task_id", "status"), f"{base}/tasks")
     failed = t.spark.read.parquet(f"{base}/tasks").filter(F.col("status") == "failed").select("task_id")
     tables.delete_tasks_in_place(t.spark, base, failed, ("clauses",))
     return t.spark.read.parquet(f"{base}/clauses").select("matrix_id", "task_id")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.operators.clauses import default_type
 from clauseloom.operators.scan import Run, dense_chunk, ordered_concat, scan
-from clauseloom.session import materialize
 
 TABLES = ("tasks", "task_logs", "sections", "clauses")
 BUCKETS = 64
+#: Bits of the map of deleted tasks, 8 MiB in all. More tasks let more rows through to the join; nothing is lost.
+MAP_BITS = 1 << 26
 
 # Headers of the exported clause matrix and the suffix of its name.
 MATRIX_HEADERS = ["层级关系", "章节标题", "章节概述", "条款ID", "条款内容", "页码", "条款类型", "结构化信息"]
@@ -77,25 +81,50 @@ def delete_tasks(spark, base: str, ids: DataFrame, target: str) -> dict[str, str
     return out
 
 
+def _maybe_among(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a task may be one of ``ids``: exact where it says no. The bit map has a fixed size, whatever the number of tasks."""
+    place = F.xxhash64("task_id").bitwiseAND(MAP_BITS - 1)
+    words = ids.select(F.shiftright(place, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(31).cast("int")).alias("m")).groupBy(
+        "w").agg(F.bit_or("m").alias("m")).toArrow()
+    marks = np.zeros(MAP_BITS >> 5, np.uint32)
+    marks[words["w"].to_numpy()] = words["m"].to_numpy()
+    known = ids.sparkSession.sparkContext.broadcast(marks)
+
+    @F.pandas_udf("boolean")
+    def marked(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy() & (MAP_BITS - 1)
+        return pd.Series((known.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+
+    return lambda task: marked(F.xxhash64(task))
+
+
 def delete_tasks_in_place(spark, base: str, ids: DataFrame, names: Sequence[str] = TABLES, buckets: int = BUCKETS) -> list[int]:
     """Delete the tasks' rows from the stored tables under ``base``; returns the buckets that were touched.
 
-    Only folders of the tasks' buckets are read and written again, others keep their files. What stays is stored apart first, then it
-    replaces its folders one by one, so a delete that stops midway is finished by running it again.
+    Only folders of the tasks' buckets are read and written again, others keep their files. Rows of tasks that a bit map rules out are
+    written as they are read; only the others meet the tasks in a join. What stays is written once, into a hidden folder of the table,
+    and its folders replace the touched ones one by one.
     """
     # As many numbers as there are buckets, at most.
     touched = sorted(r[0] for r in ids.select(task_bucket("task_id", buckets)).distinct().collect())
+    if not touched:
+        return []
+    maybe = _maybe_among(ids)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name in names:
         path = f"{base}/{name}"
-        stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-        left = materialize(without_tasks(stored, ids), f"delete-{name}")
-        (left.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
-        kept = {r[0] for r in left.select("bucket").distinct().collect()}
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        staged = f"{path}/_delete-{uuid.uuid4().hex}"
+        stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).withColumn("_maybe", F.coalesce(maybe(F.col("task_id")), F.lit(False)))
+        kept = stored.filter(~F.col("_maybe")).drop("_maybe")
+        open_ = without_tasks(stored.filter("_maybe").drop("_maybe"), ids).select(*kept.columns).hint("rebalance", "bucket")
+        kept.union(open_).write.partitionBy("bucket").parquet(staged)
         for bucket in touched:
-            if bucket not in kept:
-                folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
-                folder.getFileSystem(conf).delete(folder, True)
+            old, new = (jvm.org.apache.hadoop.fs.Path(f"{at}/bucket={bucket}") for at in (path, staged))
+            files = old.getFileSystem(conf)
+            files.delete(old, True)
+            if files.exists(new) and not files.rename(new, old):
+                raise OSError(f"{new} could not be moved to {old}")
+        files.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
     return touched
 
 

@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from clauseloom import session
 from clauseloom.operators import tasks
 from clauseloom.sources import readers, tables
 
@@ -124,3 +125,16 @@ def test_reuse_prefers_newest_completed(spark):
     df = spark.createDataFrame(rows, "task_id string, file_hash string, status string, created_at string, completed_at string")
     df = df.withColumn("created_at", F.to_timestamp("created_at")).withColumn("completed_at", F.to_timestamp("completed_at"))
     assert {r["file_hash"]: (r["task_id"], r["decision"]) for r in tasks.reusable_task(df).collect()} == {"h": ("b", "reuse"), "g": ("e", "wait")}
+
+
+def test_delete_stores_nothing_apart_and_survives_a_full_map(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "store")
+    rows = [(f"t{i}", f"v{i}") for i in range(200)] + [(None, "none")]
+    tables.append_rows(spark.createDataFrame(rows, "task_id string, v string"), f"{base}/clauses")
+    before = sum(map(len, session._stored.values()))
+    gone = {f"t{i}" for i in range(0, 200, 3)}
+    monkeypatch.setattr(tables, "MAP_BITS", 1 << 5)  # nearly every bit is set: the join decides
+    tables.delete_tasks_in_place(spark, base, spark.createDataFrame([(g,) for g in gone], "task_id string"), ("clauses",))
+    assert sorted(r["v"] for r in spark.read.parquet(f"{base}/clauses").collect()) == sorted(v for t, v in rows if t not in gone)
+    assert sum(map(len, session._stored.values())) == before
+    assert not list((tmp_path / "store" / "clauses").glob("_delete*"))
