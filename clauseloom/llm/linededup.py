@@ -8,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import free_name
 from clauseloom.llm.components import components
-from clauseloom.llm.nearcopies import rare_pairs
+from clauseloom.operators.scan import with_range_chunk
 from clauseloom.session import discard, materialize
 
 #: Characters to a shingle; bands and rows of the signature: lines of similarity 0.8 share a band with probability 0.998.
@@ -21,9 +21,15 @@ SHINGLE, BANDS, BAND_ROWS = 5, 12, 4
 SIMILARITY = 0.8
 #: Of the 48 signature values so many agree, or a pair is not compared as text. At similarity 0.8 the chance to agree less is below 1e-5.
 AGREE = 24
+#: Entries of a bucket are told apart by two bits of each of the 48 values: so many agree, or lines are no partners. At similarity 0.8 the
+#: chance to agree less is below 1e-5 as well.
+SKETCH_AGREE = 29
 #: A bucket of up to so many lines is compared pair by pair, by signatures inside a task. With more than CROWDED pairs that agree to a
-#: line, it is left to the rarest shingles, as larger buckets are.
+#: line, its lines are compared as sets in blocks of BLOCK, as those of larger buckets are; COLUMNS shingles of a block are counted at once.
 MANY, CROWDED = 1024, 8
+BLOCK, COLUMNS = 1024, 2048
+#: Characters that are hashed at a time.
+CACHED = 60_000
 #: The most bits of the map that tells a pass over the documents which lines are wanted. It may err on the side of too many.
 MAP_BITS = 27
 _RNG = np.random.default_rng(20)
@@ -49,29 +55,39 @@ def similar(a: set[str], b: set[str], least: float) -> bool:
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """One row per line in normal form: a number per band, which holds the low 16 bits of four minima. Lines are hashed side by side."""
+    """One row per line in normal form: a number per band, which holds the low 16 bits of four minima. Lines are hashed side by side, as
+    many at a time as stay in the processor's cache."""
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    ends = np.cumsum(sizes)
-    with np.errstate(over="ignore"):
-        mixed = np.zeros(max(0, len(codes) - SHINGLE + 1), np.uint64)
-        for k in range(SHINGLE):
-            mixed = mixed * np.uint64(0x100000001B3) + codes[k:len(codes) - SHINGLE + 1 + k]
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        hashes = (mixed >> np.uint64(32)).astype(np.uint32)
-        # Shingles that reach over the end of a line are put out of the way.
-        across = (ends[:-1, None] - np.arange(1, SHINGLE)[None, :]).ravel()
-        starts = ends - sizes
-        out = np.zeros((len(lines), BANDS), np.uint64)
-        for i in range(BANDS * BAND_ROWS):
-            values = hashes * _FACTORS[i] + _ADDENDS[i]
-            values[across] = 0xFFFFFFFF
-            least = np.minimum.reduceat(values, starts).astype(np.uint64)
-            out[:, i // BAND_ROWS] |= (least & np.uint64(0xFFFF)) << np.uint64(16 * (i % BAND_ROWS))
+    out = np.zeros((len(lines), BANDS * BAND_ROWS), np.uint16)
+    group = np.cumsum(sizes) // CACHED
+    cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(lines)]
+    for begin, end in zip(cuts, cuts[1:]):
+        if begin < end:
+            _minima(padded[begin:end], sizes[begin:end], out[begin:end])
     return out.view(np.int64)
 
 
+def _minima(lines: list[str], sizes: np.ndarray, out: np.ndarray) -> None:
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends, places = np.cumsum(sizes), len(codes) - SHINGLE + 1
+    mixed = codes[:places].copy()
+    for k in range(1, SHINGLE):
+        mixed *= np.uint64(0x100000001B3)
+        mixed += codes[k:places + k]
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    # Shingles that reach over the end of a line are left out.
+    inside = np.ones(places, bool)
+    inside[(ends[:-1, None] - np.arange(1, SHINGLE)[None, :]).ravel()] = False
+    hashes = (mixed >> np.uint64(32)).astype(np.uint32)[inside]
+    starts = ends - sizes - (SHINGLE - 1) * np.arange(len(lines))
+    values = np.empty_like(hashes)
+    for i in range(BANDS * BAND_ROWS):
+        np.multiply(hashes, _FACTORS[i], out=values)
+        values += _ADDENDS[i]
+        out[:, i] = np.minimum.reduceat(values, starts)  # the low 16 bits
+
+
 def agreement(a: str, b: str) -> Column:
     """In how many of their values two signatures agree."""
     total = F.lit(0)
@@ -179,20 +195,6 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         "nid", "line").dropDuplicates(["nid"])
 
 
-def _shingle_items(texts: DataFrame) -> DataFrame:
-    """(nid, label, items): hashes of the shingles of ``texts`` (nid, label, line)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                sets = [np.unique(np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in shingles(t.as_py())], np.uint64))
-                        for t in batch.column(2)[at:at + 1024]]
-                yield pa.record_batch([batch.column(0)[at:at + 1024], batch.column(1)[at:at + 1024],
-                                       pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["nid", "label", "items"])
-
-    return texts.select("nid", "label", "line").mapInArrow(run, "nid long, label long, items array<long>")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The ``pairs`` (a, b) whose lines' shingle sets have a Jaccard similarity of ``least`` or more."""
 
@@ -263,25 +265,192 @@ def _bucket_pairs(entries: DataFrame) -> DataFrame:
     return entries.select("band", "nid", "label", "sig").repartition("band").sortWithinPartitions("band").mapInArrow(run, "band long, a long, b long")
 
 
+def _sketch(first: int, last: int) -> Column:
+    """The lowest two bits of each value of the bands from ``first`` to ``last``, a byte to a band."""
+    out = F.lit(0).cast("long")
+    for at, band in enumerate(range(first, last)):
+        low = F.col("sig")[band].bitwiseAND(F.lit(0x0003000300030003))
+        for shift in (14, 28, 42):
+            low = low.bitwiseOR(F.shiftrightunsigned(F.col("sig")[band].bitwiseAND(F.lit(0x0003000300030003)), shift))
+        out = out.bitwiseOR(F.shiftleft(low.bitwiseAND(F.lit(0xFF)), 8 * at))
+    return out
+
+
+def _roots(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The smallest row that links between rows reach, for each of ``n`` rows."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[one], root[two])
+        new = root.copy()
+        np.minimum.at(new, root[one], least)
+        np.minimum.at(new, root[two], least)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _partners(entries: DataFrame) -> DataFrame:
+    """(band, least, nid) of the ``entries`` (band, nid, s, t) that have a partner in their bucket.
+
+    Buckets fall apart into groups connected by sketches that agree; ``least`` is the smallest line of the group. Lines that share a
+    band by chance end here, so what goes on grows with the similar lines and not with the pairs that chance makes. Buckets of more
+    than ``MANY`` lines go on whole, with ``least`` -1.
+    """
+    agree, many = SKETCH_AGREE, MANY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs_of = np.uint64(0x5555555555555555)
+
+        def rows(bands, leasts, nids):
+            return pa.record_batch([pa.array(bands), pa.array(leasts), pa.array(nids)], ["band", "least", "nid"])
+
+        def groups(bands, nids, s, t):
+            order = np.lexsort((nids, bands))
+            bands, nids, s, t = bands[order], nids[order], s[order], t[order]
+            starts = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]]))
+            sizes = np.diff(np.append(starts, len(bands)))
+            ends, large = np.repeat(starts + sizes, sizes), np.repeat(sizes > many, sizes)
+            left, step, ones, twos = np.flatnonzero(~large), 1, [], []
+            while len(left := left[left + step < ends[left]]):
+                x, y = s[left] ^ s[left + step], t[left] ^ t[left + step]
+                differ = np.bitwise_count((x | x >> np.uint64(1)) & pairs_of) + np.bitwise_count((y | y >> np.uint64(1)) & pairs_of)
+                one = left[differ <= 4 * BANDS - agree]
+                ones.append(one)
+                twos.append(one + step)
+                step += 1
+            one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, twos))
+            root = _roots(len(bands), one, two)
+            stay = np.zeros(len(bands), bool)
+            stay[one] = stay[two] = True
+            stay |= large
+            return rows(bands[stay], np.where(large, -1, nids[root])[stay], nids[stay])
+
+        held, whole = None, None
+        for batch in batches:
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy().view(np.uint64)]
+            if whole is not None:  # the rest of a large bucket
+                end = int(np.searchsorted(new[0], whole, "right"))
+                yield rows(new[0][:end], np.full(end, -1), new[1][:end])
+                new = [x[end:] for x in new]
+                if not len(new[0]):
+                    continue
+                whole = None
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
+            if len(held[0]) - cut > many:
+                whole, cut = held[0][-1], len(held[0])
+            if cut:
+                yield groups(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held] if cut < len(held[0]) else None
+        if held is not None:
+            yield groups(*held)
+
+    return entries.repartition("band").sortWithinPartitions("band").mapInArrow(run, "band long, least long, nid long")
+
+
+def _numbers(lines: list[str]) -> list[np.ndarray]:
+    """The shingles of each line as distinct numbers, the same for equal shingles of these lines."""
+    if any(ord(max(line)) >> 12 for line in lines):
+        return [np.unique(np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in shingles(line)], np.uint64)) for line in lines]
+    out = []
+    for line in lines:
+        packed = _packed(line)
+        if packed is None:  # one short shingle, told from others by the top bits
+            number = len(line) << 60
+            for k, c in enumerate(line):
+                number |= ord(c) << 12 * k
+            packed = np.array([number], np.uint64)
+        out.append(packed)
+    return out
+
+
+def _links_between(lines: list[str], labels: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different labels that reach ``least``, of the first ``n`` lines with the others; with themselves if there are no others.
+
+    Common shingles of all pairs are counted by products of incidence matrices, ``COLUMNS`` shingles at a time.
+    """
+    sets = _numbers(lines)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, item, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    owner, item = owner[shared[item]], place[item[shared[item]]]
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    alone = n == len(lines)
+    common = np.zeros((n, n if alone else len(lines) - n), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        begin, end = np.searchsorted(item, [at, at + COLUMNS])
+        held = np.zeros((len(lines), COLUMNS), np.float32)
+        held[owner[begin:end], item[begin:end] - at] = 1
+        common += held[:n] @ (held if alone else held[n:]).T
+    ones, twos = np.arange(n), np.arange(n) if alone else np.arange(n, len(lines))
+    total = sizes[ones][:, None] + sizes[twos][None, :] - common
+    i, j = np.nonzero((common >= least * total) & (labels[ones][:, None] != labels[twos][None, :]))
+    return ones[i], twos[j]
+
+
+def _block_links(entries: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b) that connect what similar lines connect, for ``entries`` (band, nid, label) whose labels differ within their bands.
+
+    Each band's lines are cut into blocks by label, and blocks meet in pairs, so a bucket of any size goes over many tasks and all its
+    pairs of different labels are compared exactly, as sets. Of a pair of blocks no more links come out than it has lines.
+    """
+    dealt = with_range_chunk(entries, ["band"], ["label", "nid"], "chunk", "line-dealt")
+    inside = Window.partitionBy("band", "chunk").orderBy("label", "nid")
+    rows = dealt.withColumn("block", F.floor((F.row_number().over(inside) - 1) / BLOCK) + F.col("chunk").cast("long") * (1 << 32))
+    rows = materialize(rows.select("band", "nid", "label", "block"), "line-blocks")
+    blocks = rows.groupBy("band", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    other = blocks.select("band", F.col("block").alias("with"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    meet = blocks.join(other, "band").where((F.col("block") <= F.col("with")) & (F.least("lo", "lo2") < F.greatest("hi", "hi2")))
+    sides = meet.select("band", F.xxhash64("band", "block", "with").alias("pair"), F.explode(F.array_distinct(F.array("block", "with"))).alias("block"))
+    joined = sides.join(rows, ["band", "block"]).join(texts, "nid").select("pair", "block", "nid", "label", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(table):
+            block, nids = table.column(1).to_numpy(), table.column(2).to_numpy()
+            one, two = _links_between(table.column(4).to_pylist(), table.column(3).to_numpy(), int(np.count_nonzero(block == block[0])), least)
+            root = _roots(len(nids), one, two)
+            tied = np.flatnonzero(root != np.arange(len(nids)))
+            return pa.record_batch([pa.array(nids[root[tied]]), pa.array(nids[tied])], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            pair = held.column(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            for begin, end in zip(starts.tolist(), starts.tolist()[1:]):
+                yield links(held.slice(begin, end - begin))
+            held = held.slice(starts[-1])  # the last pair may go on
+        if held is not None and held.num_rows:
+            yield links(held)
+
+    return joined.repartition("pair").sortWithinPartitions("pair", "block").mapInArrow(run, "a long, b long")
+
+
 def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(nid, doc_id, row, pos, label): the first place of each distinct line of ``docs``, and the label its group shares.
 
-    Lines are grouped if links connect them; a link is a shared band and a verified similarity of ``least``. In each bucket every
-    line is compared with the bucket's smallest one first, so large buckets of copies give as many pairs as lines, not as pairs of
-    lines. Of the buckets that these links leave in different groups, those of up to ``MANY`` lines are compared pair by pair, by their
-    signatures and inside tasks. The lines of larger and crowded ones meet by their rarest shingles (``rare_pairs``), which misses no
-    similar pair, and templated lines share none. Most lines that share a band by chance are told apart by their
-    signatures, without their texts.
+    Lines are grouped if links connect them; a link is a shared band and a verified similarity of ``least``. Lines that share a band
+    by chance are told apart by two bits of each signature value, which each entry of a bucket carries (``_partners``). In each group of
+    partners every line is compared with the smallest one first, so large groups of copies give as many pairs as lines, not as pairs of
+    lines. Of the groups that these links leave in parts, those of up to ``MANY`` lines are compared pair by pair, by their signatures
+    and inside tasks; the lines of larger and crowded ones are compared as sets, block by block (``_block_links``).
     """
     lines = _document_lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "row", "pos")).alias("at"), F.first("sig").alias("sig"))
     lines = materialize(lines.select(F.monotonically_increasing_id().alias("nid"), "id", "at.doc_id", "at.row", "at.pos", "sig"), "line-ids")
-    entries = lines.select("nid", F.posexplode("sig").alias("i", "v")).select("nid", F.xxhash64("i", "v").alias("band"))
-    buckets = materialize(entries.groupBy("band").agg(F.min("nid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-buckets")
-    shared = materialize(entries.join(buckets, "band").select("band", "nid", "least", "n"), "line-shared")
+    entries = lines.select("nid", _sketch(0, 8).alias("s"), _sketch(8, BANDS).alias("t"), F.posexplode("sig").alias("i", "v")).select(
+        F.xxhash64("i", "v").alias("band"), "nid", "s", "t")
+    partners = materialize(_partners(entries).select(F.xxhash64("band", "least").alias("band"), "nid"), "line-partners")
+    buckets = partners.groupBy("band").agg(F.min("nid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(partners.join(buckets, "band").select("band", "nid", "least", "n"), "line-shared")
     members = materialize(lines.join(shared.select("nid").distinct(), "nid", "left_semi").select("nid", "id", "sig"), "line-members")
     # Signatures are kept once, for the lines that may have a partner; the others need their places only.
     places = materialize(lines.select("nid", "doc_id", "row", "pos"), "line-places")
-    discard(buckets, lines)
+    discard(partners, lines)
+    texts = materialize(_texts(docs, members), "line-texts")
 
     def near(pairs: DataFrame) -> DataFrame:
         one = members.select(F.col("nid").alias("a"), F.col("sig").alias("sig_a"))
@@ -290,11 +459,8 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "line-near")
-        ends = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
-        wanted = materialize(members.join(ends, "nid", "left_semi").select("nid", "id"), "line-wanted")
-        texts = materialize(_texts(docs, wanted), "line-texts")
         links = materialize(_verified(pairs, texts, least), "line-links")
-        discard(pairs, wanted, texts)
+        discard(pairs)
         return links
 
     stars = shared.where("nid <> least").select(F.col("nid").alias("a"), F.col("least").alias("b")).distinct()
@@ -306,18 +472,12 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     left = materialize(known.join(mixed, "band", "left_semi"), "line-mixed")
     discard(shared, known)
     met = materialize(_bucket_pairs(left.where(F.col("n") <= MANY).join(members.select("nid", "sig"), "nid")), "line-met")
-    rest = met.where("a IS NOT NULL").select("a", "b").distinct()
+    links = linked(met.where("a IS NOT NULL").select("a", "b").distinct())
     crowded = materialize(left.join(met.where("a IS NULL").select("band"), "band", "left_semi").union(left.where(F.col("n") > MANY)).select(
         "band", "nid", "label"), "line-crowded")
-    large = materialize(crowded.select("nid", "label").distinct(), "line-large")
-    if not large.isEmpty():
-        # Many lines that resemble each other without being similar have no pairs worth the making: they meet by their rarest shingles.
-        wanted = materialize(members.join(large, "nid", "left_semi").select("nid", "id"), "line-large-ids")
-        rare = materialize(rare_pairs(_shingle_items(_texts(docs, wanted).join(large, "nid")), least, crowded), "line-rare")
-        discard(wanted)
-        rest = rest.union(near(rare).select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
-    links = linked(rest)
-    discard(members, left, large, crowded, met)
+    if not crowded.isEmpty():
+        links = links.union(materialize(_block_links(crowded, texts, least), "line-block-links"))
+    discard(members, left, crowded, met, texts)
     labels = links.join(first.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
         first.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     second = components(labels.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))

@@ -146,3 +146,47 @@ def test_medium_buckets_are_compared_inside_tasks(spark, monkeypatch):
     assert pairs == {(a, b) for a in range(21) for b in range(a + 1, 21) if (b - a) % 2 == 0}
     monkeypatch.setattr(linededup, "CROWDED", 4)
     assert [(r.band, r.a, r.b) for r in linededup._bucket_pairs(shared).collect()] == [(7, None, None)]
+
+
+def test_lines_that_share_a_band_by_chance_end_in_their_bucket(spark):
+    rng = random.Random(9)
+    sigs = [[rng.getrandbits(63) for _ in range(12)] for _ in range(300)]
+    close = [x[:11] + [x[11] ^ 1] for x in sigs[:20]]
+    rows = [(i, sig) for i, sig in enumerate(sigs + close)]
+    sketch = spark.createDataFrame(rows, "nid long, sig array<long>").selectExpr("7L as band", "nid", "sig").select(
+        "band", "nid", linededup._sketch(0, 8).alias("s"), linededup._sketch(8, 12).alias("t"))
+    got = sorted(map(tuple, linededup._partners(sketch).collect()))
+    assert got == sorted([(7, i, i) for i in range(20)] + [(7, i, 300 + i) for i in range(20)])
+
+
+def test_large_buckets_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "MANY", 40)
+    rng = random.Random(11)
+    bands = [1] * 30 + [2] * 500 + [3] * 20 + [4] * 41
+    rows = [(b, i, *((0, 0) if i % 10 == 0 else (rng.getrandbits(63), rng.getrandbits(31)))) for i, b in enumerate(bands)]
+    got = sorted(map(tuple, linededup._partners(spark.createDataFrame(rows, "band long, nid long, s long, t long")).collect()))
+    want = [(b, -1, i) for i, b in enumerate(bands) if b in (2, 4)]
+    want += [(b, min(j for j, c in enumerate(bands) if c == b and j % 10 == 0), i) for i, b in enumerate(bands) if b in (1, 3) and i % 10 == 0]
+    assert got == sorted(want)
+
+
+def test_blocks_connect_what_all_pairs_connect(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BLOCK", 8)
+    monkeypatch.setattr(linededup, "COLUMNS", 64)
+    rng = random.Random(10)
+    base = "".join(rng.choices("abcdefgh ", k=200))
+    lines = [base[:k] + "".join(rng.choices("abcdefgh ", k=200 - k)) for k in rng.choices(range(120, 200), k=70)] + ["abc", "abcd", "\u65e5\u672c\u8a9e\u306e\u6587", "x" * 3]
+    entries = spark.createDataFrame([(5, i, i) for i in range(len(lines))], "band long, nid long, label long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "nid long, line string")
+    got = linededup._block_links(entries, texts, 0.8).collect()
+
+    def groups(pairs):
+        label = list(range(len(lines)))
+        for a, b in pairs:
+            old, new = label[a], label[b]
+            label = [new if x == old else x for x in label]
+        return [label.index(x) for x in label]
+
+    sets = [shingles(x) for x in lines]
+    want = [(i, j) for i in range(len(lines)) for j in range(i) if similar(sets[i], sets[j], 0.8)]
+    assert want and groups([(r.a, r.b) for r in got]) == groups(want)
