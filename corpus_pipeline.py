@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.llm import bpe, cotrain, linededup, mixing, nearcopies
 from clauseloom.llm.common import free_name, table
-from clauseloom.session import materialize
+from clauseloom.session import materialize, small_batches
 
 #: Rows under this chance of good quality go.
 LEAST_QUALITY = 0.5
@@ -58,8 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return docs
 
 

@@ -5,6 +5,7 @@ import math
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
@@ -98,3 +99,25 @@ def test_pipeline_equals_brute_force_of_rows_left(spark, monkeypatch):
     module = sys.modules[__name__]
     monkeypatch.setattr(module, "brute_lines", lambda rows: {rows[n][0]: stay for n, stay in brute_of_rows(rows).items()})
     test_pipeline_equals_brute_force(spark)
+
+
+def test_stages_send_small_batches_to_python(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, sizes = spark.conf.get(key), []
+
+    def stage(spark, docs, folder):
+        def run(batches):
+            for batch in batches:
+                yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+        sizes.extend(spark.range(30_000).coalesce(1).selectExpr("repeat('long text ', 200) as t").mapInArrow(run, "n long, size long").collect())
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("stage", stage)])
+    try:
+        spark.conf.set(key, "10000")
+        corpus_pipeline.run(spark, FOLDER)
+        assert spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r.n for r in sizes) == 30_000 and max(r.n for r in sizes) <= 2000 and max(r["size"] for r in sizes) < 9 << 20
