@@ -39,7 +39,10 @@ _ADDENDS = _RNG.integers(0, 2**32, BANDS * BAND_ROWS, dtype=np.uint32)
 
 def normal_form(line: str) -> str:
     """What lines are compared by: lower case, runs of white space as one space."""
-    return " ".join(line.lower().split())
+    line = line.lower()
+    if "  " not in line and line.isprintable() and line[:1] != " " and line[-1:] != " ":  # its only white space is single spaces inside
+        return line
+    return " ".join(line.split())
 
 
 def shingles(line: str) -> set[str]:
@@ -132,6 +135,12 @@ def _lines(text: str) -> Iterator[tuple[int, str]]:
             yield i, normal_form(line) or line
 
 
+def _slot(row, pos):
+    """A number for a line's place that fits a long; works on columns and on numbers."""
+    part, own = (F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))) if isinstance(row, Column) else (row >> 33, row & (1 << 33) - 1)
+    return part * 1000003 + own * 7919 + pos * 31
+
+
 def _document_lines(docs: DataFrame) -> DataFrame:
     """(id, row, doc_id, pos, sig) of every line; ``id`` is a digest of its normal form, ``row`` the number of its row."""
 
@@ -164,14 +173,13 @@ def _document_lines(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(nid, line) in normal form for ``wanted`` (nid, id).
+    """(nid, line) in normal form for ``wanted`` (nid, row, pos), the lines' places in ``docs``.
 
-    Instead of moving the documents to the lines that are asked for, a bit map of their digests goes to the documents: its size is
-    bounded, and lines that pass by chance are left out by the join.
+    Instead of moving the documents to the lines that are asked for, a bit map of their places goes to the documents: its size is
+    bounded, and lines that pass by chance are left out by the join. Other lines are not brought to normal form again.
     """
     bits = min(MAP_BITS, max(16, (16 * wanted.count()).bit_length()))
-    place = lambda c: F.conv(F.substring(F.hex(c), 1, 8), 16, 10).cast("long") % (1 << bits)
-    words = wanted.select(place(F.col("id")).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(
+    words = wanted.select((_slot(F.col("row"), F.col("pos")) % (1 << bits)).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, int(p & 31))")).alias("m")).toArrow()
     marks = np.zeros(1 << (bits - 5), np.uint32)
     marks[words["w"].to_numpy()] = words["m"].to_numpy()
@@ -181,18 +189,19 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         marks = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                ids, lines = [], []
-                for text in batch.column(0)[at:at + 256]:
-                    for _, line in _lines(text.as_py() or ""):
-                        own = digest(line)
-                        p = int.from_bytes(own[:4], "big") % (1 << bits)
-                        if int(marks[p >> 5]) >> (p & 31) & 1:
-                            ids.append(own)
-                            lines.append(line)
-                yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(lines, pa.string())], ["id", "line"])
+                rows, places, lines = [], [], []
+                for row, text in zip(batch.column(0)[at:at + 256].to_pylist(), batch.column(1)[at:at + 256]):
+                    own = (text.as_py() or "").split("\n")
+                    slots = (_slot(row, np.arange(len(own), dtype=np.int64)) % (1 << bits)).astype(np.int64)
+                    for i in np.flatnonzero(marks[slots >> 5] >> (slots & 31).astype(np.uint32) & np.uint32(1)).tolist():
+                        if own[i].strip(" \t\n\v\f\r"):
+                            rows.append(row)
+                            places.append(i)
+                            lines.append(normal_form(own[i]) or own[i])
+                yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(lines, pa.string())], ["row", "pos", "line"])
 
-    return docs.select("text").mapInArrow(run, "id binary, line string").join(wanted.select("nid", "id"), "id").select(
-        "nid", "line").dropDuplicates(["nid"])
+    found = docs.select(F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, "row long, pos int, line string")
+    return found.join(wanted.select("nid", "row", "pos"), ["row", "pos"]).select("nid", "line")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -446,7 +455,7 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     partners = materialize(_partners(entries).select(F.xxhash64("band", "least").alias("band"), "nid"), "line-partners")
     buckets = partners.groupBy("band").agg(F.min("nid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(partners.join(buckets, "band").select("band", "nid", "least", "n"), "line-shared")
-    members = materialize(lines.join(shared.select("nid").distinct(), "nid", "left_semi").select("nid", "id", "sig"), "line-members")
+    members = materialize(lines.join(shared.select("nid").distinct(), "nid", "left_semi").select("nid", "row", "pos", "sig"), "line-members")
     # Signatures are kept once, for the lines that may have a partner; the others need their places only.
     places = materialize(lines.select("nid", "doc_id", "row", "pos"), "line-places")
     discard(partners, lines)

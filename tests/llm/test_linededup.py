@@ -190,3 +190,14 @@ def test_blocks_connect_what_all_pairs_connect(spark, monkeypatch):
     sets = [shingles(x) for x in lines]
     want = [(i, j) for i in range(len(lines)) for j in range(i) if similar(sets[i], sets[j], 0.8)]
     assert want and groups([(r.a, r.b) for r in got]) == groups(want)
+
+
+def test_normal_form_is_lower_case_with_single_spaces():
+    lines = ["Plain Line", " lead", "trail ", "two  spaces", "tab\there", "nb\u00a0space", "", "\u2003", "a\x1cb", "\u0130\u03a3", "\u200b x", "\x85"]
+    assert [normal_form(x) for x in lines] == [" ".join(x.lower().split()) for x in lines]
+
+
+def test_texts_are_found_by_place(spark):
+    docs = spark.createDataFrame([(i, f"Line {i}\n\n  Other  {i} ") for i in range(50)], "doc_id long, text string").coalesce(1)
+    wanted = spark.createDataFrame([(9, 3, 0), (8, 3, 2), (7, 49, 2)], "nid long, row long, pos int")
+    assert sorted(map(tuple, linededup._texts(docs, wanted).collect())) == [(7, "other 49"), (8, "other 3"), (9, "line 3")]

@@ -105,19 +105,22 @@ def test_stages_send_small_batches_to_python(spark, monkeypatch):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before, sizes = spark.conf.get(key), []
 
-    def stage(spark, docs, folder):
+    def sent(docs):
         def run(batches):
             for batch in batches:
                 yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
 
         sizes.extend(spark.range(30_000).coalesce(1).selectExpr("repeat('long text ', 200) as t").mapInArrow(run, "n long, size long").collect())
-        return docs
+        return docs.selectExpr("doc_id", "doc_id as component_id")
 
-    monkeypatch.setattr(corpus_pipeline, "STAGES", [("stage", stage)])
+    monkeypatch.setattr(corpus_pipeline.nearcopies, "near_copies", sent)
+    monkeypatch.setattr(corpus_pipeline.linededup, "without_duplicate_lines", sent)
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
     try:
         spark.conf.set(key, "10000")
-        corpus_pipeline.run(spark, FOLDER)
+        corpus_pipeline.lines(spark, docs, FOLDER)
+        assert corpus_pipeline.near_duplicates(spark, docs, FOLDER).count() == 2
         assert spark.conf.get(key) == "10000"
     finally:
         spark.conf.set(key, before)
-    assert sum(r.n for r in sizes) == 30_000 and max(r.n for r in sizes) <= 2000 and max(r["size"] for r in sizes) < 9 << 20
+    assert sum(r.n for r in sizes) == 60_000 and max(r.n for r in sizes) <= 2000 and max(r["size"] for r in sizes) < 9 << 20
