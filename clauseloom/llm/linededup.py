@@ -24,10 +24,14 @@ AGREE = 24
 #: Entries of a bucket are told apart by two bits of each of the 48 values: so many agree, or lines are no partners. At similarity 0.8 the
 #: chance to agree less is below 1e-5 as well.
 SKETCH_AGREE = 29
-#: A bucket of up to so many lines is compared pair by pair, by signatures inside a task. With more than CROWDED pairs that agree to a
-#: line, its lines are compared as sets in blocks of BLOCK, as those of larger buckets are; COLUMNS shingles of a block are counted at once.
+#: A bucket of up to so many lines is compared pair by pair, by signatures inside a task; larger ones are dealt into blocks of DEALT lines,
+#: which meet in pairs. With more than CROWDED pairs that agree to a line, lines are compared as sets in blocks of BLOCK; COLUMNS shingles
+#: of a block are counted at once.
 MANY, CROWDED = 1024, 8
+DEALT = 16384
 BLOCK, COLUMNS = 1024, 2048
+#: Runs of up to so many lines are compared by shifting them, larger ones as tables of so many cells at a time.
+SHIFTED, CELLS = 32, 32768
 #: Characters that are hashed at a time.
 CACHED = 60_000
 #: The most bits of the map that tells a pass over the documents which lines are wanted. It may err on the side of too many.
@@ -225,19 +229,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b").sortWithinPartitions("b").mapInArrow(run, "a long, b long")
 
 
-def _agreeing(bands: np.ndarray, labels: np.ndarray, sigs: np.ndarray, agree: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the pairs whose labels differ and whose signatures agree, and the first rows of crowded buckets, which give no pairs."""
-    starts = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]]))
-    sizes = np.diff(np.append(starts, len(bands)))
-    bucket, ends = np.repeat(np.arange(len(starts)), sizes), np.repeat(starts + sizes, sizes)
-    rows, step, ones, twos = np.arange(len(bands)), 1, [], []
-    while len(rows := rows[rows + step < ends[rows]]):
-        one = rows[labels[rows] != labels[rows + step]]
-        one = one[(sigs[one] == sigs[one + step]).sum(axis=1) >= agree]
+def _planes(sigs: np.ndarray) -> np.ndarray:
+    """Four numbers to a signature: the lowest, second, third and fourth bit of each of its values. Values that are equal have equal bits,
+    so signatures that differ in more of these bits' places than allowed need not be compared in full."""
+    out = np.zeros((4, len(sigs), 8), np.uint8)
+    for k in range(4):
+        out[k, :, :BANDS * BAND_ROWS // 8] = np.packbits(sigs >> np.uint16(k) & np.uint16(1) != 0, axis=1)
+    return out.view(np.uint64)[..., 0]
+
+
+def _near_cells(planes: np.ndarray, one: slice, two: slice, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns, counted from the slices' begins, whose ``planes`` differ in ``most`` places or fewer."""
+    differ = planes[0, one, None] ^ planes[0, None, two]
+    for plane in planes[1:]:
+        differ |= plane[one, None] ^ plane[None, two]
+    return np.divmod(np.flatnonzero(np.bitwise_count(differ) <= most), differ.shape[1])
+
+
+def _near_rows(planes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs inside runs, given by their first rows and sizes, whose ``planes`` differ in ``most`` places or fewer."""
+    small = sizes <= SHIFTED
+    few = sizes[small]
+    left = np.repeat(starts[small] - np.cumsum(few) + few, few) + np.arange(few.sum())
+    ends, step, ones, twos = np.repeat(starts[small] + few, few), 1, [], []
+    while (more := left + step < ends).any():
+        left, ends = left[more], ends[more]
+        differ = planes[0, left] ^ planes[0, left + step]
+        for plane in planes[1:]:
+            differ |= plane[left] ^ plane[left + step]
+        one = left[np.bitwise_count(differ) <= most]
         ones.append(one)
         twos.append(one + step)
         step += 1
+    for begin, size in zip(starts[~small].tolist(), sizes[~small].tolist()):
+        step = max(1, CELLS // size)
+        for at in range(begin, begin + size, step):
+            i, j = _near_cells(planes, slice(at, min(at + step, begin + size)), slice(at, begin + size), most)
+            ones.append(i[i < j] + at)
+            twos.append(j[i < j] + at)
     one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, twos))
+    return one, two
+
+
+def _equal_values(sigs: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many values the signatures of two rows agree, for a few rows at a time."""
+    return np.concatenate([np.zeros(0, np.int64), *((sigs[one[k:k + CELLS]] == sigs[two[k:k + CELLS]]).sum(axis=1) for k in range(0, len(one), CELLS))])
+
+
+def _agreeing(bands: np.ndarray, labels: np.ndarray, sigs: np.ndarray, agree: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the pairs whose labels differ and whose signatures agree, and the first rows of crowded buckets, which give no pairs."""
+    starts = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]]))
+    sizes = np.diff(np.append(starts, len(bands)))
+    bucket = np.repeat(np.arange(len(starts)), sizes)
+    one, two = _near_rows(_planes(sigs), starts, sizes, sigs.shape[1] - agree)
+    stay = labels[one] != labels[two]
+    one, two = one[stay], two[stay]
+    stay = _equal_values(sigs, one, two) >= agree
+    one, two = one[stay], two[stay]
     crowded = np.bincount(bucket[one], minlength=len(starts)) > most * sizes
     stay = ~crowded[bucket[one]]
     return one[stay], two[stay], starts[crowded]
@@ -309,7 +357,7 @@ def _partners(entries: DataFrame) -> DataFrame:
     agree, many = SKETCH_AGREE, MANY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs_of = np.uint64(0x5555555555555555)
+        even = np.uint64(0x5555555555555555)
 
         def rows(bands, leasts, nids):
             return pa.record_batch([pa.array(bands), pa.array(leasts), pa.array(nids)], ["band", "least", "nid"])
@@ -319,16 +367,9 @@ def _partners(entries: DataFrame) -> DataFrame:
             bands, nids, s, t = bands[order], nids[order], s[order], t[order]
             starts = np.flatnonzero(np.concatenate([[True], bands[1:] != bands[:-1]]))
             sizes = np.diff(np.append(starts, len(bands)))
-            ends, large = np.repeat(starts + sizes, sizes), np.repeat(sizes > many, sizes)
-            left, step, ones, twos = np.flatnonzero(~large), 1, [], []
-            while len(left := left[left + step < ends[left]]):
-                x, y = s[left] ^ s[left + step], t[left] ^ t[left + step]
-                differ = np.bitwise_count((x | x >> np.uint64(1)) & pairs_of) + np.bitwise_count((y | y >> np.uint64(1)) & pairs_of)
-                one = left[differ <= 4 * BANDS - agree]
-                ones.append(one)
-                twos.append(one + step)
-                step += 1
-            one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, twos))
+            large = np.repeat(sizes > many, sizes)
+            planes = np.stack([s & even | (t & even) << np.uint64(1), s >> np.uint64(1) & even | t & ~even])
+            one, two = _near_rows(planes, starts[sizes <= many], sizes[sizes <= many], 4 * BANDS - agree)
             root = _roots(len(bands), one, two)
             stay = np.zeros(len(bands), bool)
             stay[one] = stay[two] = True
@@ -358,6 +399,117 @@ def _partners(entries: DataFrame) -> DataFrame:
     return entries.repartition("band").sortWithinPartitions("band").mapInArrow(run, "band long, least long, nid long")
 
 
+def _deal(entries: DataFrame) -> DataFrame:
+    """``entries`` (band, nid) with ``blocks``, the number of blocks that the band's lines are cut into, and ``block``, the line's own."""
+    sizes = entries.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("blocks"))
+    return entries.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+
+
+def _in_pairs(dealt: DataFrame, columns: list[str], compared, schema: str) -> DataFrame:
+    """What ``compared`` makes of each pair of blocks of a band, and of each block alone, for rows from ``_deal`` with ``sig`` and ``columns``.
+
+    It gets the band, the signatures, the columns as arrays, and how many rows are the first block's; a block alone is all rows. Each row
+    goes to as many pairs as its band has blocks, so pairs of a bucket of any size are dealt over tasks.
+    """
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = dealt.select("band", "block", "sig", *columns, other.alias("with")).select(
+        F.xxhash64("band", F.least("block", "with"), F.greatest("block", "with")).alias("pair"), "band", "block", "sig", *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(table):
+            block = table.column(2).to_numpy()
+            sigs = table.column(3).combine_chunks().flatten().to_numpy().reshape(-1, BANDS).view(np.uint16)
+            return compared(table.column(1)[0].as_py(), sigs, *(table.column(4 + k).to_numpy() for k in range(len(columns))),
+                            int(np.count_nonzero(block == block[0])))
+
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            pair = held.column(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            for begin, end in zip(starts.tolist(), starts.tolist()[1:]):
+                yield one(held.slice(begin, end - begin))
+            held = held.slice(starts[-1])  # the last pair may go on
+        if held is not None and held.num_rows:
+            yield one(held)
+
+    return met.repartition("pair").sortWithinPartitions("pair", "block", "nid").mapInArrow(run, schema)
+
+
+def _stars(dealt: DataFrame) -> DataFrame:
+    """(a, b) for lines of large buckets: lines ``b`` by whose signatures others are found, and the lines ``a`` that agree with them.
+
+    In each pair of blocks lines look for others in turn; a line that is found by one is not looked for again, nor looks for others, so
+    there are at most as many rows as lines, whatever the size of a group.
+    """
+    agree, cells = AGREE, CELLS
+
+    def compared(band, sigs, nids, n):
+        planes, gone = _planes(sigs), np.zeros(len(sigs), bool)
+        alone = n == len(sigs)
+        left, leaders, members = np.arange(0 if alone else n, len(sigs)), [], []
+        near, at = planes[:, left], 0
+        while at < n and len(left):
+            looking = np.arange(at, min(n, at + max(1, cells // len(left))))
+            at = looking[-1] + 1
+            looking = looking[~gone[looking]]
+            both = np.concatenate([planes[:, looking], near], axis=1)
+            i, j = _near_cells(both, slice(0, len(looking)), slice(len(looking), None), sigs.shape[1] - agree)
+            one, two = looking[i], left[j]
+            if alone:
+                one, two = one[one < two], two[one < two]
+            stay = _equal_values(sigs, one, two) >= agree
+            found, first = np.unique(two[stay], return_index=True)  # pairs come in the order of their first rows
+            leaders.append(one[stay][first])
+            members.append(found)
+            gone[found] = True
+            if len(found) or alone:
+                left = left[~gone[left] & (left >= at)] if alone else left[~gone[left]]
+                near = planes[:, left]
+        a, b = (nids[np.concatenate(x)] if x else nids[:0] for x in (members, leaders))
+        return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return _in_pairs(dealt, ["nid"], compared, "a long, b long")
+
+
+def _open_pairs(dealt: DataFrame) -> DataFrame:
+    """(band, a, b, label) for lines (band, nid, label) of large buckets: pairs whose labels differ and whose signatures agree.
+
+    Where a pair of blocks has more than ``CROWDED`` of them to a line, each of their lines comes out once instead, as ``a`` with its label.
+    """
+    agree, most, cells = AGREE, CROWDED, CELLS
+
+    def compared(band, sigs, nids, labels, n):
+        planes, alone = _planes(sigs), n == len(sigs)
+        ones, twos, held, known = [], [], 0, np.zeros(len(sigs), bool)
+        step = max(1, cells // max(1, len(sigs) if alone else len(sigs) - n))
+        for at in range(0, n, step):
+            begin = at if alone else n
+            i, j = _near_cells(planes, slice(at, min(at + step, n)), slice(begin, None), sigs.shape[1] - agree)
+            one, two = i + at, j + begin
+            stay = (one < two) & (labels[one] != labels[two])
+            one, two = one[stay], two[stay]
+            stay = _equal_values(sigs, one, two) >= agree
+            one, two = one[stay], two[stay]
+            known[one] = known[two] = True
+            held += len(one)
+            if held > most * len(sigs):
+                ones, twos = [], []
+            else:
+                ones.append(nids[one])
+                twos.append(nids[two])
+        if held > most * len(sigs):
+            a, label = pa.array(nids[known]), pa.array(labels[known])
+            b = pa.nulls(len(a), pa.int64())
+        else:
+            one, two = (np.concatenate(x) if x else nids[:0] for x in (ones, twos))
+            a, b = pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))
+            label = pa.nulls(len(a), pa.int64())
+        return pa.record_batch([pa.array(np.full(len(a), band)), a, b, label], ["band", "a", "b", "label"])
+
+    return _in_pairs(dealt, ["nid", "label"], compared, "band long, a long, b long, label long")
+
+
 def _numbers(lines: list[str]) -> list[np.ndarray]:
     """The shingles of each line as distinct numbers, the same for equal shingles of these lines."""
     if any(ord(max(line)) >> 12 for line in lines):
@@ -445,20 +597,21 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Lines are grouped if links connect them; a link is a shared band and a verified similarity of ``least``. Lines that share a band
     by chance are told apart by two bits of each signature value, which each entry of a bucket carries (``_partners``). In each group of
     partners every line is compared with the smallest one first, so large groups of copies give as many pairs as lines, not as pairs of
-    lines. Of the groups that these links leave in parts, those of up to ``MANY`` lines are compared pair by pair, by their signatures
-    and inside tasks; the lines of larger and crowded ones are compared as sets, block by block (``_block_links``).
+    lines. Of the groups that these links leave in parts, all pairs are compared by their signatures, inside tasks. Buckets of more than
+    ``MANY`` lines, which chance fills in a large table, are dealt into blocks that meet in pairs (``_stars``, ``_open_pairs``). Only lines
+    of crowded buckets are compared as sets (``_block_links``).
     """
     lines = _document_lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "row", "pos")).alias("at"), F.first("sig").alias("sig"))
     lines = materialize(lines.select(F.monotonically_increasing_id().alias("nid"), "id", "at.doc_id", "at.row", "at.pos", "sig"), "line-ids")
     entries = lines.select("nid", _sketch(0, 8).alias("s"), _sketch(8, BANDS).alias("t"), F.posexplode("sig").alias("i", "v")).select(
         F.xxhash64("i", "v").alias("band"), "nid", "s", "t")
-    partners = materialize(_partners(entries).select(F.xxhash64("band", "least").alias("band"), "nid"), "line-partners")
-    buckets = partners.groupBy("band").agg(F.min("nid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(partners.join(buckets, "band").select("band", "nid", "least", "n"), "line-shared")
-    members = materialize(lines.join(shared.select("nid").distinct(), "nid", "left_semi").select("nid", "row", "pos", "sig"), "line-members")
+    partners = materialize(_partners(entries), "line-partners")
+    shared = partners.where("least >= 0").select(F.xxhash64("band", "least").alias("band"), "nid", "least")
+    large = partners.where("least < 0").select("band", "nid")
+    members = materialize(lines.join(partners.select("nid").distinct(), "nid", "left_semi").select("nid", "row", "pos", "sig"), "line-members")
     # Signatures are kept once, for the lines that may have a partner; the others need their places only.
     places = materialize(lines.select("nid", "doc_id", "row", "pos"), "line-places")
-    discard(partners, lines)
+    discard(lines)
     texts = materialize(_texts(docs, members), "line-texts")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -472,21 +625,38 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         discard(pairs)
         return links
 
-    stars = shared.where("nid <> least").select(F.col("nid").alias("a"), F.col("least").alias("b")).distinct()
-    first = components(linked(near(stars)))
-    # Members of one group need no comparing; a bucket is looked at again only if it holds several groups besides the smallest line's.
-    known = materialize(shared.where("n > 2").join(first, F.col("nid") == F.col("node"), "left").select(
-        "band", "n", "nid", F.coalesce("label", "nid").alias("label")), "line-labels")
-    mixed = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    left = materialize(known.join(mixed, "band", "left_semi"), "line-mixed")
-    discard(shared, known)
-    met = materialize(_bucket_pairs(left.where(F.col("n") <= MANY).join(members.select("nid", "sig"), "nid")), "line-met")
-    links = linked(met.where("a IS NOT NULL").select("a", "b").distinct())
-    crowded = materialize(left.join(met.where("a IS NULL").select("band"), "band", "left_semi").union(left.where(F.col("n") > MANY)).select(
-        "band", "nid", "label"), "line-crowded")
+    sigs = members.select("nid", "sig")
+    dealt = None if large.isEmpty() else materialize(_deal(large), "line-dealt")
+    stars = near(shared.where("nid <> least").select(F.col("nid").alias("a"), F.col("least").alias("b")).distinct())
+    if dealt is not None:
+        stars = stars.union(_stars(dealt.join(sigs, "nid"))).distinct()
+    first = components(linked(stars))
+    named = first.select(F.col("node").alias("nid"), "label")
+
+    def mixed(known: DataFrame) -> DataFrame:
+        """Members of one group need no comparing; a bucket is looked at again only if it holds several groups besides its first line's."""
+        several = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where(
+            "lo < hi AND n > 2").select("band")
+        return known.join(several, "band", "left_semi")
+
+    known = materialize(shared.join(named, "nid", "left").select("band", "nid", F.coalesce("label", "nid").alias("label")), "line-labels")
+    left = materialize(mixed(known), "line-mixed")
+    discard(partners, known)
+    met = materialize(_bucket_pairs(left.join(sigs, "nid")), "line-met")
+    crowded = left.join(met.where("a IS NULL").select("band"), "band", "left_semi").select("band", "nid", "label")
+    pairs = met.where("a IS NOT NULL").select("a", "b")
+    stored = [members, texts, left, met]
+    if dealt is not None:
+        again = materialize(mixed(dealt.join(named, "nid", "left").withColumn("label", F.coalesce("label", "nid"))), "line-mixed-large")
+        open_pairs = materialize(_open_pairs(again.join(sigs, "nid")), "line-met-large")
+        pairs = pairs.union(open_pairs.where("b IS NOT NULL").select("a", "b"))
+        crowded = crowded.union(open_pairs.where("b IS NULL").select("band", F.col("a").alias("nid"), "label").distinct())
+        stored += [dealt, again, open_pairs]
+    links = linked(pairs.distinct())
+    crowded = materialize(crowded, "line-crowded")
     if not crowded.isEmpty():
         links = links.union(materialize(_block_links(crowded, texts, least), "line-block-links"))
-    discard(members, left, crowded, met, texts)
+    discard(*stored, crowded)
     labels = links.join(first.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
         first.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     second = components(labels.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))

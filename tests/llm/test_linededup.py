@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from clauseloom.llm import linededup
 from clauseloom.llm.linededup import deduplicated_lines, normal_form, shingles, similar, without_duplicate_lines
 
@@ -192,6 +195,65 @@ def test_blocks_connect_what_all_pairs_connect(spark, monkeypatch):
     assert want and groups([(r.a, r.b) for r in got]) == groups(want)
 
 
+def test_large_buckets_by_chance_are_compared_by_signatures(spark, monkeypatch):
+    """Lines that fill large buckets by chance are not compared as sets: of all of them, none is crowded."""
+    rng = random.Random(12)
+    common = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=110))
+    lines = [common + "".join(rng.choices("0123456789", k=130)) for _ in range(300)]
+    lines += [x[:-2] + "##" for x in lines[:20]]
+    made = {}
+    stored = linededup.materialize
+
+    def counted(df, purpose):
+        out = stored(df, purpose)
+        made[purpose] = made.get(purpose, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", counted)
+    monkeypatch.setattr(linededup, "MANY", 8)
+    monkeypatch.setattr(linededup, "DEALT", 7)
+    got = deduplicated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    want = brute(list(enumerate(lines)))
+    assert {r.doc_id: r.kept for r in got if r.kept} == want and len(want) == 300
+    assert made["line-dealt"] > 40 and made["line-crowded"] == 0
+
+
+def test_blocks_of_a_large_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "DEALT", 30)
+    monkeypatch.setattr(linededup, "CELLS", 40)
+    rng = random.Random(13)
+    bases = [[rng.getrandbits(16) for _ in range(48)] for _ in range(6)]
+    values = [[v if rng.random() < 0.8 else rng.getrandbits(16) for v in rng.choice(bases)] for _ in range(90)]
+    sigs = np.array(values, np.uint16).view(np.int64)
+    agree = (np.array(values)[:, None] == np.array(values)[None]).sum(2) >= linededup.AGREE
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if agree[i, j]}
+    dealt = linededup._deal(spark.createDataFrame([(3, i) for i in range(90)], "band long, nid long")).join(
+        spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sigs)], "nid long, sig array<long>"), "nid")
+    stars = [(r.a, r.b) for r in linededup._stars(dealt).collect()]
+    assert dealt.agg({"blocks": "max"}).first()[0] == 3 and {(min(x), max(x)) for x in stars} <= want
+    assert {x for p in stars for x in p} == {x for p in want for x in p} and len(stars) <= 3 * 90 < len(want)
+    alone = dealt.withColumn("label", F.col("nid"))
+    monkeypatch.setattr(linededup, "CROWDED", 90)
+    got = [(r.band, r.a, r.b, r.label) for r in linededup._open_pairs(alone).collect()]
+    assert sorted(got) == sorted((3, i, j, None) for i, j in want)
+    odd = dealt.withColumn("label", F.col("nid") % 2)
+    assert {(r.a, r.b) for r in linededup._open_pairs(odd).collect()} == {x for x in want if (x[1] - x[0]) % 2}
+    monkeypatch.setattr(linededup, "CROWDED", 0)
+    got = {(r.a, r.b, r.label) for r in linededup._open_pairs(alone).collect()}
+    assert got == {(i, None, i) for x in want for i in x}
+
+
+def test_near_rows_are_those_of_all_pairs():
+    rng = np.random.default_rng(14)
+    sizes = np.array([1, 5, 32, 33, 2, 90])
+    starts = np.array([0, 1, 10, 50, 90, 100])  # rows between runs belong to none
+    planes = rng.integers(0, 8, (2, 200)).astype(np.uint64)
+    one, two = linededup._near_rows(planes, starts, sizes, 2)
+    differ = np.bitwise_count((planes[0][:, None] ^ planes[0]) | (planes[1][:, None] ^ planes[1]))
+    want = {(i, j) for s, n in zip(starts, sizes) for i in range(s, s + n) for j in range(i + 1, s + n) if differ[i, j] <= 2}
+    assert set(zip(one.tolist(), two.tolist())) == want and len(one) == len(want)
+
+
 def test_normal_form_is_lower_case_with_single_spaces():
     lines = ["Plain Line", " lead", "trail ", "two  spaces", "tab\there", "nb\u00a0space", "", "\u2003", "a\x1cb", "\u0130\u03a3", "\u200b x", "\x85"]
     assert [normal_form(x) for x in lines] == [" ".join(x.lower().split()) for x in lines]
