@@ -34,7 +34,9 @@ BLOCK, COLUMNS = 1024, 2048
 SHIFTED, CELLS = 32, 32768
 #: Characters that are hashed at a time.
 CACHED = 60_000
-#: The most bits of the map that tells a pass over the documents which lines are wanted. It may err on the side of too many.
+#: Lines whose first places a task remembers; forgetting them costs time only.
+REMEMBERED = 200_000
+#: The most bits of a map that tells a pass over documents or lines which lines are wanted. It may err on the side of too many.
 MAP_BITS = 27
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 2**32, BANDS * BAND_ROWS, dtype=np.uint32) | np.uint32(1)
@@ -146,16 +148,33 @@ def _slot(row, pos):
 
 
 def _document_lines(docs: DataFrame) -> DataFrame:
-    """(id, row, doc_id, pos, sig) of every line; ``id`` is a digest of its normal form, ``row`` the number of its row."""
+    """(id, row, doc_id, pos, sig) of the lines; ``id`` is a digest of its normal form, ``row`` the number of its row.
+
+    Of a line that a task meets again only a smaller (doc_id, row, pos) comes out; ``REMEMBERED`` lines are known at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, tuple] = {}
+
         def flush(rows, keys, places, lines):
-            known = {x: i for i, x in enumerate(dict.fromkeys(lines))}
-            sigs = signatures(list(known))[[known[x] for x in lines]]
-            ids = {x: digest(x) for x in known}
+            first: dict[str, tuple] = {}
+            for line, row, key, place in zip(lines, rows, keys, places):
+                at = (key is not None, key or 0, row, place)  # null is the least, as it is in Spark
+                if line not in first or at < first[line]:
+                    first[line] = at
+            if len(least) > REMEMBERED:
+                least.clear()
+            ids = {}
+            for line, at in first.items():
+                own = digest(line)
+                if own not in least or at < least[own]:
+                    least[own], ids[line] = at, own
+            sigs = signatures(list(ids))
             lists = pa.ListArray.from_arrays(np.arange(0, sigs.size + 1, BANDS, dtype=np.int32), pa.array(sigs.ravel()))
-            return pa.record_batch([pa.array([ids[x] for x in lines]), pa.array(rows, pa.int64()), pa.array(keys, pa.int64()),
-                                    pa.array(places, pa.int32()), lists], ["id", "row", "doc_id", "pos", "sig"])
+            found = [first[x] for x in ids]
+            return pa.record_batch([pa.array(list(ids.values()), pa.binary()), pa.array([x[2] for x in found], pa.int64()),
+                                    pa.array([x[1] if x[0] else None for x in found], pa.int64()),
+                                    pa.array([x[3] for x in found], pa.int32()), lists], ["id", "row", "doc_id", "pos", "sig"])
 
         for batch in batches:
             rows, keys, places, lines, held = [], [], [], [], 0
@@ -176,17 +195,42 @@ def _document_lines(docs: DataFrame) -> DataFrame:
         run, "id binary, row long, doc_id long, pos int, sig array<long>")
 
 
+def _bit_map(wanted: DataFrame, slot: Column) -> tuple[np.ndarray, int]:
+    """A map of the ``slot`` of each row of ``wanted``, as 32-bit words, and its number of bits, which is bounded."""
+    bits = min(MAP_BITS, max(16, (16 * wanted.count()).bit_length()))
+    words = wanted.select((slot % (1 << bits)).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(p & 31))")).alias("m")).toArrow()
+    marks = np.zeros(1 << (bits - 5), np.uint32)
+    marks[words["w"].to_numpy()] = words["m"].to_numpy()
+    return marks, bits
+
+
+def _marked(marks: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return marks[slots >> 5] >> (slots & 31).astype(np.uint32) & np.uint32(1) != 0
+
+
+def _members(lines: DataFrame, partners: DataFrame) -> DataFrame:
+    """(nid, row, pos, sig) of the ``lines`` that are among ``partners``. A bit map of these leaves out most others before the join."""
+    marks, bits = _bit_map(partners, _slot(F.col("nid"), 0))
+    shared = lines.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        for batch in batches:
+            slots = (_slot(batch.column(0).to_numpy(), 0) % (1 << bits)).astype(np.int64)
+            yield batch.filter(pa.array(_marked(marks, slots)))
+
+    near = lines.select("nid", "row", "pos", "sig").mapInArrow(run, "nid long, row long, pos int, sig array<long>")
+    return near.join(partners.select("nid").distinct(), "nid", "left_semi")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(nid, line) in normal form for ``wanted`` (nid, row, pos), the lines' places in ``docs``.
 
     Instead of moving the documents to the lines that are asked for, a bit map of their places goes to the documents: its size is
     bounded, and lines that pass by chance are left out by the join. Other lines are not brought to normal form again.
     """
-    bits = min(MAP_BITS, max(16, (16 * wanted.count()).bit_length()))
-    words = wanted.select((_slot(F.col("row"), F.col("pos")) % (1 << bits)).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, int(p & 31))")).alias("m")).toArrow()
-    marks = np.zeros(1 << (bits - 5), np.uint32)
-    marks[words["w"].to_numpy()] = words["m"].to_numpy()
+    marks, bits = _bit_map(wanted, _slot(F.col("row"), F.col("pos")))
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +241,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for row, text in zip(batch.column(0)[at:at + 256].to_pylist(), batch.column(1)[at:at + 256]):
                     own = (text.as_py() or "").split("\n")
                     slots = (_slot(row, np.arange(len(own), dtype=np.int64)) % (1 << bits)).astype(np.int64)
-                    for i in np.flatnonzero(marks[slots >> 5] >> (slots & 31).astype(np.uint32) & np.uint32(1)).tolist():
+                    for i in np.flatnonzero(_marked(marks, slots)).tolist():
                         if own[i].strip(" \t\n\v\f\r"):
                             rows.append(row)
                             places.append(i)
@@ -601,14 +645,15 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     ``MANY`` lines, which chance fills in a large table, are dealt into blocks that meet in pairs (``_stars``, ``_open_pairs``). Only lines
     of crowded buckets are compared as sets (``_block_links``).
     """
-    lines = _document_lines(docs).groupBy("id").agg(F.min(F.struct("doc_id", "row", "pos")).alias("at"), F.first("sig").alias("sig"))
-    lines = materialize(lines.select(F.monotonically_increasing_id().alias("nid"), "id", "at.doc_id", "at.row", "at.pos", "sig"), "line-ids")
+    # Tasks have left out their own copies, so nothing is combined, and sorted for it, before the shuffle.
+    lines = _document_lines(docs).repartition("id").groupBy("id").agg(F.min(F.struct("doc_id", "row", "pos")).alias("at"), F.first("sig").alias("sig"))
+    lines = materialize(lines.select(F.monotonically_increasing_id().alias("nid"), "at.doc_id", "at.row", "at.pos", "sig"), "line-ids")
     entries = lines.select("nid", _sketch(0, 8).alias("s"), _sketch(8, BANDS).alias("t"), F.posexplode("sig").alias("i", "v")).select(
         F.xxhash64("i", "v").alias("band"), "nid", "s", "t")
     partners = materialize(_partners(entries), "line-partners")
     shared = partners.where("least >= 0").select(F.xxhash64("band", "least").alias("band"), "nid", "least")
     large = partners.where("least < 0").select("band", "nid")
-    members = materialize(lines.join(partners.select("nid").distinct(), "nid", "left_semi").select("nid", "row", "pos", "sig"), "line-members")
+    members = materialize(_members(lines, partners), "line-members")
     # Signatures are kept once, for the lines that may have a partner; the others need their places only.
     places = materialize(lines.select("nid", "doc_id", "row", "pos"), "line-places")
     discard(lines)

@@ -254,6 +254,26 @@ def test_near_rows_are_those_of_all_pairs():
     assert set(zip(one.tolist(), two.tolist())) == want and len(one) == len(want)
 
 
+def test_a_task_gives_a_line_again_only_at_a_smaller_place(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "One line\none  LINE") for i in (5, 3, 9, None, 1, None)], "doc_id long, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        assert [(r.doc_id, r.row, r.pos) for r in linededup._document_lines(docs).collect()] == [(5, 0, 0), (3, 1, 0), (None, 3, 0)]
+        monkeypatch.setattr(linededup, "REMEMBERED", 0)
+        assert [r.doc_id for r in linededup._document_lines(docs).collect()] == [5, 3, 9, None, 1, None]
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_members_are_the_lines_among_partners(spark):
+    lines = spark.createDataFrame([(i << 33 | j, i, j, [i]) for i in range(3) for j in range(40)], "nid long, row long, pos int, sig array<long>")
+    partners = spark.createDataFrame([(7, n) for n in (3, 3, 1 << 33 | 5, 2 << 33 | 39, 99)], "band long, nid long")
+    assert sorted((r.nid, r.row, r.pos, r.sig) for r in linededup._members(lines, partners).collect()) == [
+        (3, 0, 3, [0]), (1 << 33 | 5, 1, 5, [1]), (2 << 33 | 39, 2, 39, [2])]
+
+
 def test_normal_form_is_lower_case_with_single_spaces():
     lines = ["Plain Line", " lead", "trail ", "two  spaces", "tab\there", "nb\u00a0space", "", "\u2003", "a\x1cb", "\u0130\u03a3", "\u200b x", "\x85"]
     assert [normal_form(x) for x in lines] == [" ".join(x.lower().split()) for x in lines]
